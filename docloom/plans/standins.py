@@ -160,3 +160,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """lines AS (SELECT doc_id, i - 1 AS seq, parts[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
   LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i))"""
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq (from 1, within doc_id), part, quantity: line items in an order without ties."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("bigint").alias("seq"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"))
+
+
+ITEMS = """items AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS seq,
+  l_partkey AS part, l_quantity AS quantity FROM lineitem)"""
