@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("admin", "documents")
+MODULES = ("admin", "documents", "validation")
 
 
 def _plans() -> list:
