@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("admin", "documents", "validation")
+MODULES = ("admin", "documents", "validation", "flows")
 
 
 def _plans() -> list:
@@ -16,7 +16,7 @@ def _plans() -> list:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["usage_timeseries"](spark, sf_dir)
+    return queries()["extract_documents"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
