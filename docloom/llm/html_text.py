@@ -43,9 +43,10 @@ OTHER_WORDS = frozenset(
     "ad ads advert advertisement sponsored sponsor promo promotion banner nav navbar menu breadcrumb breadcrumbs header footer sidebar aside widget cookie cookies consent notice gdpr newsletter subscribe signup login share social related recommended comment comments reply respond disqus popup modal".split()
 )
 
+_INSIDE = r"(?:[^'\">]|\"[^\"]*\"|'[^']*'|['\"])*?"  # of a tag; a quote that is never closed is an ordinary character
 _PART = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN_TAGS})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)|([^<]+)|<",
+    rf"<!--.*?(?:-->|\Z)|<({HIDDEN_TAGS})\b{_INSIDE}(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(>|\Z)|([^<]+)|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
