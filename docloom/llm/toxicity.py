@@ -23,8 +23,8 @@ from .common import WORD_TABLE, utf8
 SAMPLE = 2_000
 SAMPLE_BYTES = 65_536
 DIM = 1 << 20
-#: A bucket is used if so many sample documents have it; rarer ones would be learnt by heart.
-LEAST_DOCUMENTS = 8
+#: Standard errors that a bucket's log-odds must keep above zero to be used; rarer buckets would be learnt by heart.
+SURE = 2.0
 THRESHOLD = 0.3
 PREFIXES = (4, 6)
 _SENTENCE = re.compile(rb"[^.!?\n]+")
@@ -78,13 +78,19 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, z).sum())), found
 
 
-def train(rows: list[tuple[bytes | None, int]], steps: int = 200, rate: float = 0.15, decay: float = 2e-5) -> Model:
+def sure_evidence(documents: np.ndarray, clean: float, toxic: float, sure: float = SURE) -> np.ndarray:
+    """The lower bound of each bucket's log-odds of standing in toxic against clean documents (counts: clean, toxic)."""
+    c, t = documents[0] + 0.5, documents[1] + 0.5
+    return np.log(t / (toxic + 1)) - np.log(c / (clean + 1)) - sure * np.sqrt(1 / c + 1 / t)
+
+
+def train(rows: list[tuple[bytes | None, int]], steps: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """Adam on the noisy-or likelihood; clean documents weigh three times as much as toxic ones together."""
     if not rows:
         return Model(np.zeros(DIM), -20.0)
     flat, sentence_sizes, bag_sizes, y = [], [], [], []
     known: dict[bytes, list[int]] = {}
-    documents = np.zeros(DIM, np.int32)
+    documents = np.zeros((2, DIM), np.int32)
     for text, label in rows:
         sentences = sentences_of(text)
         if not sentences:
@@ -99,7 +105,7 @@ def train(rows: list[tuple[bytes | None, int]], steps: int = 200, rate: float =
                 flat += f
                 n += len(f)
             sentence_sizes.append(n)
-        documents[np.unique(flat[first:])] += 1
+        documents[label, np.unique(flat[first:])] += 1
         bag_sizes.append(len(sentences))
         y.append(label)
     if not y or len(set(y)) < 2:
@@ -108,20 +114,21 @@ def train(rows: list[tuple[bytes | None, int]], steps: int = 200, rate: float =
     starts, bag_starts = np.cumsum(sizes) - sizes, np.cumsum(bags) - bags
     share = y.mean()
     weight = np.repeat(np.where(y == 1, 0.25 / share, 0.75 / (1 - share)) / len(y), bags)
-    used = np.flatnonzero(documents >= LEAST_DOCUMENTS)
+    evidence = sure_evidence(documents, len(y) - y.sum(), y.sum())
+    used = np.flatnonzero(evidence > 0)
     place = np.full(DIM, len(used))  # the last place stands for all buckets that are not used
     place[used] = np.arange(len(used))
+    scale = np.append(evidence[used], 0.0)
     flat = place[flat]
-    w, b = np.zeros(len(used) + 1), -9.0
+    w, b = np.ones(len(used) + 1), -9.0  # weights in units of the bucket's evidence
     m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.add.reduceat(w[flat], starts) + b
+        z = np.add.reduceat((w * scale)[flat], starts) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         whole = -np.expm1(-np.add.reduceat(np.logaddexp(0, z), bag_starts))
         whole = np.repeat(np.clip(whole, 1e-9, 1), bags)
         dz = weight * p * (whole - np.repeat(y, bags)) / whole
-        g = np.bincount(flat, np.repeat(dz, sizes), len(w)) + decay * w
-        g[-1] = 0
+        g = np.bincount(flat, np.repeat(dz, sizes), len(w)) * scale + decay * w * (scale > 0)
         gb = dz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -129,7 +136,7 @@ def train(rows: list[tuple[bytes | None, int]], steps: int = 200, rate: float =
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     weights = np.zeros(DIM)
-    weights[used] = w[:-1]
+    weights[used] = (w * scale)[:-1]
     return Model(weights, b)
 
 
