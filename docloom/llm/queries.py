@@ -143,9 +143,7 @@ SQL = {"op3_decontamination": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_top_k": O
 
 
 def queries() -> dict:
-    """The ten queries and, where corpus_pipeline.py stands at the repository's top, the pipeline."""
-    import corpus_pipeline  # noqa: F401
-
+    """The ten queries and the pipeline."""
     return {**QUERIES, "pipeline": pipeline}
 
 
