@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
@@ -18,21 +18,22 @@ def outcomes(files: DataFrame, max_bytes: int = MAX_BYTES, seen: DataFrame | Non
     """Files (file_id, tenant_id, arrived, content) with sha, status, error_code and priority.
 
     The first failing check decides: type, size, duplicate. A duplicate has the content of an earlier good file of its
-    tenant, or of one in ``seen`` (tenant_id, sha). The content itself is dropped before anything is shuffled.
+    tenant, or of one in ``seen`` (tenant_id, sha). The content itself is dropped before anything is shuffled, and copies
+    are reduced to the earliest before they meet.
     """
     n = F.octet_length("content")
     checked = files.select(
         *[c for c in files.columns if c != "content"], n.alias("size"), sha_id(F.col("content")).alias("sha"),
         F.when(F.coalesce(F.substring("content", 1, 4) != F.lit(b"%PDF"), F.lit(True)), fixed.REJECTS[0]).when(n > max_bytes, fixed.REJECTS[1]).alias("__early"),
     )
-    w = Window.partitionBy("tenant_id", "sha", F.col("__early").isNull()).orderBy("arrived", "file_id")
-    out = checked.withColumn("__n", F.row_number().over(w)).withColumn("__old", F.lit(False))
+    good = checked.filter(F.col("__early").isNull()).groupBy("tenant_id", "sha").agg(F.min(F.struct("arrived", "file_id")).alias("__first"))
+    out = checked.join(good, ["tenant_id", "sha"], "left").withColumn("__old", F.lit(False))
     if seen is not None:
         out = out.drop("__old").join(seen.select("tenant_id", "sha").distinct().withColumn("__old", F.lit(True)), ["tenant_id", "sha"], "left")
-    repeat = (F.col("__n") > 1) | F.coalesce("__old", F.lit(False))
+    repeat = (F.struct("arrived", "file_id") > F.col("__first")) | F.coalesce("__old", F.lit(False))
     code = F.when(F.col("__early").isNotNull(), F.col("__early")).when(repeat, fixed.REJECTS[2])
     status = F.when(F.col("__early").isNotNull(), "rejected").when(repeat, "duplicate").otherwise("accepted")
-    return out.withColumns({"status": status, "error_code": code, "priority": F.when(F.col("size") < SMALL, "high").otherwise("normal")}).drop("__early", "__n", "__old")
+    return out.withColumns({"status": status, "error_code": code, "priority": F.when(F.col("size") < SMALL, "high").otherwise("normal")}).drop("__early", "__first", "__old")
 
 
 def unseen(files: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,6 +50,7 @@ def first_of_each(files: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
 def upsert(store: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The store with rows of ``new`` in place of those of the same key; the latest by ``order`` stays."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("__new"))
+    rest = [c for c in store.columns if c not in keys and c != order]
     both = store.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__new")
+    g = both.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), F.struct(order, "__new")).alias("__r"))
+    return g.select(*keys, "__r.*").select(*store.columns)

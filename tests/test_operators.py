@@ -178,3 +178,36 @@ def test_alert_stream_equals_the_fold(spark, tmp_path, flags, states):
     assert [r.to_state for r in out.orderBy("at").collect()] == states
     got = alerts.alert_summary(e).first()
     assert got.state == (states[-1] if states else "idle") and got.notifications == states.count("firing")
+
+
+def test_upsert(spark):
+    s = "k string, at int, v string"
+    old, new = spark.createDataFrame([("a", 1, "old"), ("b", 5, "old")], s), spark.createDataFrame([("a", 1, "new"), ("b", 4, "new"), ("c", 1, None)], s)
+    got = ingest.upsert(old, new, ["k"], "at")
+    assert got.columns == ["k", "at", "v"] and {r.k: r.v for r in got.collect()} == {"a": "new", "b": "old", "c": None}
+
+
+def test_breaker_and_history(spark):
+    from docloom.operators import model_io
+
+    calls = spark.createDataFrame([("s", float(t), ok) for t, ok in [(0, False), (1, False), (2, False), (10, True), (33, False), (40, True), (70, True)]], "service string, at double, ok boolean")
+    got = [(r.state, r.allowed) for r in model_io.breaker_states(calls).orderBy("at").collect()]
+    assert got == [("closed", True), ("closed", True), ("open", True), ("open", False), ("open", True), ("open", False), ("closed", True)]
+    at = lambda h: datetime(2024, 1, 1, h)
+    history = spark.createDataFrame([(1, at(1), None), (2, at(1), at(2))], "rule_id int, fired_at timestamp, resolved_at timestamp")
+    changes = spark.createDataFrame([(1, at(3), "resolved"), (1, at(4), "firing"), (2, at(5), "firing"), (2, at(6), "resolved")], "rule_id int, at timestamp, to_state string")
+    rows = sorted((r.rule_id, r.fired_at.hour, r.resolved_at and r.resolved_at.hour) for r in model_io.history_after(history, changes).collect())
+    assert rows == [(1, 1, 3), (1, 4, None), (2, 1, 2), (2, 5, 6)]
+
+
+def test_tenants_keys_and_rules(spark):
+    from docloom.operators import admin
+
+    t = spark.createDataFrame([("t1", False, "k1"), ("t2", True, "k2")], "tenant_id string, suspended boolean, k string").select("tenant_id", "suspended", F.sha2("k", 256).alias("key_hash"))
+    got = admin.api_key_outcome(spark.createDataFrame([("k1",), ("k2",), ("k3",)], "api_key string"), t)
+    assert {r.api_key: r.error_code for r in got.collect()} == {"k1": None, "k2": "ERR_AUTH_002", "k3": "ERR_AUTH_001"}
+    rules = spark.createDataFrame(
+        [("budget_threshold", 0, "daily", None, None, None, "email", "a@b.c"), ("error_rate", None, None, 101.0, 5, None, "webhook", "http://x"), ("circuit_breaker", None, None, None, None, "ocr", "webhook", "ftp://x"), ("other", None, None, None, None, None, "email", "nobody")],
+        "rule_type string, threshold_tokens int, billing_period string, threshold_percent double, evaluation_window_minutes int, service_name string, channel string, target string",
+    )
+    assert [(r.errors.count(";") + bool(r.errors), r.target_ok) for r in admin.rule_errors(rules).collect()] == [(2, True), (1, True), (0, False), (1, False)]
