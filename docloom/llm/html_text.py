@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 SAMPLE_PAGES = 250
 SAMPLE_BYTES = 65_536
 PATH_DIM, WORD_DIM = 512, 1024
@@ -325,9 +327,10 @@ def train(pages: list[str], seed: int = 7) -> Labeller:
 
 
 def sample_pages(pages: DataFrame, n: int = SAMPLE_PAGES, max_bytes: int = SAMPLE_BYTES, html_col: str = "html") -> list[str]:
-    """The n pages with the least content hash, of those up to ``max_bytes`` long: bounded and the same each time."""
-    fit = pages.select(F.col(html_col).alias("h")).filter(F.octet_length("h").between(1, max_bytes))
-    return [r["h"] for r in fit.withColumn("o", F.xxhash64("h", F.lit(7))).orderBy("o", "h").limit(n).collect()]
+    """At most n distinct pages with low content hashes, of those up to ``max_bytes`` long: bounded and the same each time."""
+    fit = pages.select(F.col(html_col).alias("h")).filter(F.octet_length("h").between(1, max_bytes)).withColumn("o", F.xxhash64("h", F.lit(7)))
+    sample = hash_sample(fit, "o", pages.count(), n, distinct="h")
+    return [r["h"] for r in sample.collect()]
 
 
 def main_text(page: Column, model) -> Column:
