@@ -128,7 +128,7 @@ def scan_by_join(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list
 
     exploded = docs.select("__row", F.explode(places(utf8(text_col))).alias("p")).select("__row", "p.*")
     hits = exploded.join(windows, ["n", "window"]).groupBy("__row").agg(
-        F.collect_set(F.struct("at", "n")).alias("places"), F.array_sort(F.collect_set("item")).alias("items")
+        F.collect_set(F.struct("at", "n")).alias("__places"), F.array_sort(F.collect_set("item")).alias("__items")
     )
 
     @F.arrow_udf("array<struct<start:bigint,end:bigint>>")
@@ -149,14 +149,14 @@ def scan_by_join(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list
     def n_words(texts: pa.Array) -> pa.Array:
         return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
 
-    out = docs.join(hits, "__row", "left").withColumn("__spans", merged("places"))
+    out = docs.join(hits, "__row", "left").withColumn("__spans", merged("__places"))
     scan = F.struct(
         n_words(utf8(text_col)).alias("n_words"),
         F.aggregate("__spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"]).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
         F.col("__spans").alias("spans"),
     )
-    return out.withColumn("__scan", scan).drop("places", "items", "__spans")
+    return out.withColumn("__scan", scan).drop("__places", "__items", "__spans")
 
 
 def scan_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BROADCAST_BYTES, text_col: str = "text") -> DataFrame:
