@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, utf8
+from .common import WORD_TABLE, hash_sample, utf8
 
 SAMPLE = 2_000
 SAMPLE_BYTES = 65_536
@@ -149,10 +149,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, m
     """The sample: ids first (bounded), then their texts in one pass over the documents."""
     named = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 2))
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__o", F.xxhash64("doc_id"))
-    chosen = None
-    for k in (0, 1):
-        part = named.filter(F.col("__toxic") == k).orderBy("__o", "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.union(part)
+    sizes = {r["__toxic"]: r["count"] for r in named.groupBy("__toxic").count().collect()}
+    parts = [hash_sample(named.filter(F.col("__toxic") == k), "__o", sizes.get(k, 0), per_class) for k in (0, 1)]
+    chosen = parts[0].union(parts[1])
     fit = docs.select("doc_id", utf8("text").alias("__text")).filter(F.octet_length("__text") <= max_bytes)
     rows = fit.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("__o", "doc_id", "__text", "__toxic").collect()
     return [(bytes(r["__text"]), int(r["__toxic"])) for r in sorted(rows, key=lambda r: (r["__o"], r["doc_id"]))]
