@@ -54,17 +54,18 @@ def parse_date(raw: Column) -> Column:
     """ISO text stays, day/month/year with / - or . is turned (no calendar check), names of months are read, the rest stays."""
     t = F.trim(raw)
     dmy = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})$"
-    turned = F.concat(F.regexp_extract(t, dmy, 3), F.lit("-"), F.lpad(F.regexp_extract(t, dmy, 2), 2, "0"), F.lit("-"), F.lpad(F.regexp_extract(t, dmy, 1), 2, "0"))
-    spaced = F.initcap(F.regexp_replace(t, r"\s+", " "))
-    named = F.coalesce(*[F.try_to_timestamp(spaced, F.lit(f)) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d/MMM/yyyy")])
+    turned = F.regexp_replace(F.regexp_replace(t, dmy, "$3-0$2-0$1"), r"-0(\d{2})(?=-|$)", "-$1")
+    # month first, or day and short month between equal signs, as day month year
+    plain = F.regexp_replace(F.regexp_replace(t, r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$", "$2 $1 $3"), r"^(\d{1,2})([-/])([A-Za-z]{3})\2(\d{4})$", "$1 $3 $4")
+    plain = F.initcap(F.regexp_replace(plain, r"\s+", " "))
+    named = F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy")), F.try_to_timestamp(plain, F.lit("d MMMM yyyy")))
     return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t).when(t.rlike(dmy), turned).otherwise(F.coalesce(F.date_format(named, "yyyy-MM-dd"), t))
 
 
 def parse_swift_date(raw: Column) -> Column:
     """YYYYMMDD; anything else as by parse_date."""
     t = F.trim(raw)
-    iso = F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
-    return F.when(t.rlike(r"^\d{8}$"), iso).otherwise(parse_date(raw))
+    return F.when(t.rlike(r"^\d{8}$"), F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(parse_date(raw))
 
 
 def try_date(raw: Column) -> Column:

@@ -56,8 +56,24 @@ def share_of_peak(df: DataFrame, value: str = "total_tokens") -> DataFrame:
     return df.join(F.broadcast(peak)).withColumn("percent", F.round(F.coalesce(F.try_divide(F.col(value) * 100.0, F.col("peak")), F.lit(0.0)), 4)).drop("peak")
 
 
+def history_filter(df: DataFrame, rule: int | None = None, open_only: bool = False, statuses: tuple[str, ...] = ()) -> DataFrame:
+    """alert history of a rule, open rows only; or jobs of some statuses."""
+    if rule is not None:
+        df = df.filter(F.col("rule_id") == rule)
+    if open_only:
+        df = df.filter(F.col("resolved_at").isNull())
+    return df.filter(F.col("status").isin(*statuses)) if statuses else df
+
+
+def job_overview(jobs: DataFrame, usage: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Each job with its tenant's name and its calls; usage is summed by job before it is joined."""
+    spent = usage.groupBy("job_id").agg(F.count("*").alias("calls"), F.sum("total_tokens").alias("tokens"))
+    j = jobs.join(spent, "job_id", "left").join(tenants, "tenant_id", "left")
+    return j.withColumns({"calls": F.coalesce("calls", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50, largest: int = 200) -> DataFrame:
-    """K1, K2: one page of an ordered list, ties broken by the order given; size within 1..largest."""
+    """One page of an ordered list, ties broken by the order given; size within 1..largest."""
     size = min(max(size, 1), largest)
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 

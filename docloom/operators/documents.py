@@ -53,34 +53,43 @@ def normalised(value: Column, how: str) -> Column:
     return {
         "iban": C.normalise_iban,
         "date": C.parse_date,
-        "swift_date": C.parse_swift_date,
+        "swift_date": C.parse_swift_date,  # reads other dates too
         "amount": lambda v: C.parse_amount(v).cast("string"),
         "none": lambda v: v,
     }[how](value)
 
 
-def find_fields(lines: DataFrame, patterns: Mapping[str, Sequence[str]], order: Sequence[str] = ("page", "seq"), normalisers: Mapping[str, str] | None = None) -> DataFrame:
-    """doc_id, field, value, original_string, confidence, source, rule, and the order columns of the line.
+def find_fields(
+    lines: DataFrame, patterns: Mapping[str, Sequence[str]], order: Sequence[str] = ("page", "seq"), normalisers: Mapping[str, str] | None = None, text_of: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """doc_id, field, value, original_string, confidence, source, rule, and the order columns of the line.
 
     Patterns of a field are tried in order and each over all lines in order: the earliest pattern that fits anywhere
-    wins, at its first line. One pass over the lines: every line gives, for each field, its best pattern, and an
-    aggregate keeps the least (pattern, line) of a document; nothing is sorted or collected.
+    wins, at its first line; group 1 must not be empty. One pass over the lines, each pattern run once a line: a line
+    gives each field its best pattern, and an aggregate keeps the least (pattern, line) of a document; nothing is sorted
+    or collected. ``text_of`` gives a field another text than the column ``text`` (null: not sought in that line).
     """
     normalisers = normalisers or fixed.NORMALISERS
-    found = []
-    for field, tries in patterns.items():
-        hit = reduce(
-            lambda c, kp: c.when(F.col("text").rlike("(?im)" + kp[1]), F.struct(F.lit(kp[0]).alias("k"), F.regexp_extract("text", "(?im)" + kp[1], 1).alias("v"), F.lit(kp[1]).alias("p"))),
-            enumerate(tries),
-            F,
-        )
-        found.append(F.struct(F.lit(field).alias("field"), hit.alias("hit")))
-    rows = lines.select("doc_id", *order, F.explode(F.array(*found)).alias("f")).filter(F.col("f.hit").isNotNull())
-    best = rows.groupBy("doc_id", F.col("f.field").alias("field")).agg(F.min(F.struct(F.col("f.hit.k").alias("k"), *order, F.col("f.hit.v").alias("v"), F.col("f.hit.p").alias("p"))).alias("b"))
-    value = reduce(lambda c, f: c.when(F.col("field") == f, normalised(F.col("b.v"), normalisers.get(f, "none"))), patterns, F)
-    return best.select(
-        "doc_id", "field", value.alias("value"), F.col("b.v").alias("original_string"), F.lit(0.95).alias("confidence"), F.lit("native").alias("source"),
-        F.concat(F.lit("pattern:"), F.col("b.p")).alias("rule"), *[F.col(f"b.{c}").alias(c) for c in order],
+    text_of = text_of or {}
+
+    def best_in_line(field: str, tries: Sequence[str]) -> Column:
+        groups = F.array(*[F.regexp_extract(F.coalesce(text_of.get(field, F.col("text")), F.lit("")), "(?im)" + p, 1) for p in tries])
+        hits = F.transform(groups, lambda v, k: F.struct(k.alias("k"), *[F.col(c) for c in order], v.alias("v")))
+        return F.array_min(F.filter(hits, lambda h: h["v"] != ""))
+
+    names = list(patterns)
+    found = lines.groupBy("doc_id").agg(*[F.min(best_in_line(f, patterns[f])).alias(f"__{k}") for k, f in enumerate(names)])
+    each = [F.struct(F.lit(f).alias("field"), F.col(f"__{k}").alias("b"), F.get(F.array(*[F.lit(p) for p in patterns[f]]), F.col(f"__{k}.k")).alias("p")) for k, f in enumerate(names)]
+    rows = found.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.field", "f.b", "f.p").filter(F.col("b").isNotNull())
+    by_how: dict[str, list[str]] = {}
+    for f in names:
+        by_how.setdefault(normalisers.get(f, "none"), []).append(f)
+    value = reduce(lambda c, hf: c.when(F.col("field").isin(*hf[1]), normalised(F.col("b.v"), hf[0])), by_how.items(), F)
+    # the one-element array keeps the normalisers from being copied into every later use of the value
+    rows = rows.select("doc_id", "field", "b", "p", F.explode(F.array(value)).alias("value"))
+    return rows.select(
+        "doc_id", "field", "value", F.col("b.v").alias("original_string"), F.lit(0.95).alias("confidence"), F.lit("native").alias("source"),
+        F.concat(F.lit("pattern:"), F.col("p")).alias("rule"), *[F.col(f"b.{c}").alias(c) for c in order],
     )
 
 
@@ -128,7 +137,9 @@ def detect_kind(
     out = scored.withColumn("__r", ranked).withColumn("__best", best_kind([(k, F.col(f"__{k}")) for k in keywords]))
     top, second = F.get("__r", F.lit(0)), F.coalesce(F.get("__r", F.lit(1)), F.lit(0.0))
     known = (top >= least) & ~((second > 0) & (top < F.lit(gap) * second))
-    return out.select("doc_id", F.when(known, F.col("__best")).otherwise("unknown").alias("kind"), F.round(top, 8).alias("score"))
+    # the one-element array keeps the scores from being copied into every later filter on the kind
+    decided = F.struct(F.when(known, F.col("__best")).otherwise("unknown").alias("kind"), F.round(top, 8).alias("score"))
+    return out.select("doc_id", F.explode(F.array(decided)).alias("__d")).select("doc_id", "__d.kind", "__d.score")
 
 
 def page_profiles(pages: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -169,6 +180,6 @@ def relevant_pages(summaries: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def signature_overlap(a: Column, b: Column, words: int = 20) -> Column:
-    """Jaccard of the first words of two header texts, 0 if either has none."""
+    """Jaccard of the first words of two header texts, 0 if either has none."""
     x, y = (F.array_distinct(F.slice(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""), 1, words)) for c in (a, b))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))

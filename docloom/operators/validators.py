@@ -35,7 +35,7 @@ def identifiers(fields: DataFrame) -> DataFrame:
 
 
 def dates(fields: DataFrame, as_of: str, years: int = 10) -> DataFrame:
-    """V5: readable dates after ``as_of`` or more than ten years before it."""
+    """Readable dates after ``as_of`` or more than ten years before it."""
     now = F.lit(as_of).cast("timestamp")
     d = C.try_date(F.col("value"))
     bad = (d > now) | (d < now - F.make_interval(years=F.lit(years)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
 from docloom.functions.similarity import repair_json
-from docloom.operators import discovery, documents, layout, record, verify
+from docloom.operators import admin, discovery, documents, flow, layout, record, verify
 from docloom.sources import files, sinks
 from docloom.streaming import alerts, windows
 
@@ -132,7 +132,34 @@ def circuit_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.circuit_alerts(events, rules).groupBy("rule_id", "to_state").agg(F.count("*").alias("changes"))
 
 
-QUERIES = {f.__name__: f for f in (extract_documents, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page, seq, text: a bank statement, a custody statement or a SWIFT confirmation for every order."""
+    o = read(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+    money = F.concat(F.floor("o_totalprice").cast("string"), F.lit(".5"))
+    bank = [F.lit("Account Statement"), F.concat(F.lit("Account Number: "), F.lpad(F.col("k").cast("string"), 10, "7")), F.concat(F.lit("Statement Date: "), F.date_format("o_orderdate", "d/M/yyyy")), F.concat(F.lit("Opening Balance: £"), F.format_number(F.col("k"), 0)), F.when(F.col("k") % 7 != 0, F.concat(F.lit("Closing Balance: "), money))]
+    custody = [F.lit("Holdings and market value"), F.concat(F.lit("Portfolio ID: PORT-"), F.col("k").cast("string")), F.concat(F.lit("Valuation Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("Net Asset Value: €"), money)]
+    swift = [F.lit("Swift trade confirmation"), F.concat(F.lit(":98A::TRAD//"), F.date_format("o_orderdate", "yyyyMMdd")), F.lit(":35B:ISIN US0378331005"), F.concat(F.lit(":36B::SETT//UNIT/"), F.format_number(F.col("k"), 0)), F.lit(":95P::SELL//DEUTDEFFXXX"), F.lit(":20:R {4:")]
+    none = [F.lit("A letter to a friend")]
+    parts = F.when(F.col("k") % 4 == 0, F.array(*bank)).when(F.col("k") % 4 == 1, F.array(*custody)).when(F.col("k") % 4 == 2, F.array(*swift)).otherwise(F.array(*none))
+    lines_ = o.select(F.col("k").alias("doc_id"), F.lit(1).alias("page"), F.posexplode(parts).alias("seq", "text"))
+    return lines_.filter(F.col("text").isNotNull())
+
+
+def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds, fields and abstentions of a statement for every order, by the real patterns."""
+    run = flow.process(statements(spark, sf_dir))
+    found = run.fields.select("doc_id", "field", F.when(F.col("field").isin("closing_balance", "opening_balance", "total_value", "quantity", "price"), F.round(F.col("value").try_cast("double") * 10).cast("bigint").cast("string")).otherwise(F.col("value")).alias("value"))
+    return found.unionByName(run.abstentions.select("doc_id", "field", F.col("reason").alias("value"))).join(run.kinds.select("doc_id", "kind"), "doc_id")
+
+
+def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.floor("l_quantity").cast("bigint").alias("total_tokens"))
+    jobs_ = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("tenant_id"), F.col("o_orderstatus").alias("status"))
+    tenants = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant_id"), F.col("c_name").alias("tenant"))
+    return admin.job_overview(admin.history_filter(jobs_, statuses=("F", "O")), calls, tenants)
+
+
+QUERIES = {f.__name__: f for f in (extract_documents, process_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
 
 _PII = [(C.PII[e]) for e in C.PII]
 _REDACTED = "t"
@@ -142,7 +169,20 @@ for _p in _PII:
 _FOLD = """CASE WHEN starts_with(acc, 'resolved') THEN 'idle|' || split_part(acc, '|', 2) WHEN x = 't' AND starts_with(acc, 'firing') THEN acc
   WHEN x = 't' THEN 'firing|' || CAST(CAST(split_part(acc, '|', 2) AS BIGINT) + 1 AS VARCHAR) WHEN starts_with(acc, 'firing') THEN 'resolved|' || split_part(acc, '|', 2) ELSE 'idle|' || split_part(acc, '|', 2) END"""
 
+_MONEY = "CAST(CAST(floor(o_totalprice) AS BIGINT) * 10 + 5 AS VARCHAR)"
+_ISO = "strftime(o_orderdate, '%Y-%m-%d')"
+
 SQL = {
+    "process_documents": f"""WITH b AS (SELECT o_orderkey AS k, * FROM orders WHERE o_orderkey % 4 = 0), c AS (SELECT o_orderkey AS k, * FROM orders WHERE o_orderkey % 4 = 1), s AS (SELECT o_orderkey AS k, * FROM orders WHERE o_orderkey % 4 = 2)
+SELECT k AS doc_id, 'account_number' AS field, lpad(CAST(k AS VARCHAR), 10, '7') AS value, 'bank_statement' AS kind FROM b
+UNION ALL SELECT k, 'statement_date', {_ISO}, 'bank_statement' FROM b UNION ALL SELECT k, 'opening_balance', CAST(k * 10 AS VARCHAR), 'bank_statement' FROM b
+UNION ALL SELECT k, 'closing_balance', CASE WHEN k % 7 <> 0 THEN {_MONEY} ELSE 'ERR_EXTRACT_001' END, 'bank_statement' FROM b
+UNION ALL SELECT k, 'portfolio_id', 'PORT-' || CAST(k AS VARCHAR), 'custody_statement' FROM c UNION ALL SELECT k, 'valuation_date', {_ISO}, 'custody_statement' FROM c UNION ALL SELECT k, 'total_value', {_MONEY}, 'custody_statement' FROM c
+UNION ALL SELECT k, 'trade_date', {_ISO}, 'swift_confirm' FROM s UNION ALL SELECT k, 'isin', 'US0378331005', 'swift_confirm' FROM s UNION ALL SELECT k, 'quantity', CAST(k * 10 AS VARCHAR), 'swift_confirm' FROM s
+UNION ALL SELECT k, 'counterparty_bic', 'DEUTDEFFXXX', 'swift_confirm' FROM s UNION ALL SELECT k, unnest(['settlement_date', 'price']), 'ERR_EXTRACT_001', 'swift_confirm' FROM s
+UNION ALL SELECT o_orderkey, 'document_kind', 'ERR_EXTRACT_002', 'unknown' FROM orders WHERE o_orderkey % 4 = 3""",
+    "job_overview": """WITH u AS (SELECT l_orderkey AS job_id, count(*) AS calls, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS tokens FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS job_id, o_custkey AS tenant_id, o_orderstatus AS status, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, c_name AS tenant FROM orders LEFT JOIN u ON u.job_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('F', 'O')""",
     "extract_documents": f"""WITH {_FOUND}, found AS (SELECT doc_id, field, value FROM best WHERE n = 1),
 d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), nw AS (SELECT *, {_WORDS} AS nw FROM d), s AS (SELECT doc_id, {_penalised("kind_a")} AS a, {_penalised("kind_b")} AS b, {_penalised("kind_c")} AS c FROM nw),
 r AS (SELECT *, greatest(a, b, c) AS top, list_reverse_sort([a, b, c])[2] AS second FROM s), g AS (SELECT doc_id, count(*) AS n, list(field) AS fs, max(value) FILTER (field = 'word') AS word FROM found GROUP BY 1),

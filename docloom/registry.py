@@ -16,7 +16,7 @@ def _plans() -> list:
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["extract_documents"](spark, sf_dir)
+    return queries()["process_documents"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -58,7 +58,7 @@ def standalone_payload(job_id: Column, trace_id: Column, status: Column, result:
 
 
 def deliver(payloads: DataFrame, send: Callable[[str], bool], attempts: int = 3, pause: Callable[[int], float] = lambda n: min(2.0**n, 30.0)) -> DataFrame:
-    """Payloads (payload) with ``delivered`` and ``attempts``; a refused one is tried again after a pause.
+    """Payloads (payload) with ``delivered`` and ``attempts``; a refused one is tried again after a pause.
 
     Runs where the rows are; for a stream, call it inside foreachBatch.
     """

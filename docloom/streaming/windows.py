@@ -45,3 +45,9 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
         q = stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_every(stream: DataFrame, each_batch, checkpoint: str, seconds: int = 60, mode: str = "append"):
+    """ST6: the running query that hands each micro-batch to ``each_batch`` (frame, batch id) at a fixed pace."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=f"{seconds} seconds").start()

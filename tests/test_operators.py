@@ -211,3 +211,20 @@ def test_tenants_keys_and_rules(spark):
         "rule_type string, threshold_tokens int, billing_period string, threshold_percent double, evaluation_window_minutes int, service_name string, channel string, target string",
     )
     assert [(r.errors.count(";") + bool(r.errors), r.target_ok) for r in admin.rule_errors(rules).collect()] == [(2, True), (1, True), (0, False), (1, False)]
+
+
+def test_whole_flow(spark):
+    from docloom.operators import flow
+
+    texts = {"b": ["Account Statement", "IBAN: GB29NWBK60161331926819", "Closing Balance: £1,500.00", "Statement Date: 15/01/2034"], "c": ["Portfolio holdings and valuation", "Portfolio ID: PORT-12345", "Total Value: EUR 1,234"], "x": ["A letter"]}
+    rows = [(d, 1, k, float(k) * 20, t) for d, ts in texts.items() for k, t in enumerate(ts)]
+    blocks = spark.createDataFrame([(d, p, k, t, 10.0, y, 200.0, y + 12) for d, p, k, y, t in rows], "doc_id string, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double")
+    page_tables = spark.createDataFrame([("b", 1, 1, ["Date", "Description", "Debit", "Credit", "Balance"], [["1"]]), ("b", 2, 2, ["Date", "Description", "Debit", "Credit", "Balance"], [["2"]])], "doc_id string, page int, table_seq int, headers array<string>, rows array<array<string>>")
+    lines, stitched = flow.assemble(blocks, page_tables)
+    run = flow.process(lines, stitched, "2030-01-01")
+    assert {r.doc_id: r.kind for r in run.kinds.collect()} == {"b": "bank_statement", "c": "custody_statement", "x": "unknown"}
+    assert {(r.doc_id, r.field): r.value for r in run.fields.collect()} == {("b", "account_number"): "GB29NWBK60161331926819", ("b", "closing_balance"): "1500.0", ("b", "statement_date"): "2034-01-15", ("c", "portfolio_id"): "PORT-12345"}
+    assert {(r.doc_id, r.field) for r in run.abstentions.collect()} == {("b", "opening_balance"), ("c", "valuation_date"), ("c", "total_value"), ("x", "document_kind")}
+    assert {r.doc_id: r.status for r in run.summary.collect()} == {"b": "complete", "c": "partial", "x": "failed"}
+    assert [(r.doc_id, r.validator) for r in run.failures.collect()] == [("b", "date_range")]
+    assert [(r.doc_id, len(r.rows)) for r in run.tables.collect()] == [("b", 2)]
