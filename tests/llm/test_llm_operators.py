@@ -159,9 +159,11 @@ def test_contamination(spark, limit):
     assert [r.items_sha256 for r in got] == [hashlib.sha256(",".join(x[2]).encode()).hexdigest() for x in want]
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontaminate(spark, limit):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    d = docs_of(spark, TEXTS)
+    d = docs_of(spark, TEXTS).withColumn("items", F.lit(1)).withColumn("n", F.lit(2))
+    assert sorted(r.doc_id for r in decontamination.decontaminate(d, items, max_bytes=limit).collect()) == [2, 3, 4, 5]
     assert [r.doc_id for r in decontamination.decontaminate(d, items).orderBy("doc_id").collect()] == [2, 3, 4, 5]
     cut = {r.doc_id: r.text for r in decontamination.decontaminate(d, items, remove="spans", max_hit_share=0.95).collect()}
     assert cut == {0: "x  y", 1: "a ", 2: TEXTS[2], 3: None, 4: "", 5: "short one"}
@@ -231,8 +233,7 @@ def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    extra = [None, "", " a", "a  b", "tab\t \n x ", "<|endoftext|> it's", "word " * 3000]
+    extra = [None, "", " a", "a  b", "tab\t \n x ", "a\n \nb", "a\n b\u3000 c", "<|endoftext|> it's", "x <|endoftext|><|endoftext|>y", "word " * 3000]
     rows = {**documents, **{-1 - k: x for k, x in enumerate(extra)}}
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in rows.items()}
     out = packing.pack_documents(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"), group_size=150).collect()
