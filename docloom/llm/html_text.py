@@ -147,7 +147,7 @@ class Features:
     def path(self, path: tuple) -> list[int]:
         found = self.paths.get(path)
         if found is None:
-            names = [f"{depth_name}" for e in path for depth_name in (e[0], *(f".{w}" for w in e[1:]))]
+            names = [n for e in path for n in (e[0], *(f".{w}" for w in e[1:]))]
             names += [f"{a[0]}>{b[0]}" for a, b in zip(path, path[1:])] + ([f"leaf:{path[-1][0]}"] if path else ["none"])
             found = [zlib.crc32(n.encode("utf-8", "surrogatepass")) % PATH_DIM for n in names]
             if len(self.paths) >= 100_000:
@@ -181,7 +181,8 @@ class Labeller:
         shape = {"path": (PATH_DIM, PATH_EMB), "word": (WORD_DIM, WORD_EMB), "out": (2 * HIDDEN, 1), "bias": (1,)}
         for side in "fb":
             shape |= {f"x{side}": (self.n_in, 4 * HIDDEN), f"h{side}": (HIDDEN, 4 * HIDDEN), f"c{side}": (4 * HIDDEN,)}
-        self.w = {k: (r.normal(0, 0.3 / np.sqrt(max(1, s[0] if k not in ("path", "word") else 1)) * 2, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
+        spread = lambda k, s: 0.6 if k in ("path", "word") else 0.6 / np.sqrt(s[0])
+        self.w = {k: (r.normal(0, spread(k, s), s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
         for side in "fb":
             self.w[f"c{side}"][HIDDEN : 2 * HIDDEN] = 1  # forget gates start open
 
