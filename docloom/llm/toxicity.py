@@ -4,6 +4,10 @@ A document is a bag of sentences. A sentence's score is a logistic function of i
 document's score is the noisy-or of its sentences, one minus the product of their complements. Weights are trained from
 document labels alone through that noisy-or, and then tell which sentences offend.
 
+Summed over a long text, the little that each clean sentence scores would pass any threshold. So sentences under
+``THRESHOLD`` count only by what their log-complements sum to beyond the sum that as many sentences of the sample's clean
+documents reach (mean and ``CHANCE`` standard errors); the others count whole, and the most toxic one always does.
+
 Training reads a bounded sample (``SAMPLE`` labelled documents a class, of at most ``SAMPLE_BYTES`` each, chosen by a
 hash of doc_id); scoring reads every word of every document. Null and empty texts have no sentences and score 0.
 """
@@ -26,6 +30,10 @@ DIM = 1 << 20
 #: Standard errors that a bucket's log-odds must keep above zero to be used; rarer buckets would be learnt by heart.
 SURE = 2.0
 THRESHOLD = 0.3
+#: Standard errors beyond the mean of clean sentences that weak sentences must sum to before they count.
+CHANCE = 4.0
+#: The log-complement, negated, of a sentence at the threshold.
+WEAK = -np.log1p(-THRESHOLD)
 PREFIXES = (4, 6)
 _SENTENCE = re.compile(rb"[^.!?\n]+")
 
@@ -49,12 +57,13 @@ def sentences_of(text: bytes | None) -> list[tuple[int, int, set[bytes]]]:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights.astype(np.float32), float(bias)
+    def __init__(self, weights: np.ndarray, bias: float, mean: float = 0.0, spread: float = 0.0):
+        """``mean`` and ``spread`` (standard deviation): of the log-complements of clean documents' weak sentences."""
+        self.weights, self.bias, self.mean, self.spread = weights.astype(np.float32), float(bias), float(mean), float(spread)
         self.words: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "words": {}}
+        return {"weights": self.weights, "bias": self.bias, "mean": self.mean, "spread": self.spread, "words": {}}
 
     def word(self, w: bytes) -> float:
         x = self.words.get(w)
@@ -75,7 +84,10 @@ class Model:
             return 0.0, []
         z = self.logits(sentences)
         found = [{"start": sentences[k][0], "end": sentences[k][1], "score": float(1 / (1 + np.exp(-z[k])))} for k in np.flatnonzero(z >= 0)] if locate else []
-        return float(-np.expm1(-np.logaddexp(0, z).sum())), found
+        mass = np.logaddexp(0, z)
+        weak = mass[mass < WEAK]
+        beyond = weak.sum() - len(weak) * self.mean - CHANCE * self.spread * len(weak) ** 0.5
+        return float(-np.expm1(-max(mass.max(), mass[mass >= WEAK].sum() + max(0.0, beyond)))), found
 
 
 def sure_evidence(documents: np.ndarray, clean: float, toxic: float, sure: float = SURE) -> np.ndarray:
@@ -137,7 +149,9 @@ def train(rows: list[tuple[bytes | None, int]], steps: int = 200, rate: float =
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     weights = np.zeros(DIM)
     weights[used] = (w * scale)[:-1]
-    return Model(weights, b)
+    mass = np.logaddexp(0, np.add.reduceat((w * scale)[flat], starts) + b)[np.repeat(y == 0, bags)]
+    weak = mass[mass < WEAK]
+    return Model(weights, b, *((weak.mean(), weak.std()) if len(weak) else ()))
 
 
 def remainder(doc_id: Column) -> Column:

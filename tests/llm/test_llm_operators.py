@@ -403,6 +403,22 @@ def test_noisy_or_finds_the_sentence():
     assert m.score(None) == (0.0, []) and m.score(b"...") == (0.0, [])
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    big = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    m = toxicity.train(toxicity.training_rows(docs, labels))
+    rows = [(r.text.encode(), r.toxic) for r in docs.join(labels, "doc_id").filter("text is not null").orderBy("doc_id").collect()]
+    clean = [t for t, k in rows if k == 0 and m.score(t)[0] < 0.3]
+    worst = max((t for t, k in rows if k == 1), key=lambda t: m.score(t)[0])
+    offending = max(m.score(worst)[1], key=lambda s: s["score"])
+    offending = worst[offending["start"] : offending["end"]].strip()
+    for n in (100, len(clean)):
+        joined = b"\n".join(clean[:n])
+        assert len(joined) > 100_000 and m.score(joined)[0] < 0.3
+        score, found = m.score(joined + b"\n" + offending + b"\n")
+        assert score >= 0.3 and any(f["start"] == len(joined) + 1 for f in found)
+
+
 def test_long_texts(spark):
     text = "the words of a very long text. " * 60_000
     d = docs_of(spark, [text])
