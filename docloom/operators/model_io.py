@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,24 +90,31 @@ def breaker_states(calls: DataFrame, threshold: int = 3, recovery: float = 30.0)
     """Service, at, state and allowed for a service's calls (service, at in seconds, ok) in order.
 
     ``threshold`` failures in a row open the breaker; ``recovery`` seconds later one call is let through, and its success
-    closes it. A refused call counts for nothing.
+    closes it. A refused call counts for nothing. Calls are sorted by service and time and run through batch by batch;
+    only the breaker's state is carried, so a service may have any number of calls, but its calls run in one task.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "ok")))
-    start = F.struct(
-        F.lit("closed").alias("state"), F.lit(0).alias("failed"), F.lit(0.0).alias("last"),
-        F.array().cast("array<struct<at: double, state: string, allowed: boolean>>").alias("log"),
-    )
-
-    def fold(acc: Column, call: Column) -> Column:
-        allowed = (acc["state"] != "open") | (call["at"] - acc["last"] >= recovery)
-        failed = F.when(~allowed, acc["failed"]).when(call["ok"], 0).otherwise(acc["failed"] + 1)
-        state = F.when(~allowed, "open").when(call["ok"], "closed").when(failed >= threshold, "open").otherwise(acc["state"])
-        last = F.when(allowed & ~call["ok"], call["at"]).otherwise(acc["last"])
-        entry = F.struct(call["at"].alias("at"), state.alias("state"), allowed.alias("allowed"))
-        return F.struct(state.alias("state"), failed.alias("failed"), last.alias("last"), F.concat(acc["log"], F.array(entry)).alias("log"))
-
-    g = calls.withColumn("at", F.col("at").cast("double")).groupBy("service").agg(F.aggregate(ordered, start, fold)["log"].alias("log"))
-    return g.select("service", F.explode("log").alias("l")).select("service", "l.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service, state, failed, last = None, "closed", 0, 0.0
+        first = True
+        for batch in batches:
+            states, passed = [], []
+            for name, at, ok in zip(*(batch.column(c).to_pylist() for c in ("service", "at", "ok"))):
+                if first or name != service:
+                    service, state, failed, last, first = name, "closed", 0, 0.0, False
+                allowed = state != "open" or (at is not None and at - last >= recovery)
+                if allowed and ok:
+                    state, failed = "closed", 0
+                elif allowed:
+                    failed, last = failed + 1, at if at is not None else last
+                    state = "open" if failed >= threshold else state
+                states.append(state)
+                passed.append(allowed)
+            yield pa.RecordBatch.from_arrays([batch.column("service"), batch.column("at"), pa.array(states, pa.string()), pa.array(passed, pa.bool_())], ["service", "at", "state", "allowed"])
+
+    c = calls.select("service", F.col("at").cast("double").alias("at"), "ok")
+    kind = c.schema["service"].dataType.simpleString()
+    return c.repartition("service").sortWithinPartitions("service", "at", "ok").mapInArrow(run, f"service {kind}, at double, state string, allowed boolean")
 
 
 def history_after(history: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The alert state machine, as a fold over a table of evaluations and as a stateful stream.
+"""The alert state machine, over a table of evaluations and as a stateful stream.
 
 idle -> firing when a rule is breached, firing -> resolved when it is no longer, resolved -> idle on the next
 evaluation, whatever it says. Entering firing notifies.
@@ -9,30 +9,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def next_state(state: Column, breached: Column) -> Column:
-    return F.when(state == "resolved", "idle").when(breached, "firing").when(state == "firing", "resolved").otherwise("idle")
+STATES = ("idle", "firing", "resolved")
+#: Places in STATES after an evaluation that is not breached, and after one that is.
+_NEXT = ((0, 2, 0), (1, 1, 0))
+_SEGMENT = "at bigint, breached boolean, ends array<int>, sent array<bigint>, evaluations bigint"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each rule's rows of a sorted partition do to a rule that enters idle, firing or resolved; rows are not kept."""
+    names = ["rule_id", *[f.split()[0] for f in _SEGMENT.split(", ")]]
+    now, schema = None, None
+
+    def rows(segments: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s[k] for s in segments], t) for k, t in enumerate(schema)], names)
+
+    for batch in batches:
+        schema = [batch.schema.field("rule_id").type, pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
+        done = []
+        for rule, at, breached in zip(*(batch.column(c).to_pylist() for c in ("rule_id", "at", "breached"))):
+            if now is None or now[0] != rule:
+                if now is not None:
+                    done.append(now)
+                now = [rule, at, breached, [0, 1, 2], [0, 0, 0], 0]
+            ends, sent, after = now[3], now[4], _NEXT[bool(breached)]
+            for k in range(3):
+                new = after[ends[k]]
+                sent[k] += new == 1 != ends[k]
+                ends[k] = new
+            now[5] += 1
+        if done:
+            yield rows(done)
+    if now is not None:
+        yield rows([now])
 
 
 def alert_summary(evaluations: DataFrame) -> DataFrame:
     """ST1, ST2: rule_id, state after the last evaluation, notifications sent, of evaluations (rule_id, at, breached).
 
-    A rule's evaluations are folded in order by expressions alone.
+    Evaluations are dealt by ranges of (rule_id, at), so that a busy rule is cut into stretches of time. Each stretch is
+    reduced to its effect on each of the three states; a rule's effects, one a partition at most, are composed in order.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "breached")))
-    start = F.struct(F.lit("idle").alias("state"), F.lit(0).cast("bigint").alias("sent"))
-
-    def fold(acc: Column, e: Column) -> Column:
-        new = next_state(acc["state"], e["breached"])
-        fired = (new == "firing") & (acc["state"] != "firing")
-        return F.struct(new.alias("state"), (acc["sent"] + fired.cast("bigint")).alias("sent"))
-
-    g = evaluations.groupBy("rule_id").agg(F.aggregate(ordered, start, fold).alias("a"), F.count("*").alias("evaluations"))
-    return g.select("rule_id", F.col("a.state").alias("state"), F.col("a.sent").alias("notifications"), "evaluations")
+    e = evaluations.select("rule_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "breached")
+    dealt = e.repartitionByRange("rule_id", "at", "breached").sortWithinPartitions("rule_id", "at", "breached")
+    rule = evaluations.select("rule_id").schema[0].dataType.simpleString()
+    segments = dealt.mapInArrow(_segments, f"rule_id {rule}, {_SEGMENT}")
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("bigint").alias("sent"))
+
+    def compose(acc: Column, s: Column) -> Column:
+        return F.struct(F.get(s["ends"], acc["state"]).alias("state"), (acc["sent"] + F.get(s["sent"], acc["state"])).alias("sent"))
+
+    ordered = F.array_sort(F.collect_list(F.struct("at", "breached", "ends", "sent")))
+    g = segments.groupBy("rule_id").agg(F.aggregate(ordered, start, compose).alias("a"), F.sum("evaluations").alias("evaluations"))
+    return g.select("rule_id", F.get(F.array(*map(F.lit, STATES)), F.col("a.state")).alias("state"), F.col("a.sent").alias("notifications"), "evaluations")
 
 
 TRANSITION = "rule_id bigint, at timestamp, from_state string, to_state string"

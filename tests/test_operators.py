@@ -180,6 +180,33 @@ def test_alert_stream_equals_the_fold(spark, tmp_path, flags, states):
     assert got.state == (states[-1] if states else "idle") and got.notifications == states.count("firing")
 
 
+def test_busy_keys_are_not_gathered_in_one_row(spark):
+    from docloom.operators import model_io
+
+    n = 20_000
+    e = spark.range(n).selectExpr("1L AS rule_id", "timestamp_seconds(id) AS at", "hash(id) % 5 > 1 AS breached")
+    with_plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    state, sent = "idle", 0
+    for r in e.orderBy("at").collect():
+        new = "idle" if state == "resolved" else "firing" if r.breached else "resolved" if state == "firing" else "idle"
+        sent += new == "firing" != state
+        state = new
+    got = alerts.alert_summary(e)
+    assert "rangepartitioning" in with_plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, state, sent, n)]
+    calls = e.selectExpr("'s' AS service", "CAST(unix_seconds(at) AS DOUBLE) AS at", "NOT breached AS ok")
+    states = model_io.breaker_states(calls, 2, 7.0)
+    assert "collect_list" not in with_plan(states)
+    now, failed, last, want = "closed", 0, 0.0, []
+    for r in calls.orderBy("at").collect():
+        allowed = now != "open" or r.at - last >= 7
+        if allowed:
+            failed = 0 if r.ok else failed + 1
+            now, last = ("closed", last) if r.ok else ("open" if failed >= 2 else now, r.at)
+        want.append((r.at, now, allowed))
+    assert sorted((r.at, r.state, r.allowed) for r in states.collect()) == want
+
+
 def test_upsert(spark):
     s = "k string, at int, v string"
     old, new = spark.createDataFrame([("a", 1, "old"), ("b", 5, "old")], s), spark.createDataFrame([("a", 1, "new"), ("b", 4, "new"), ("c", 1, None)], s)
