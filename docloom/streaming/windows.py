@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.shared import shared_dir
 
@@ -32,18 +34,27 @@ def progress_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("job_id", "kind").agg(F.count("*").alias("done"), F.max("total").alias("total"))
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Runs a stream over all that is there (availableNow) into Parquet in the shared folder, and reads it.
 
-    In the modes complete and update the last batch's rows replace earlier ones.
+    In the mode complete the last batch's rows replace earlier ones. In the mode update each batch is kept under its id
+    and the last row of each of ``keys`` is read.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     spark: SparkSession = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
+    elif mode == "update":
+        q = stream.writeStream.outputMode(mode).foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{folder}/out/run_once_batch={k}")).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     else:
         q = stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out")).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start()
     q.awaitTermination()
+    if mode == "update":
+        rows = spark.read.schema(StructType([*stream.schema.fields, StructField("run_once_batch", LongType())])).parquet(f"{folder}/out")
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "run_once_batch").alias("r"))
+        return last.select("r.*")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

@@ -180,6 +180,17 @@ def test_alert_stream_equals_the_fold(spark, tmp_path, flags, states):
     assert got.state == (states[-1] if states else "idle") and got.notifications == states.count("firing")
 
 
+def test_update_mode_keeps_keys_of_earlier_batches(spark, tmp_path):
+    from docloom.streaming.windows import progress_counts
+
+    schema = "job_id string, kind string, total int"
+    for rows in ([("a", "page", 3), ("b", "page", 2)], [("b", "page", 2)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p")
+    out = run_once(progress_counts(stream), "update", ["job_id", "kind"])
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "page", 1, 3), ("b", "page", 2, 2)]
+
+
 def test_busy_keys_are_not_gathered_in_one_row(spark):
     from docloom.operators import model_io
 
