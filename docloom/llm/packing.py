@@ -2,16 +2,18 @@
 
 Documents are tokenised, closed with an end id and, only if longer than ``capacity``, cut into pieces: full ones, after
 a shorter first one. Pieces are dealt to groups of a bounded number (``group_size``) by a hash; each group is packed on
-its own: best fit over descending lengths, then local search over the underfull bins. A search step moves a piece,
-exchanges one for one or two for one between two bins whenever that raises the sum of squared fills, which drains light
-bins until they are empty. Bins that stay underfull are opened again and packed once more with those of other groups,
-so that the loss does not grow with the number of groups.
+its own: best fit in the order dealt, then local search over all underfull bins. A search step moves a piece, exchanges
+one for one or two for one between two bins whenever that raises the sum of squared fills, which drains light bins
+until they are empty. Bins that stay underfull are opened again and packed once more with those of other groups, so
+that the loss does not grow with the number of groups.
 
-Null texts are empty: one piece with the end id only. Every piece lies whole in one sequence, gapless from 0.
+Null texts are empty: one piece with the end id only. Every piece lies whole in one sequence, gapless from 0. Repeated
+rows are packed as often as they stand; columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from functools import lru_cache, reduce
@@ -54,6 +56,8 @@ class Encoder:
         with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.leads = np.zeros(max(ranks.values()) + 1, dtype=bool)  # ids whose token begins with a space
+        self.leads[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.units: dict[str, bytes] = {}
 
     def ids_of(self, text: str) -> bytes:
@@ -67,6 +71,13 @@ class Encoder:
             return b"".join(self.special[t] if t in self.special else self.plain(t) for t in self.split.split(text))
         return self.plain(text)
 
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of the units of the words, encoded in one go; only a unit's first token begins with a space."""
+        order = list(words)
+        ids = np.array(self.model.encode_ordinary(" " + " ".join(order)), dtype="<u4")
+        data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
+        return {w: data[a:b] for w, a, b in zip(order, at[:-1], at[1:], strict=True)}
+
     def plain(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if not first or first[-1].isspace():
@@ -74,15 +85,14 @@ class Encoder:
         units = self.units
         ids = list(map(units.get, words))
         if not all(ids):
-            for k, word in enumerate(words):
-                if ids[k] is None:
-                    if not word or word[-1].isspace():  # white space before the next space
-                        return self.ids_of(text)
-                    ids[k] = self.ids_of(" " + word)
-                    if len(word) <= 32:
-                        if len(units) >= MAX_UNITS:
-                            units.clear()
-                        units[word] = ids[k]
+            missing = {w for w, x in zip(words, ids) if x is None}
+            if any(not w or w[-1].isspace() for w in missing):  # white space before the next space
+                return self.ids_of(text)
+            new = self.learn(missing)
+            ids = [x or new[w] for w, x in zip(words, ids)]
+            if len(units) + len(new) > MAX_UNITS:
+                units.clear()
+            units.update((w, x) for w, x in new.items() if len(w) <= 32)
         return self.ids_of(first) + b"".join(ids)
 
 
@@ -125,12 +135,11 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = Tr
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of indices: each piece, the longest first, goes where it leaves least room."""
+    """Bins of indices: each piece, in the order given, goes where it leaves least room."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r is set if a bin with room r is open
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
+    for i, n in enumerate(lengths.tolist()):
         fitting = rooms >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -147,72 +156,213 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, max_rounds: int = 20, max_open: int = 200) -> list[list[int]]:
-    """Raises the sum of squared fills of the underfull bins by moves and exchanges; returns the bins that are not empty.
-
-    Bins are taken from the lightest; each gives pieces to fuller ones: a move of one piece, one of its pieces for a
-    shorter one, or two for one either way. Every step moves length from a lighter to a fuller bin, so squared fill
-    rises and the search ends; it also ends once no packing can have fewer bins. Of more than ``max_open`` underfull
-    bins the emptiest are searched; the others keep their pieces.
+class _Open:
+    """The underfull bins, filed by room, with bit masks of the piece lengths and of the sums of two that they hold."""
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.size, self.capacity = size, capacity
+        self.bins: list[dict[int, list[int]]] = []  # length -> pieces
+        self.fill: list[int] = []
+        self.one: list[int] = []
+        self.two: list[int] = []
+        self.at: list[dict[int, None]] = [{} for _ in range(capacity + 1)]  # room -> bins, in order of arrival
+        self.seen = [[0, 0] for _ in range(capacity + 1)]  # masks of a room's bins; may name lengths that have left
+        self.rooms: list[int] = []
+        for members in bins:
+            held: dict[int, list[int]] = {}
+            for i in members:
+                held.setdefault(size[i], []).append(i)
+            self.bins.append(held)
+            self.fill.append(0)
+            self.one.append(0)
+            self.two.append(0)
+            self.file(len(self.bins) - 1)
+
+    def file(self, b: int) -> None:
+        held = self.bins[b]
+        self.fill[b] = sum(n * len(x) for n, x in held.items())
+        one = two = 0
+        for n, x in held.items():
+            one |= 1 << n
+        for n, x in held.items():
+            two |= (one if len(x) > 1 else one & ~(1 << n)) << n
+        self.one[b], self.two[b] = one, two & ((1 << self.capacity) - 1)
+        room = self.capacity - self.fill[b]
+        if 0 < room < self.capacity:
+            if not self.at[room]:
+                bisect.insort(self.rooms, room)
+                self.seen[room] = [0, 0]
+            self.at[room][b] = None
+            self.seen[room][0] |= one
+            self.seen[room][1] |= self.two[b]
+
+    def unfile(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if b in self.at[room]:
+            del self.at[room][b]
+            if not self.at[room]:
+                self.rooms.remove(room)
+
+    def holder(self, room: int, n: int, pair: int, but: int) -> int | None:
+        """A bin of that room that holds the length (or, with ``pair``, two of that sum)."""
+        masks = self.two if pair else self.one
+        for b in self.at[room]:
+            if masks[b] >> n & 1 and b != but:
+                return b
+        mask = 0
+        for b in self.at[room]:
+            mask |= masks[b]
+        self.seen[room][pair] = mask
+        return None
+
+    def exact(self, s: int, a: int) -> tuple[int, int, int] | None:
+        """(bin, length it gives back, whether as two) of a step that takes s from bin a and fills another one up."""
+        for b in self.at[s] if s < self.capacity else ():
+            if b != a:
+                return b, 0, 0
+        for room in self.rooms:
+            if room >= s:
+                break
+            back = s - room
+            for pair in (0, 1):
+                if self.seen[room][pair] >> back & 1:
+                    b = self.holder(room, back, pair, a)
+                    if b is not None:
+                        return b, back, pair
+        return None
+
+    def best(self, s: int, a: int) -> tuple[int, tuple[int, int, int]] | None:
+        """(gain in squared fill, step) of the best step that takes s from bin a and fills no bin up."""
+        found, most, fill = None, 0, self.fill[a]
+        for room in self.rooms:
+            heavy = self.capacity - room
+            if heavy < fill:
+                break
+            if room > s and 2 * s * (heavy - fill + s) > most:
+                b = next((b for b in self.at[room] if b != a), None)
+                if b is not None:
+                    found, most = (b, 0, 0), 2 * s * (heavy - fill + s)
+            least = max(1, s - room)
+            for pair in (0, 1):
+                rest = self.seen[room][pair] >> least
+                while rest:
+                    back = least + (rest & -rest).bit_length() - 1
+                    d = s - back
+                    if d <= 0 or 2 * d * (heavy - fill + d) <= most:
+                        break
+                    b = self.holder(room, back, pair, a)
+                    if b is not None:
+                        found, most = (b, back, pair), 2 * d * (heavy - fill + d)
+                        break
+                    rest &= rest - 1
+        return (most, found) if found else None
+
+    def take(self, b: int, n: int, pair: bool) -> list[int]:
+        """Takes a piece of length n, or two of that sum, out of bin b."""
+        held, out = self.bins[b], []
+        parts = [n]
+        if pair:
+            x = next(x for x in sorted(held) if n - x in held and (2 * x != n or len(held[x]) > 1))
+            parts = [x, n - x]
+        for x in parts:
+            out.append(held[x].pop())
+            if not held[x]:
+                del held[x]
+        return out
+
+    def apply(self, a: int, s: int, as_pair: bool, step: tuple[int, int, int]) -> None:
+        b, back, pair = step
+        self.unfile(a)
+        self.unfile(b)
+        given = self.take(a, s, as_pair)
+        returned = self.take(b, back, bool(pair)) if back else []
+        for to, pieces_ in ((b, given), (a, returned)):
+            for i in pieces_:
+                self.bins[to].setdefault(self.size[i], []).append(i)
+        self.file(a)
+        self.file(b)
+
+    def offers(self, a: int, as_pair: bool) -> list[int]:
+        """Lengths that bin a can give, the longest first."""
+        mask, out = (self.two if as_pair else self.one)[a], []
+        while mask:
+            n = mask.bit_length() - 1
+            out.append(n)
+            mask ^= 1 << n
+        return out
+
+    def improve(self, a: int) -> bool:
+        """Takes the first step that fills a bin up, else the one that gains most; False if bin a has no step."""
+        best = None
+        for as_pair in (False, True):
+            for s in self.offers(a, as_pair):
+                step = self.exact(s, a)
+                if step and not (as_pair and not step[1]):  # two pieces are moved one by one
+                    self.apply(a, s, as_pair, step)
+                    return True
+        for as_pair in (False, True):
+            for s in self.offers(a, as_pair):
+                step = self.best(s, a)
+                if step and (best is None or step[0] > best[0]) and not (as_pair and not step[1][1]):
+                    best = (step[0], s, as_pair, step[1])
+        if best:
+            self.apply(a, *best[1:])
+        return best is not None
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Raises the sum of squared fills by moves and exchanges until no step is left; returns the bins that are not empty.
+
+    The lightest underfull bin gives: it moves a piece, or gives one for one, two for one, or one for two, to a bin that
+    is no lighter. Steps that fill a bin up come first, else that which gains most. Net length always goes from a
+    lighter to a fuller bin, so squared fill rises with every step and the search ends: when every underfull bin has
+    been tried since the last step, or once no packing can have fewer bins. All underfull bins take part, whatever
+    their number; filing them by room and lengths (at most ``capacity`` values each) keeps a step short.
     """
     size = lengths.tolist()
     least = -(-sum(size) // capacity)
-    filled = sorted(((sum(size[i] for i in b), b) for b in bins), key=lambda x: x[0])
-    under = [b for n, b in filled if n < capacity][:max_open]
-    rest = [b for _, b in filled[len(under) :]]
-    fill = [sum(size[i] for i in b) for b in under]
-    for _ in range(max_rounds):
+    full = [b for b in bins if sum(size[i] for i in b) == capacity]
+    under = [b for b in bins if sum(size[i] for i in b) < capacity]
+    state = _Open(under, size, capacity)
+    left = len(bins)
+    improved = True
+    while improved and left > least:
         improved = False
-        for a in sorted(range(len(under)), key=fill.__getitem__):
-            if len(rest) + sum(map(bool, under)) <= least:
-                improved = False
-                break
-            for b in sorted(range(len(under)), key=lambda k: -fill[k]):
-                if not under[a]:
-                    break
-                if a == b or fill[b] < fill[a] or fill[b] == capacity:
-                    continue
-                step = _best_step(under[a], under[b], size, capacity - fill[b])
-                if step:
-                    out, back = step
-                    under[a] = [i for i in under[a] if i not in out] + back
-                    under[b] = [i for i in under[b] if i not in back] + out
-                    moved = sum(size[i] for i in out) - sum(size[i] for i in back)
-                    fill[a] -= moved
-                    fill[b] += moved
-                    improved = True
-        if not improved:
+        for a in sorted((b for room in state.rooms for b in state.at[room]), key=state.fill.__getitem__):
+            while 0 < state.fill[a] < capacity and left > least and state.improve(a):
+                improved = True
+                left -= state.fill[a] == 0
+    return full + [[i for x in held.values() for i in x] for held in state.bins if held]
+
+
+def start(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Best fit in the order given, but pieces over half the capacity first: no two of them share a bin."""
+    order = np.argsort(2 * lengths <= capacity, kind="stable")
+    return [order[b].tolist() for b in best_fit(lengths[order], capacity)]
+
+
+def reopened(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """The search once more over its underfull bins and the bins of most pieces, eight for each, from descending lengths.
+
+    Full bins hold the short pieces that underfull ones lack. Repeated while that leaves fewer bins.
+    """
+    least = -(-int(lengths.sum()) // capacity)
+    while len(bins) > least:
+        fill = [int(lengths[b].sum()) for b in bins]
+        order = sorted(range(len(bins)), key=lambda k: (fill[k] == capacity, -len(bins[k])))
+        n = sum(f < capacity for f in fill)
+        opened = [i for k in order[: 9 * n] for i in bins[k]]
+        opened = np.array(sorted(opened, key=lambda i: (-lengths[i], i)))
+        again = local_search(best_fit(lengths[opened], capacity), lengths[opened], capacity)
+        if len(again) >= min(9 * n, len(bins)):
             break
-    return rest + [b for b in under if b]
-
-
-def _best_step(light: list[int], heavy: list[int], size: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that moves most length, at most ``room``, from the light to the heavy bin: 1-0, 1-1 or 1-2 pieces."""
-    best, most = None, 0
-    singles = sorted({size[j]: j for j in heavy}.items())
-    for i in {size[i]: i for i in light}.values():
-        if most < size[i] <= room:
-            best, most = ([i], []), size[i]
-        for n, j in singles:
-            if most < size[i] - n <= room:
-                best, most = ([i], [j]), size[i] - n
-        if len(heavy) <= 24:
-            for x, j in enumerate(heavy):
-                for k in heavy[x + 1 :]:
-                    d = size[i] - size[j] - size[k]
-                    if most < d <= room:
-                        best, most = ([i], [j, k]), d
-    for x, i in enumerate(light if len(light) <= 24 else []):
-        for k in light[x + 1 :]:
-            for n, j in singles:
-                d = size[i] + size[k] - n
-                if most < d <= room:
-                    best, most = ([i, k], [j]), d
-    return best
+        bins = [bins[k] for k in order[9 * n :]] + [opened[b].tolist() for b in again]
+    return bins
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """Bins of indices: ``start``, ``local_search``, and the search again over ``reopened`` bins."""
+    return reopened(local_search(start(lengths, capacity), lengths, capacity), lengths, capacity)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, rounds: int = 2) -> DataFrame:
@@ -226,7 +376,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE
 
     def packer(round_: int, last: bool):
         def place(key: tuple, group: pa.Table) -> pa.Table:
-            group = group.select(names).sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32") if c in names])
+            # an order that neither depends on the shuffle nor on lengths
+            group = group.select(names).sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece", "length") if c in names])
             lengths = group["length"].to_numpy()
             sequence, offset, left = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
             for b, members in enumerate(pack_lengths(lengths, capacity)):
