@@ -1,15 +1,18 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-A block of candidates keeps one sorted list for each component. A query reads every list from its good end (high
-values for positive weights, low ones for negative), round by round and never out of order. After a round, a value
-that has been read counts exactly; one that has not lies between the list's frontier and its far end, which gives each
-candidate a lower and an upper bound. A query stops when the k-th best lower bound is above the upper bound of every
-outsider; those still inside are then resolved to exact scores. All queries of a block read in step, so that a round is
-a few matrix products. Blocks of candidates meet blocks of queries in grouped tasks of bounded size, and the k best of
-each block are merged by query.
-
-Vectors that are null, or hold nulls or non-finite components, take no part; only vectors of equal length are
-compared. Ties go to the smaller id; rows with a null id take no part.
+A block of candidates keeps one list for each component, sorted by value. A query reads the lists one stretch after
+the other, each from the end that is good for it (high values for positive weights, low ones for negative), and always
+from the list that leaves most of its score open: the one with the largest gap between frontier and far end. What has
+been read counts exactly; an unread component lies between the list's frontier and its far end, and all unread ones of
+a candidate together are held by Cauchy and Schwarz: the rest of the query's length times the rest of the candidate's.
+That gives each candidate a lower and an upper bound. A query stops when at most ``OPEN`` times k candidates have an
+upper bound that reaches the k-th best lower bound: outsiders cannot qualify any more. Those inside are then resolved
+to exact integers.
+
+Blocks of candidates meet blocks of queries in grouped tasks of bounded size, and the k best of each block are merged
+by query. Vectors that are null, or hold nulls or non-finite components, take no part; only vectors of equal length
+are compared. Ties go to the smaller id; rows with a null id take no part. Scores are exact integers whatever the
+components; one beyond the range of a bigint is ranked by its true value and given as the nearest bigint.
 """
 
 from __future__ import annotations
@@ -18,69 +21,122 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CANDIDATES = 8_192
 QUERIES = 2_048
-#: Shares of a list that have been read after each round.
-DEPTHS = (0.25, 0.5, 0.75)
-
-
-def quantised(vector: Column) -> Column:
-    """floor(256 * x) of each component; null where the vector takes no part."""
-    x = vector.cast("array<double>")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * 256).cast("bigint")))
-
-
-def nra(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, item id, score) of each query's k best items but the one with its own id.
-
-    Items must come by ascending id. Integer inputs; products are exact in float64 up to 2**53 (checked).
-    """
-    n, d = items.shape
-    if n == 0 or len(queries) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if d and float(np.abs(items).max()) * float(np.abs(queries).max()) * d >= 2**53:
-        raise OverflowError("components are too large for exact scores")
-    small = d == 0 or float(np.abs(items).max()) * float(np.abs(queries).max()) * d < 2**24
-    kind = np.float32 if small else np.float64
-    x = items.astype(kind)
-    lists = np.sort(x, axis=0)  # a column is one component's list, from its low end
-    low, high = (lists[0], lists[-1]) if d else (np.zeros(0, kind), np.zeros(0, kind))
-    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    out = []
-    waiting = np.arange(len(queries))
-    for depth in (*DEPTHS, 1.0):
-        if not len(waiting):
-            break
-        read = max(1, min(n, int(np.ceil(n * depth))))
-        top, bottom = (lists[n - read], lists[read - 1]) if d else (low, high)  # the frontiers
-        u, v = up[waiting], down[waiting]
-        # an unread value is at most the frontier where weights are positive and at least it where they are negative
-        upper = u @ np.maximum(x, top).T + v @ np.minimum(x, bottom).T
-        lower = u @ np.where(x >= top, x, low).T + v @ np.where(x <= bottom, x, high).T
-        own = query_ids[waiting][:, None] == ids[None, :]
-        upper[own] = lower[own] = -np.inf
-        if n > k:
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        else:
-            kth = np.full(len(waiting), -np.inf, kind)
-        inside = (upper >= kth[:, None]) & ~own
-        # a query may stop when few are left inside: outsiders can no longer qualify
-        stop = (inside.sum(axis=1) <= max(4 * k, 64)) | (depth == 1.0)
-        for q in np.flatnonzero(stop):
-            left = np.flatnonzero(inside[q])
-            exact = items[left] @ queries[waiting[q]]
-            best = np.lexsort((ids[left], -exact))[:k]
-            out.append((np.full(len(best), waiting[q]), ids[left][best], exact[best]))
-        waiting = waiting[~stop]
-    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out))
+#: A list is read in so many stretches. Bounds are computed when a sixteenth of all has been read, an eighth, a quarter,
+#: a half, and after every further sixteenth.
+STRETCHES = 4
+#: Candidates inside, as a multiple of k, that are resolved directly.
+OPEN = 32
+#: Room for rounding (float32 sums) in bounds of scaled components, by component; exact scores need none.
+SLACK = 1e-6
+BIGINT = 2**63
+
+
+def quantise(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of finite doubles: as float64 where that is exact and finite, else as Python integers."""
+    if x.size == 0 or float(np.abs(x).max()) < 2.0**900:
+        return np.floor(x * 256.0)
+    return np.array([[int(v) * 256 if abs(v) > 2.0**900 else int(np.floor(v * 256.0)) for v in row] for row in x.tolist()], dtype=object)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Components as float64 between -1 and 1; scaling keeps the order of scores."""
+    if x.dtype == object:
+        top = max((abs(v) for v in x.ravel().tolist()), default=0)
+        shift = max(0, top.bit_length() - 53)
+        x = np.array([[v >> shift for v in row] for row in x.tolist()], dtype=np.float64).reshape(x.shape) if shift else x.astype(np.float64)
+    top = float(np.abs(x).max()) if x.size else 0.0
+    return x / top if top else x
+
+
+def _exact(items: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products as Python integers."""
+    d = items.shape[1]
+    if items.dtype != object and query.dtype != object and items.size and float(np.abs(items).max()) * float(np.abs(query).max()) * d < 2.0**53:
+        return (items @ query).astype(np.int64).tolist()
+    q = [int(v) for v in query.tolist()]
+    return [sum(int(v) * w for v, w in zip(row, q)) for row in items.tolist()]
+
+
+class Lists:
+    """The sorted lists of a block of candidates (rows by ascending id)."""
+
+    def __init__(self, items: np.ndarray, ids: np.ndarray):
+        self.items, self.ids = items, ids
+        x = np.ascontiguousarray(_scaled(items).T)  # a row is one component
+        self.order = np.argsort(x, axis=1, kind="stable")
+        self.values = np.take_along_axis(x, self.order, axis=1)
+        self.squares = (x * x).sum(axis=0)
+        self.stretches_read = self.stretches = 0
+
+    def search(self, query: np.ndarray, weights: np.ndarray, own: np.int64, k: int) -> tuple[list[int], list[int]]:
+        """Ids and exact scores of the k best items but those with the id ``own``; ``weights`` is the scaled query."""
+        d, n = self.values.shape
+        taken = self.ids != own
+        read = [0] * d
+        ends = np.linspace(0, n, STRETCHES + 1).astype(int)
+        good = [self.values[c, ::-1] if w > 0 else self.values[c] for c, w in enumerate(weights)]
+        order = [self.order[c, ::-1] if w > 0 else self.order[c] for c, w in enumerate(weights)]
+        frontier = np.array([w * g[0] for w, g in zip(weights, good)]) if n else np.zeros(d)
+        far = np.array([w * g[-1] for w, g in zip(weights, good)]) if n else np.zeros(d)
+        squares = weights * weights
+        known, rest = np.zeros(n), self.squares.copy()
+        unread = np.ones((d, n), np.float32)
+        gap = frontier - far
+        slack, step, half = SLACK * max(1, d), max(1, d * STRETCHES // 16), d * STRETCHES // 2
+        reads = 0
+        self.stretches += d * STRETCHES
+        inside = np.flatnonzero(taken)
+        while d and len(inside) > OPEN * k:
+            for _ in range(step if reads >= half or not reads else min(reads, half)):
+                c = int(gap.argmax())
+                if gap[c] <= 0:
+                    break
+                a, b = ends[read[c]], ends[read[c] + 1]
+                at, v = order[c][a:b], good[c][a:b]
+                known[at] += weights[c] * v
+                rest[at] -= v * v
+                unread[c, at] = 0
+                read[c] += 1
+                reads += 1
+                frontier[c] = weights[c] * good[c][b] if b < n else far[c]
+                gap[c] = frontier[c] - far[c] if b < n else 0.0
+            above, below, weight = np.vstack([frontier, far, squares]).astype(np.float32) @ unread
+            reach = np.sqrt(np.maximum(weight, 0) * np.maximum(rest, 0)) + slack
+            upper = known + np.minimum(above + slack, reach)
+            lower = known + np.maximum(below - slack, -reach)
+            best = lower[taken]
+            kth = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
+            inside = np.flatnonzero(taken & (upper >= kth))
+            if not gap.max() > 0:
+                break
+        self.stretches_read += reads
+        scores = _exact(self.items[inside], query)
+        best = sorted(zip((-s for s in scores), self.ids[inside].tolist()))[:k]
+        return [i for _, i in best], [-s for s, _ in best]
+
+
+def nra(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[int], list[int], list[int], float]:
+    """(query position, item id, score) of each query's k best items but those with its own id, and the share of the
+    lists that was read. Items must come by ascending id; components are integers (float64 or Python's)."""
+    lists = Lists(items, ids)
+    weights = _scaled(queries)
+    at, found, out = [], [], []
+    for q in range(len(queries)):
+        best, scores = lists.search(queries[q], weights[q], query_ids[q], k)
+        at += [q] * len(best)
+        found += best
+        out += scores
+    return at, found, out, lists.stretches_read / max(1, lists.stretches)
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     flat = vectors.combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return values.reshape(len(flat), -1)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return quantise(values.reshape(len(flat), -1))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES, query_block: int = QUERIES) -> DataFrame:
@@ -88,8 +144,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     Rows with repeated ids are searched one by one: a query's own id, however often it stands, is no candidate of it.
     """
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), quantised(F.col(vector_col)).alias("v"), queries.alias("is_query"))
-    rows = rows.filter(F.col("v").isNotNull()).withColumn("d", F.size("v"))
+    v = F.col(vector_col)
+    if not isinstance(vectors.select(v).schema[0].dataType, T.ArrayType) or not isinstance(vectors.select(v).schema[0].dataType.elementType, (T.FloatType, T.DoubleType)):
+        v = v.cast("array<double>")
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), queries.alias("is_query"))
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = rows.filter(F.col("v").isNotNull() & sound).withColumn("d", F.size("v"))
     n, nq = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks, query_blocks = max(1, -(-n // candidates)), max(1, -(-nq // query_block))
     deal = lambda count, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(count)).cast("int")
@@ -97,15 +157,17 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     right = rows.withColumn("b", deal(blocks, 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def search(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
-        if q.num_rows == 0 or c.num_rows == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        c = c.sort_by("id")
-        ids = q["id"].to_numpy()
-        at, found, scores = nra(_matrix(q["v"]), ids, _matrix(c["v"]), c["id"].to_numpy(), k)
-        return pa.table({"query_id": ids[at], "vec_id": found, "score": scores})
+        at, found, scores, ids = [], [], [], q["id"].to_numpy()
+        if q.num_rows and c.num_rows:
+            c = c.sort_by("id")
+            at, found, scores, _ = nra(_matrix(q["v"]), ids, _matrix(c["v"]), c["id"].to_numpy(), k)
+        near = [min(max(s, -BIGINT), BIGINT - 1) for s in scores]
+        # an order-preserving form of the scores that no bigint holds
+        beyond = [None if s == n else (s + (1 << 2199)).to_bytes(275, "big") for s, n in zip(scores, near)]
+        return pa.table({"query_id": ids[np.array(at, int)], "vec_id": pa.array(found, pa.int64()), "score": pa.array(near, pa.int64()), "beyond": pa.array(beyond, pa.binary())})
 
     keys = ["d", "qb", "b"]
     pairs = left.select("id", "v", *keys).groupBy(*keys).cogroup(right.select("id", "v", *keys).groupBy(*keys))
-    best = pairs.applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = pairs.applyInArrow(search, "query_id bigint, vec_id bigint, score bigint, beyond binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

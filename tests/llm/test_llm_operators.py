@@ -265,6 +265,46 @@ def test_local_search_empties_bins():
     assert len(bins) == 2 and sorted(i for b in bins for i in b) == [0, 1, 2, 3, 4]
 
 
+def descending_best_fit(lengths, capacity):
+    order = np.argsort(-lengths, kind="stable")
+    return packing.best_fit(lengths[order], capacity)
+
+
+def test_search_reaches_descending_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    real = np.array([r.length for r in packing.cut_documents(docs, with_ids=False).orderBy("ids_crc32", "doc_id", "piece").collect()])
+    r = np.random.default_rng(4)
+    for lengths in (real, r.integers(300, 401, 2000), r.integers(1, 1025, 3000), r.integers(400, 1000, 800), np.full(500, 340), np.full(3000, 1)):
+        begun = packing.start(lengths, 1024)
+        searched = packing.local_search(begun, lengths, 1024)
+        bins = packing.pack_lengths(lengths)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert all(0 < lengths[b].sum() <= 1024 for b in bins)
+        assert len(searched) <= len(begun) and len(bins) <= min(len(searched), len(descending_best_fit(lengths, 1024)))
+    begun = packing.start(real, 1024)
+    assert len(packing.local_search(begun, real, 1024)) < len(begun)
+    many = r.integers(300, 401, 2000)  # hundreds of underfull bins, all searched
+    assert len(packing.pack_lengths(many)) < 0.95 * len(descending_best_fit(many, 1024))
+
+
+def test_search_steps_raise_squared_fill():
+    r = np.random.default_rng(8)
+    lengths = r.integers(1, 60, 120)
+    state = packing._Open([[2 * k, 2 * k + 1] for k in range(60)], lengths.tolist(), 128)
+    squared = sum(f * f for f in state.fill)
+    while any(state.improve(a) for a in sorted(range(60), key=state.fill.__getitem__) if 0 < state.fill[a] < 128):
+        now = [sum(n * len(x) for n, x in held.items()) for held in state.bins]
+        assert now == state.fill and max(now) <= 128 and sum(f * f for f in now) > squared
+        squared = sum(f * f for f in now)
+
+
+def test_packing_repeats_and_names(spark):
+    d = spark.createDataFrame([(1, "a b", 3, "x"), (1, "a b", 3, "x"), (None, "c", 4, "y")], "doc_id bigint, text string, sequence_id int, length string")
+    out = packing.pack_documents(d)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    assert sorted((r.doc_id or 0, r.offset, r.length) for r in out.collect())[1:] == sorted((r.doc_id or 0, r.offset, r.length) for r in out.collect())[1:] and out.count() == 3
+
+
 # 6
 
 URLS = [None, "", "no scheme", "http://", "http://x.org", "http://x.org/", "HTTP://User@X.ORG/a", "http://a.example.org/es/x?q#f", "http://example.org/en/12", "http://org/en", "http://notexample.org/es/", "http://q.com/fr/a", "http://q.com/de", "http://q.com/de/", "http://www.cheap-pills.example.net/", "http://x.net/://y.org/", "ftp://k.com#/fr/"]
@@ -303,13 +343,37 @@ def test_top_k_with_odd_vectors(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def best_by_product(items, ids, query, own, k=5):
+    scores = sorted((-sum(int(a) * int(b) for a, b in zip(v, query)), int(i)) for v, i in zip(items.tolist(), ids) if i != own)[:k]
+    return [(i, -s) for s, i in scores]
+
+
 def test_nra_stops_early_and_is_exact():
     r = np.random.default_rng(1)
-    items = np.vstack([r.integers(-20, 20, (3000, 16)), r.integers(90, 100, (8, 16))])
-    at, found, score = topk.nra(items[-1:], np.array([3007]), items, np.arange(3008), 5)
-    exact = items @ items[-1]
-    exact[3007] = -(10**9)
-    assert score.tolist() == sorted(exact.tolist(), reverse=True)[:5]
+    items = np.vstack([r.integers(-20, 20, (3000, 16)), r.integers(90, 100, (8, 16))]).astype(float)
+    ids = np.arange(3008)
+    at, found, score, share = topk.nra(items[-1:], np.array([3007]), items, ids, 5)
+    assert list(zip(found, score)) == best_by_product(items, ids, items[-1], 3007) and share < 0.5
+    plain = r.normal(size=(4000, 64))
+    plain = topk.quantise(plain / np.linalg.norm(plain, axis=1)[:, None])
+    ids = np.arange(4000)
+    at, found, score, share = topk.nra(plain[:20], ids[:20], plain, ids, 5)
+    assert share < 0.9  # even where all directions are alike
+    for q in range(20):
+        assert [(i, s) for a, i, s in zip(at, found, score) if a == q] == best_by_product(plain, ids, plain[q], q)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6, 1e12, 1e37, 1e306])
+def test_top_k_of_large_components(spark, size):
+    r = np.random.default_rng(6)
+    x = (r.normal(size=(150, 6)) * size).tolist()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    q = np.array([[int(np.floor(256 * c)) if size < 1e300 else 256 * int(c) for c in v] for v in x], dtype=object)
+    got = defaultdict(list)
+    for row in topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=60).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    bound = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert got == {i: [(j, bound(s)) for j, s in best_by_product(q, range(150), q[i], i)] for i in (0, 50, 100)}
 
 
 # 8
