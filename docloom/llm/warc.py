@@ -4,13 +4,15 @@ A record is serialised as WARC/1.1 and several records form one independent Zsta
 A bundle is a file of frames with a footer: a skippable frame that holds the public seek-table format (compressed and
 decompressed size of each frame, frame count, magic). The index names, for every record, bundle, frame and the offset
 inside the frame's content, so one record costs one seek and one frame. Equal payloads of at least ``min_revisit``
-bytes are stored once: the largest page_id is the response, the others are revisit records without a body.
+bytes are stored once: the largest page_id is the response, the others are revisit records, which hold the HTTP head
+but no body.
 
 Every task writes bundles under names of its own and reports them; only what successful tasks report is read, so lost
 and repeated tasks do no harm. Files go to the shared folder through pyarrow's file systems.
 
-Null html is an empty payload. Rows with a null page_id are responses of their own and revisit nothing. Rows that
-repeat the responding page_id with the same payload are responses too.
+Null html is an empty payload. A null or empty url stands as ``urn:page:<page_id>``. Rows with a null page_id are
+responses of their own and revisit nothing. Rows that repeat the responding page_id with the same payload are responses
+too. Columns other than page_id, url and html are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,31 +35,49 @@ from .common import cut_lineage, shared_dir, utf8
 MIN_REVISIT = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 256 << 20
+#: Rows (a digest, an id, a url) of repeated payloads that may be broadcast.
+MAX_GROUPS = 200_000
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 SEEK_FOOTER = struct.Struct("<IBI")
 
 
-def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_to, kind: str) -> bytes:
-    """One WARC record; a revisit has no body and tells the length of the payload it stands for."""
+def record_bytes(record_id: str, date: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None, refers_to_url: str | None = None) -> bytes:
+    """One WARC record of a page: a response, or, with ``refers_to``, a revisit of that page's equal payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + payload
     head = [
         b"WARC/1.1",
-        b"WARC-Type: " + kind.encode(),
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>".encode(),
-        b"WARC-Target-URI: " + (url or "").encode("utf-8", "surrogatepass").replace(b"\r", b"%0D").replace(b"\n", b"%0A"),
+        b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"),
+        f"WARC-Record-ID: <urn:uuid:{record_id}>".encode(),
+        f"WARC-Date: {date}".encode(),
+        b"WARC-Target-URI: " + _uri(url, page_id),
         f"WARC-Payload-Digest: sha1:{digest}".encode(),
-        b"Content-Type: text/html; charset=utf-8",
+        b"Content-Type: application/http; msgtype=response",
     ]
-    body = payload
-    if kind == "revisit":
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}".encode())
+    if refers_to is not None:
         head += [
             b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{refers_to}>".encode(),
-            f"X-Payload-Length: {len(payload)}".encode(),
+            b"WARC-Refers-To-Target-URI: " + _uri(refers_to_url, refers_to),
+            f"WARC-Refers-To-Date: {date}".encode(),
+            f"X-Refers-To-Page: {refers_to}".encode(),
         ]
-        body = b""
-    return b"\r\n".join([*head, f"Content-Length: {len(body)}".encode(), b"", b""]) + body + b"\r\n\r\n"
+    return b"\r\n".join([*head, f"Content-Length: {len(block)}".encode(), b"", b""]) + block + b"\r\n\r\n"
+
+
+def _uri(url: str | None, page_id) -> bytes:
+    text = url or f"urn:page:{'' if page_id is None else page_id}"
+    return text.encode("utf-8", "surrogatepass").replace(b"\r", b"%0D").replace(b"\n", b"%0A")
+
+
+def payload_of(block: bytes) -> tuple[int, bytes]:
+    """The length that the HTTP head of a block tells, and what follows the head."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    length = next(line for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:"))
+    return int(length.split(b":")[1]), body
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -127,52 +148,56 @@ class BundleReader:
     def record(self, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
         return parse_record(self.frame(frame), offset)[:2]
 
-    def records(self, k: int) -> Iterator[tuple[dict[str, str], bytes]]:
-        data, at = self.frame(k), 0
-        while at < len(data):
-            headers, body, at = parse_record(data, at)
-            yield headers, body
-
 
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
-def with_roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload (binary), digest, record_type, refers_to.
+def with_roles(pages: DataFrame, min_revisit: int = MIN_REVISIT, max_groups: int = MAX_GROUPS) -> DataFrame:
+    """page_id, url, payload (binary), digest, refers_to, refers_to_url.
 
-    Only (digest, id) pairs are grouped, with partial aggregation; payloads move once, by their own unique id.
+    Only (digest, id, url) are grouped, with partial aggregation. One row for each payload that repeats then meets the
+    pages by digest: broadcast up to ``max_groups`` such rows (counted first), so that payloads stay where they are,
+    else by a plain join, in which adaptive execution can split a payload of many copies.
     """
     rows = pages.select("page_id", "url", F.coalesce(utf8("html"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    long_ = rows.filter((F.octet_length("payload") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    groups = long_.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    revisits = long_.join(groups, "digest").filter(F.col("page_id") < F.col("response_id")).select("page_id", "digest", "response_id").distinct()
-    out = rows.join(revisits, ["page_id", "digest"], "left")
-    kind = F.when(F.col("response_id").isNull(), "response").otherwise("revisit")
-    return out.select("page_id", "url", "payload", "digest", kind.alias("record_type"), F.col("response_id").alias("refers_to"))
+    long_ = rows.filter((F.octet_length("payload") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
+    groups = long_.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.min("page_id").alias("least"), F.max(F.struct("page_id", "url"))["url"].alias("response_url"))
+    groups = cut_lineage(groups.filter(F.col("least") < F.col("response_id")).drop("least"))
+    out = rows.join(F.broadcast(groups) if groups.count() <= max_groups else groups, "digest", "left")
+    revisit = F.col("page_id") < F.col("response_id")
+    return out.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("response_id")).alias("refers_to"), F.when(revisit, F.col("response_url")).alias("refers_to_url"))
 
 
 INDEX = "page_id bigint, path string, frame int, offset bigint"
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Writes the bundles and returns the index (page_id, path, frame, offset), checkpointed: writing happens once."""
-    rows = with_roles(pages, min_revisit)
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str | None = None, **options) -> DataFrame:
+    """Writes the bundles and returns the index (page_id, path, frame, offset), checkpointed: writing happens once.
+
+    ``date`` (UTC, as 2024-01-31T12:00:00Z) is every record's date; the time of the call, if not given. Record ids are
+    made from a record's bundle and place, so no two are alike.
+    """
+    rows = with_roles(pages, min_revisit, **options)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
         fs.create_dir(root, recursive=True)
-        bundle = path = None
+        bundle = name = None
+        n = 0
         for batch in batches:
             index = []
             for r in batch.to_pylist():
                 if bundle is None or bundle.written >= bundle_bytes:
                     if bundle is not None:
                         bundle.close()
-                    path = f"{root}/{uuid.uuid4().hex}.warc.zst"
+                    name, n = uuid.uuid4(), 0
+                    path = f"{root}/{name.hex}.warc.zst"
                     bundle = BundleWriter(fs.open_output_stream(path, compression=None), frame_bytes)
-                record = record_bytes(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["record_type"])
+                record = record_bytes(str(uuid.uuid5(name, str(n))), date, r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["refers_to_url"])
+                n += 1
                 index.append((r["page_id"], path, *bundle.add(record)))
             ids, paths, frames, offsets = zip(*index) if index else ((), (), (), ())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(frames, pa.int32()), pa.array(offsets, pa.int64())], ["page_id", "path", "frame", "offset"])
@@ -185,40 +210,39 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
 RECORD = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 
 
-def _number(urn: str | None) -> int | None:
-    text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
 def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that the index names, one task for some frames of a bundle.
+    """The record at each place that the index names; a frame's records are read by one task, the frame unpacked once.
 
     The digest of a response is taken from its bytes as read and must equal the stored one.
     """
-    frames = index.select("path", "frame").distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _file_system(folder)
-        readers: dict[str, BundleReader] = {}
+        path = reader = frame = data = None
+        names = [c.split(" ")[0] for c in RECORD.split(", ")]
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                if r["path"] not in readers:
-                    readers.clear()
-                    readers[r["path"]] = BundleReader(fs.open_input_file(r["path"]))
-                out = []
-                for h, body in readers[r["path"]].records(r["frame"]):
-                    stored = h["warc-payload-digest"].removeprefix("sha1:")
-                    revisit = h["warc-type"] == "revisit"
-                    if not revisit and hashlib.sha1(body).hexdigest() != stored:
-                        raise ValueError(f"payload of {h['warc-record-id']} is damaged")
-                    size = int(h["x-payload-length"]) if revisit else len(body)
-                    out.append((_number(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], stored, size, _number(h.get("warc-refers-to")), body if payloads and not revisit else None))
-                columns = zip(*out)
-                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-                names = [c.split(" ")[0] for c in RECORD.split(", ")]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    return frames.repartition("path", "frame").sortWithinPartitions("path", "frame").mapInArrow(read, RECORD)
+                if r["path"] != path:
+                    path, reader, frame = r["path"], BundleReader(fs.open_input_file(r["path"])), None
+                if r["frame"] != frame:
+                    frame, data = r["frame"], reader.frame(r["frame"])
+                h, block, _ = parse_record(data, r["offset"])
+                stored = h["warc-payload-digest"].removeprefix("sha1:")
+                size, body = payload_of(block)
+                response = h["warc-type"] == "response"
+                if _number(h.get("x-page-id")) != r["page_id"] or (response and hashlib.sha1(body).hexdigest() != stored):
+                    raise ValueError(f"record {h['warc-record-id']} is damaged or not where the index says")
+                out.append((r["page_id"], h["warc-target-uri"], h["warc-type"], stored, size, _number(h.get("x-refers-to-page")), body if payloads and response else None))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)], names)
+
+    places = index.select("page_id", "path", "frame", "offset")
+    return places.repartition("path", "frame").sortWithinPartitions("path", "frame", "offset").mapInArrow(read, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
