@@ -3,9 +3,11 @@
 A window is ``width`` consecutive words of an item (the whole item, if shorter). The set maps the window's own text,
 so a hit in it is already verified word for word. Up to ``max_broadcast_bytes`` of windows the set travels as a
 broadcast variable and the scan is one narrow pass over the corpus; a larger benchmark goes through
-``scan_by_join``, which shuffles windows by their hash and verifies the text after the join.
+``scan_by_join``: only windows that pass a bit map of the benchmark's window hashes leave the scan, and they are joined
+by their text.
 
-Null texts have no words. Items without words have no windows. Repeated items count once per item_id.
+Null texts have no words. Items without words have no windows. Repeated items count once per item_id; windows of items
+with a null id hit, but name no item. Rows of ``docs`` that repeat are each reported.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from __future__ import annotations
 import hashlib
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from .common import utf8, words_of
 
 WIDTH = 10
 MAX_BROADCAST_BYTES = 64 << 20
+#: The join path's bit map has two to this power of places (16 MB).
+FILTER_BITS = 27
 
 
 def windows_of(words: list[bytes], width: int = WIDTH) -> list[bytes]:
@@ -91,7 +97,7 @@ _TYPE = pa.struct(
 
 def bank_of(windows: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES):
     """The broadcast bank, or None where the windows are larger than the bound (checked before anything is collected)."""
-    size = windows.agg(F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item") + 100), F.lit(0)).alias("b")).first()["b"]
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0)) + 100), F.lit(0)).alias("b")).first()["b"]
     if size > max_bytes:
         return None
     return windows.sparkSession.sparkContext.broadcast(Bank(windows.collect()))
@@ -111,22 +117,46 @@ def scan_column(text: Column, bank) -> Column:
     return scan(utf8(text))
 
 
+def window_bits(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit map of ``2**bits`` places with a bit for each window's hash; its size does not depend on the benchmark's."""
+
+    @F.arrow_udf("bigint")
+    def places(texts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_64_intdigest(t.as_py()) & ((1 << bits) - 1) for t in texts], pa.int64())
+
+    at = windows.select(places("window").alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
 def scan_by_join(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list[int]) -> DataFrame:
-    """The same struct as column ``__scan``, for a benchmark too large to broadcast.
+    """``docs`` with the same struct as column ``__scan``, for a benchmark too large to broadcast.
 
-    Document windows are exploded and joined by text on their hash; matched places come back by row key, so only
-    matches are grouped. Rows are named by a key that the caller's frame must carry as ``__row``.
+    Results belong to a text, which the SHA-256 of its bytes names: copies are scanned once. Windows that pass the bit map
+    are joined with the benchmark's by their text; matched places come back by that name, so only matches are grouped.
     """
+    bank = docs.sparkSession.sparkContext.broadcast(window_bits(windows))
 
     @F.arrow_udf("array<struct<n:int,at:bigint,window:binary>>")
     def places(texts: pa.Array) -> pa.Array:
-        out = []
+        out, digest, bits = [], xxhash.xxh3_64_intdigest, bank.value
+        mask = 64 * len(bits) - 1
         for t in texts:
             words = words_of(t.as_py())
-            out.append([{"n": n, "at": i, "window": b" ".join(words[i : i + n])} for n in sizes for i in range(len(words) - n + 1)])
+            found = []
+            for n in sizes:
+                here = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+                at = np.fromiter((digest(w) & mask for w in here), np.int64, len(here))
+                found += [{"n": n, "at": int(i), "window": here[i]} for i in np.flatnonzero(bits[at >> 6] >> (at & 63) & 1)]
+            out.append(found)
         return pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("at", pa.int64()), ("window", pa.binary())])))
 
-    exploded = docs.select("__row", F.explode(places(utf8(text_col))).alias("p")).select("__row", "p.*")
+    names = docs.columns
+    text = docs.select(utf8(text_col).alias("__text")).filter(F.octet_length("__text") > 0)
+    text = text.groupBy(F.sha2("__text", 256).alias("__row")).agg(F.first("__text").alias("__text"))
+    exploded = text.select("__row", F.explode(places("__text")).alias("p")).select("__row", "p.*")
     hits = exploded.join(windows, ["n", "window"]).groupBy("__row").agg(
         F.collect_set(F.struct("at", "n")).alias("__places"), F.array_sort(F.collect_set("item")).alias("__items")
     )
@@ -149,36 +179,40 @@ def scan_by_join(docs: DataFrame, windows: DataFrame, text_col: str, sizes: list
     def n_words(texts: pa.Array) -> pa.Array:
         return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
 
-    out = docs.join(hits, "__row", "left").withColumn("__spans", merged("__places"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__d"), utf8(text_col).alias("__text"))
+    keyed = keyed.withColumn("__row", F.sha2(F.coalesce("__text", F.lit(b"")), 256))
+    out = keyed.join(hits, "__row", "left").withColumn("__spans", merged("__places"))
     scan = F.struct(
-        n_words(utf8(text_col)).alias("n_words"),
+        n_words("__text").alias("n_words"),
         F.aggregate("__spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"]).alias("n_hit"),
         F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
         F.col("__spans").alias("spans"),
     )
-    return out.withColumn("__scan", scan).drop("__places", "__items", "__spans")
+    return out.select(*[F.col("__d").getField(c).alias(c) for c in names], scan.alias("__scan"))
 
 
 def scan_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BROADCAST_BYTES, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``__scan``; every row stays."""
+    """``docs`` with a struct column ``__scan`` (in place of one of that name); every row stays."""
+    docs = docs.drop("__scan")
     windows = benchmark_windows(items, width)
     bank = bank_of(windows, max_bytes)
     if bank is not None:
         return docs.withColumn("__scan", scan_column(F.col(text_col), bank))
     sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``width`` values
-    keyed = docs.withColumn("__row", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c == text_col or c == "doc_id"]))
-    return scan_by_join(keyed, windows, text_col, sizes).drop("__row")
+    return scan_by_join(docs, windows, text_col, sizes)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", width: int = WIDTH, max_hit_share: float = 0.5, **options) -> DataFrame:
     """``docs`` (same columns) without benchmark text.
 
     remove="documents": rows with any hit go. remove="spans": hit spans are cut out of the text, and rows in which more
-    than ``max_hit_share`` of the words are hit go. Rows without a hit, null texts included, stay as they are.
+    than ``max_hit_share`` of the words are hit go. Rows without a hit, null texts and null ids included, stay as they
+    are, each as often as it stands; other columns may have any name.
     """
-    scanned = scan_contamination(docs, items, width, **options)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d"), "text")
+    scanned = scan_contamination(whole, items, width, **options)
     if remove == "documents":
-        return scanned.filter(F.col("__scan.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return scanned.filter(F.col("__scan.n_hit") == 0).select("__d.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
 
@@ -188,7 +222,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
 
     kept = scanned.filter(F.col("__scan.n_hit") <= max_hit_share * F.col("__scan.n_words"))
     text = F.when(F.col("__scan.n_hit") > 0, cut(utf8("text"), F.col("__scan"))).otherwise(F.col("text"))
-    return kept.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[text.alias(c) if c == "text" else F.col("__d").getField(c).alias(c) for c in docs.columns])
 
 
 def cut_spans(text: bytes | None, spans: list[dict]) -> str | None:
@@ -213,7 +247,10 @@ def digest(items: list[str]) -> str:
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: one row per row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: one row per row of ``docs``.
+
+    Null and empty texts have no words and no hits; columns other than doc_id and text are left out.
+    """
     rows = docs.select("doc_id", "text")
     out = scan_contamination(rows, items, **options)
     return out.select(
