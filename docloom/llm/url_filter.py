@@ -7,19 +7,23 @@ sure token, run their expression. The best-ranked fitting rule decides; without
 the same index at lower rank, do; without any the URL is allowed.
 
 Null URLs, or URLs without ``://``, have an empty host and path, fit no rule and are allowed. Up to ``MAX_RULES`` rules
-are broadcast; a longer list is joined by token, with the same result.
+are broadcast; a longer list is joined by token, and the same expressions decide. Repeated rows repeat; columns other
+than page_id and url are left out.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 100_000
+#: URLs that share a token, by salt, in the join.
+SALT_ROWS = 1_000_000
 TOKEN = "[A-Za-z0-9]+"
 
 # The base rules (verdict, host, path).
@@ -95,13 +99,23 @@ class Index:
                 self.always.append(entry)
         self.token = re.compile(TOKEN)
 
-    def decide(self, full: str) -> tuple[str | None, str]:
+    def best(self, full: str) -> dict | None:
+        """The best-ranked rule that fits, ties to the greater name."""
         best = None
         for entries in [self.always, *(self.by_token[t] for t in set(self.token.findall(full)) if t in self.by_token)]:
             for e in entries:
                 if (best is None or e[:2] > best[:2]) and e[3].search(full):
                     best = e
-        return (best[1] or None, best[2]) if best else (None, "allow")
+        return best and {"rank": best[0], "key": best[1], "rule": best[1] or None, "verdict": best[2]}
+
+
+DECISION = "struct<rank:int,key:string,rule:string,verdict:string>"
+_DECISION = pa.struct([("rank", pa.int32()), ("key", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+
+
+@lru_cache(maxsize=65_536)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.S)
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url", max_rules: int = MAX_RULES) -> DataFrame:
@@ -114,21 +128,44 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, id_col: str =
         return _by_join(rows, rules, counts)
     index = rows.sparkSession.sparkContext.broadcast(Index(rules, counts))
 
-    @F.arrow_udf("struct<rule:string,verdict:string>")
+    @F.arrow_udf(DECISION)
     def decide(urls: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("rule", "verdict"), index.value.decide(u.as_py() or ""))) for u in urls], pa.struct([("rule", pa.string()), ("verdict", pa.string())]))
+        return pa.array([index.value.best(u.as_py() or "") for u in urls], _DECISION)
 
     out = rows.withColumn("__found", decide("__full"))
-    return out.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), "__found.rule", "__found.verdict")
+    return out.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), "__found.rule", F.coalesce("__found.verdict", F.lit("allow")).alias("verdict"))
 
 
 def _by_join(rows: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
-    """The same decisions by a join of URL tokens with the index, for rule lists beyond the broadcast bound."""
-    filed = [(min(r.tokens, key=lambda t: (counts[t], -len(t), t)) if r.tokens else "", r.pattern, r.rank, r.name, r.verdict) for r in rules]
-    index = rows.sparkSession.createDataFrame(filed, "token string, pattern string, rank int, name string, own string")
+    """The same decisions by a join of URL tokens with the index, for rule lists beyond the broadcast bound.
+
+    Only tokens that file a rule are joined; URLs that share one are spread over as many salts as the token's count
+    asks for. Rules without a sure token would meet every URL: they are broadcast, and there may be ``MAX_RULES`` of them.
+    """
+    spark = rows.sparkSession
+    loose = [r for r in rules if not r.tokens]
+    if len(loose) > MAX_RULES:
+        raise ValueError("too many rules without a sure token")
+    index = spark.sparkContext.broadcast(Index(loose, counts))
+    filed = [(t := min(r.tokens, key=lambda t: (counts[t], -len(t), t)), 1 + counts[t] // SALT_ROWS, r.pattern, r.rank, r.name, r.verdict) for r in rules if r.tokens]
+    by_token = spark.createDataFrame(filed, "token string, salts int, pattern string, rank int, name string, own string")
     distinct = rows.select("__full").distinct()
-    tokens = distinct.select("__full", F.explode(F.concat(F.array(F.lit("")), _tokens(F.col("__full")))).alias("token"))
-    fits = tokens.join(index, "token").filter(F.expr("regexp_like(__full, concat('(?s)', pattern))"))
-    best = fits.groupBy("__full").agg(F.max(F.struct("rank", F.coalesce("name", F.lit("")).alias("n"), "name", "own")).alias("b"))
-    out = rows.join(best, "__full", "left")
-    return out.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("b.name").alias("rule"), F.coalesce("b.own", F.lit("allow")).alias("verdict"))
+    tokens = distinct.select("__full", F.explode(_tokens(F.col("__full"))).alias("token"))
+    tokens = tokens.join(by_token.select("token", "salts").distinct(), "token")
+    tokens = tokens.select("__full", "token", F.pmod(F.xxhash64("__full"), F.col("salts")).cast("int").alias("salt"))
+    salted = by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+    @F.arrow_udf("boolean")
+    def fits(urls: pa.Array, patterns: pa.Array) -> pa.Array:
+        return pa.array([_compiled(p.as_py()).search(u.as_py()) is not None for u, p in zip(urls, patterns)], pa.bool_())
+
+    @F.arrow_udf(DECISION)
+    def loosely(urls: pa.Array) -> pa.Array:
+        return pa.array([index.value.best(u.as_py() or "") for u in urls], _DECISION)
+
+    fitting = tokens.join(salted, ["token", "salt"]).filter(fits("__full", "pattern"))
+    order = F.struct("rank", F.coalesce("name", F.lit("")).alias("key"), F.col("name").alias("rule"), F.col("own").alias("verdict"))
+    best = fitting.groupBy("__full").agg(F.max(order).alias("__b"))
+    out = rows.join(best, "__full", "left").withColumn("__l", loosely("__full"))
+    found = F.greatest("__b", F.when(F.col("__l.verdict").isNotNull(), F.col("__l")))
+    return out.withColumn("__f", found).select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), "__f.rule", F.coalesce("__f.verdict", F.lit("allow")).alias("verdict"))

@@ -169,6 +169,19 @@ def test_decontaminate(spark, limit):
     assert cut == {0: "x  y", 1: "a ", 2: TEXTS[2], 3: None, 4: "", 5: "short one"}
 
 
+def test_contamination_of_rows_that_share_id_and_text(spark):
+    items = spark.createDataFrame([*ITEMS, (None, "short thing here")], "item_id bigint, text string")
+    texts = [t for t in TEXTS for _ in range(2)] + ["a short thing here", "Short thing HERE"]
+    d = spark.createDataFrame([(7, t, k, None) for k, t in enumerate(texts)], "doc_id bigint, text string, __row int, __scan string")
+    whole = decontamination.contamination_report(d, items)
+    joined = decontamination.contamination_report(d, items, max_bytes=0)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, whole.collect())) == sorted(map(key, joined.collect())) and joined.count() == len(texts)
+    for limit in (10**6, 0):
+        kept = decontamination.decontaminate(d, items, max_bytes=limit)
+        assert kept.columns == d.columns and sorted(r["__row"] for r in kept.collect()) == [4, 5, 6, 7, 8, 9, 10, 11]
+
+
 # 4
 
 
@@ -321,6 +334,17 @@ def test_urls(spark, duck, limit):
     same_as_sql(url_filter.filter_urls(p, max_rules=limit), con, queries.OP6_SQL)
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_url_rules_of_any_form(spark, limit, monkeypatch):
+    monkeypatch.setattr(url_filter, "SALT_ROWS", 2)
+    rules = [*url_filter.default_rules(), url_filter.Rule(r"^[^/]*\d{3}", "block", 7, "digits", ()), url_filter.Rule(r"(?<=com)/\w*é$", "block", 2_000, "look-behind", ("com",))]
+    urls = ["http://a.com/é", "http://a.com/fr/é", "http://x123.net/", "http://x123.com/fr/", "http://b.com/x", None, *[f"http://b{k}.com/fr/" for k in range(9)], "http://b.com/x"]
+    p = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = [(r.rule, r.verdict) for r in url_filter.filter_urls(p, rules, max_rules=limit).orderBy("page_id").collect()]
+    fr = ("com/fr/", "allow")
+    assert got == [("look-behind", "block"), fr, ("digits", "block"), fr, (None, "allow"), (None, "allow"), *[fr] * 9, (None, "allow")]
+
+
 # 7
 
 
@@ -435,13 +459,30 @@ def test_warc_round_trip(spark, tmp_path):
     import pyarrow.fs as pafs
     import zstandard
 
+    record_ids = []
     for x in index.collect():
         reader = warc.BundleReader(pafs.LocalFileSystem().open_input_file(x.path))
-        headers, _ = reader.record(x.frame, x.offset)
-        assert warc._number(headers["warc-record-id"]) == x.page_id
+        headers, block = reader.record(x.frame, x.offset)
+        assert headers.get("x-page-id") == (None if x.page_id is None else str(x.page_id))
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", headers["warc-date"]) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        assert headers["content-type"] == "application/http; msgtype=response" and headers["warc-target-uri"]
+        assert (headers["warc-type"] == "revisit") == ("warc-refers-to-target-uri" in headers)
+        record_ids.append(headers["warc-record-id"])
+    assert len(set(record_ids)) == len(rows)
     path = index.filter("page_id = 9").first().path
     with open(path, "rb") as f:  # any Zstandard reader can read a bundle through
         assert b"y" * 400_000 in zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    joined = warc.with_roles(p, max_groups=0).select("page_id", "refers_to").collect()
+    assert Counter(joined) == Counter(warc.with_roles(p).select("page_id", "refers_to").collect())
+
+
+def test_warc_damage_is_seen(spark, tmp_path):
+    p = spark.createDataFrame([(k, "u", f"page {k}") for k in range(3)], "page_id bigint, url string, html string")
+    index = warc.write_archives(p.coalesce(1), f"file://{tmp_path}/b", date="2024-01-31T12:00:00Z")
+    assert warc.read_archives(index, f"file://{tmp_path}/b").count() == 3
+    moved = index.withColumn("page_id", F.col("page_id") + 1)
+    with pytest.raises(Exception, match="not where the index says"):
+        warc.read_archives(moved, f"file://{tmp_path}/b").count()
 
 
 # 10
