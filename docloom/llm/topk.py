@@ -1,9 +1,9 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-A block of candidates keeps one list for each component, sorted by value. A query reads the lists one stretch after
-the other, each from the end that is good for it (high values for positive weights, low ones for negative), and always
-from the list that leaves most of its score open: the one with the largest gap between frontier and far end. What has
-been read counts exactly; an unread component lies between the list's frontier and its far end, and all unread ones of
+A block of candidates keeps one list for each component, sorted by value. A query reads the lists in stretches, each
+list from the end that is good for it (high values for positive weights, low ones for negative), and goes on with the
+list that leaves most of its score open: the one with the largest gap between frontier and far end. A list is read
+first a sixty-fourth part deep and, when its turn comes again, to its end. What has been read counts exactly; an unread component lies between the list's frontier and its far end, and all unread ones of
 a candidate together are held by Cauchy and Schwarz: the rest of the query's length times the rest of the candidate's.
 That gives each candidate a lower and an upper bound. A query stops when at most ``OPEN`` times k candidates have an
 upper bound that reaches the k-th best lower bound: outsiders cannot qualify any more. Those inside are then resolved
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CANDIDATES = 8_192
-QUERIES = 2_048
-#: A list is read in so many stretches. Bounds are computed when a sixteenth of all has been read, an eighth, a quarter,
-#: a half, and after every further sixteenth.
-STRETCHES = 4
+QUERIES = 1_024
+#: A list is read in two stretches: this part of it, then the rest. Bounds are computed after every
+#: sixteenth of all stretches.
+FIRST = 64
 #: Candidates inside, as a multiple of k, that are resolved directly.
 OPEN = 32
-#: Room for rounding (float32 sums) in bounds of scaled components, by component; exact scores need none.
-SLACK = 1e-6
+#: Room for rounding in bounds of scaled components, by component; exact scores need none.
+SLACK = 1e-12
 BIGINT = 2**63
 
 
@@ -66,53 +66,72 @@ class Lists:
 
     def __init__(self, items: np.ndarray, ids: np.ndarray):
         self.items, self.ids = items, ids
-        x = np.ascontiguousarray(_scaled(items).T)  # a row is one component
-        self.order = np.argsort(x, axis=1, kind="stable")
-        self.values = np.take_along_axis(x, self.order, axis=1)
-        self.squares = (x * x).sum(axis=0)
+        self.x = np.ascontiguousarray(_scaled(items).T)  # a row is one component
+        self.order = np.argsort(self.x, axis=1, kind="stable")
+        self.squared = self.x * self.x
+        self.squares = self.squared.sum(axis=0)
         self.stretches_read = self.stretches = 0
 
     def search(self, query: np.ndarray, weights: np.ndarray, own: np.int64, k: int) -> tuple[list[int], list[int]]:
-        """Ids and exact scores of the k best items but those with the id ``own``; ``weights`` is the scaled query."""
-        d, n = self.values.shape
-        taken = self.ids != own
-        read = [0] * d
-        ends = np.linspace(0, n, STRETCHES + 1).astype(int)
-        good = [self.values[c, ::-1] if w > 0 else self.values[c] for c, w in enumerate(weights)]
-        order = [self.order[c, ::-1] if w > 0 else self.order[c] for c, w in enumerate(weights)]
-        frontier = np.array([w * g[0] for w, g in zip(weights, good)]) if n else np.zeros(d)
-        far = np.array([w * g[-1] for w, g in zip(weights, good)]) if n else np.zeros(d)
-        squares = weights * weights
-        known, rest = np.zeros(n), self.squares.copy()
-        unread = np.ones((d, n), np.float32)
-        gap = frontier - far
-        slack, step, half = SLACK * max(1, d), max(1, d * STRETCHES // 16), d * STRETCHES // 2
-        reads = 0
-        self.stretches += d * STRETCHES
-        inside = np.flatnonzero(taken)
-        while d and len(inside) > OPEN * k:
-            for _ in range(step if reads >= half or not reads else min(reads, half)):
-                c = int(gap.argmax())
-                if gap[c] <= 0:
-                    break
-                a, b = ends[read[c]], ends[read[c] + 1]
-                at, v = order[c][a:b], good[c][a:b]
-                known[at] += weights[c] * v
+        """Ids and exact scores of the k best items but those with the id ``own``; ``weights`` is the scaled query.
+
+        ``known`` and ``rest`` hold, by item, the score read so far and the squared length not read. What the unread
+        components can add is a sum over all lists (``total``: by frontier, by far end, by squared weight) less what the
+        item has had of it (``had``); a list counts in both until it is read to its end.
+        """
+        d, n = self.x.shape
+        cut = -(-n // FIRST)
+        mine = slice(*np.searchsorted(self.ids, [own, own + 1]))  # rows of the query's own id
+        ends = self.x[np.arange(d), self.order[:, -1]] * weights, self.x[np.arange(d), self.order[:, 0]] * weights
+        rising = weights > 0
+        frontier, far = np.where(rising, *ends), np.where(rising, *ends[::-1])
+        gap, state = frontier - far, np.zeros(d, int)
+        known, rest, had = np.zeros(n), self.squares.copy(), np.zeros((3, n))
+        total = np.array([frontier.sum(), far.sum(), (weights * weights).sum()])
+        first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        reads, checked, slack = 0, 0, SLACK * max(1, d)
+        self.stretches += 2 * d
+        inside, part = np.delete(np.arange(n), mine), np.empty(n)
+        while len(inside) > OPEN * k and gap.any():
+            c = int(gap.argmax())
+            w = weights[c]
+            reads += 1
+            if state[c] == 0 and cut < n:  # the first stretch
+                at = self.order[c, : n - cut - 1 : -1] if rising[c] else self.order[c, :cut]
+                v = self.x[c, at]
+                known[at] += w * v
                 rest[at] -= v * v
-                unread[c, at] = 0
-                read[c] += 1
-                reads += 1
-                frontier[c] = weights[c] * good[c][b] if b < n else far[c]
-                gap[c] = frontier[c] - far[c] if b < n else 0.0
-            above, below, weight = np.vstack([frontier, far, squares]).astype(np.float32) @ unread
-            reach = np.sqrt(np.maximum(weight, 0) * np.maximum(rest, 0)) + slack
-            upper = known + np.minimum(above + slack, reach)
-            lower = known + np.maximum(below - slack, -reach)
-            best = lower[taken]
-            kth = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
-            inside = np.flatnonzero(taken & (upper >= kth))
-            if not gap.max() > 0:
-                break
+                f = w * v[-1]  # no unread value of this list adds more
+                total[0] += f - frontier[c]
+                share = np.array([f, far[c], w * w])
+                had[:, at] += share[:, None]
+                first[c] = at, share
+                state[c], gap[c] = 1, f - far[c]
+            else:  # the list to its end
+                np.multiply(self.x[c], w, out=part)
+                known += part
+                rest -= self.squared[c]
+                if state[c]:
+                    at, share = first.pop(c)
+                    v = self.x[c, at]
+                    known[at] -= w * v
+                    rest[at] += v * v
+                    had[:, at] -= share[:, None]
+                else:
+                    share = np.array([frontier[c], far[c], w * w])
+                total -= share
+                state[c], gap[c] = 2, 0.0
+            if reads - checked < max(1, d // 8) and gap.any():
+                continue
+            checked = reads
+            upper, lower, weight = total[:, None] - had
+            np.multiply(np.maximum(weight, 0), np.maximum(rest, 0), out=part)
+            np.sqrt(part, out=part)
+            upper = known + np.minimum(upper, part) + slack
+            lower = known + np.maximum(lower, -part) - slack
+            upper[mine] = lower[mine] = -np.inf
+            kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            inside = np.flatnonzero(upper >= max(kth, -np.finfo(float).max))
         self.stretches_read += reads
         scores = _exact(self.items[inside], query)
         best = sorted(zip((-s for s in scores), self.ids[inside].tolist()))[:k]
