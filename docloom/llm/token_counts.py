@@ -4,9 +4,10 @@ A sentencepiece BPE model is compiled, state by state as texts ask for it, into
 characters. A state holds what the encoding of any continuation can still depend on: the longest text suffix that
 begins some piece, the last token of the encoding at every cut inside that suffix, and the token counts there
 relative to now. A transition carries the number of tokens that it adds to the encoding so far (negative where a
-merge takes tokens back). Texts are cut into chunks; each chunk is a map from entry state to (exit state, tokens),
-and the maps are composed by a pairwise prefix scan. A chunk that begins a run of spaces forgets its entry state, so
-its map is constant and needs one pass.
+merge takes tokens back). Texts are cut into chunks of equal length; each chunk's map from entry state to (exit state,
+tokens) is computed on its own: a run of spaces makes the machine forget what came before, so that all after a chunk's
+first run is a constant and only the characters before it wait for the entry state. Maps compose to such maps by a
+pairwise prefix scan.
 
 Nulls and empty texts have no tokens. Nothing is cut or sampled. Kept states and segments are bounded (``MAX_STATES``,
 ``MAX_SEGMENTS``): beyond that a worker starts anew, which changes no count.
@@ -146,54 +147,57 @@ class Transducer:
 
 
 class ChunkMap:
-    """Entry state -> (exit state, tokens) of one chunk; one evaluation serves all entries where the chunk forgets them."""
+    """Entry state -> (exit state, tokens) of a span of text, computed without its left neighbour.
 
-    def __init__(self, chunk: str, forgets: bool, machine: Transducer):
-        self.chunk, self.forgets, self.machine, self.known = chunk, forgets, machine, {}
-
-    def __call__(self, entry: State) -> tuple[State, int]:
-        key = None if self.forgets else id(entry)
-        if key not in self.known:
-            self.known[key] = self.constant() if self.forgets and "  " not in self.chunk and SPACE not in self.chunk else self.machine.run(entry, self.chunk)
-        return self.known[key]
-
-    def constant(self) -> tuple[State, int]:
-        """Single spaces cut the chunk into segments whose own maps are constant and kept from text to text."""
-        words = self.chunk[1:].split(" ")
-        return self.machine.run(self.machine.blank, SPACE + words[-1])[0], sum(map(self.machine.segments.__getitem__, words))
-
-
-def compose(first, second):
-    """The map of two neighbouring spans; associative."""
-
-    def both(entry: State) -> tuple[State, int]:
-        middle, n = first(entry)
-        state, m = second(middle)
-        return state, n + m
+    Only ``head``, the characters before the span's first run of spaces, can depend on the entry state. What follows it
+    is a constant: ``tokens`` more and the exit state ``exit``. A span without such a run is all head (``exit`` None).
+    """
 
-    return both
+    __slots__ = ("exit", "head", "machine", "tokens")
 
+    def __init__(self, machine: Transducer, head: str, exit_: State | None = None, tokens: int = 0):
+        self.machine, self.head, self.exit, self.tokens = machine, head, exit_, tokens
 
-def scan(maps: list):
-    """Composes neighbours pair by pair, in log2(n) rounds."""
+    def __call__(self, entry: State) -> tuple[State, int]:
+        state, n = self.machine.run(entry, self.head)
+        return (state, n) if self.exit is None else (self.exit, n + self.tokens)
+
+
+def chunk_map(chunk: str, machine: Transducer, before: str = "") -> ChunkMap:
+    """The map of a chunk; ``before`` is the one character that precedes it, which tells whether a run of spaces goes on."""
+    a = 0
+    if before in (" ", SPACE):
+        while a < len(chunk) and chunk[a] in (" ", SPACE):
+            a += 1
+    a = min((k for k in (chunk.find(" ", a), chunk.find(SPACE, a)) if k >= 0), default=-1)
+    if a < 0:
+        return ChunkMap(machine, chunk)
+    rest = chunk[a:]
+    if "  " in rest or SPACE in rest:
+        return ChunkMap(machine, chunk[:a], *machine.run(machine.blank, rest))
+    # single spaces cut the rest into words whose own maps are constant and kept from text to text
+    words = rest[1:].split(" ")
+    return ChunkMap(machine, chunk[:a], machine.run(machine.blank, SPACE + words[-1])[0], sum(map(machine.segments.__getitem__, words)))
+
+
+def compose(first: ChunkMap, second: ChunkMap) -> ChunkMap:
+    """The map of two neighbouring spans, again as head and constant; associative."""
+    if first.exit is None:
+        return ChunkMap(first.machine, first.head + second.head, second.exit, second.tokens)
+    state, n = second(first.exit)
+    return ChunkMap(first.machine, first.head, state, first.tokens + n)
+
+
+def scan(maps: list[ChunkMap]) -> ChunkMap:
+    """Composes neighbours pair by pair, in log2(n) rounds; the pairs of a round do not depend on each other."""
     while len(maps) > 1:
         maps = [compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     return maps[0]
 
 
 def chunks(text: str, machine: Transducer, size: int = CHUNK) -> list[ChunkMap]:
-    """Cuts at the last start of a run of spaces within reach, else anywhere."""
-    out, a = [], 0
-    while a < len(text):
-        b = min(len(text), a + size)
-        if b < len(text):
-            k = text.rfind(" ", a + 1, b)
-            while k > a and text[k - 1] in (" ", SPACE):
-                k -= 1
-            b = k if k > a else b
-        out.append(ChunkMap(text[a:b], text[a] == " " and (a == 0 or text[a - 1] not in (" ", SPACE)), machine))
-        a = b
-    return out
+    """The maps of equal stretches of the text, wherever words end."""
+    return [chunk_map(text[a : a + size], machine, text[a - 1 : a]) for a in range(0, len(text), size)]
 
 
 class Counter:
