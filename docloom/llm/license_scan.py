@@ -1,17 +1,21 @@
 """Licence scans with a generalised suffix automaton.
 
-All templates (short names, statements and licence openings, as words) go into one suffix automaton. A document's
-words stream through it and leave, at every word, the longest match that ends there (matching statistics). Base
-phrases are read off the automaton: a phrase ends here when its state lies on the suffix-link path of the current
-state. Matches of at least ``min_match`` words are chained, template by template, into spans; a span that covers at
-least ``min_cover`` of its template gives the template's label.
-
-Null texts have no words and no labels. Long texts are streamed whole, in time linear in their words.
+All templates (the base phrases, usual statements and openings of licences, whole licence texts) go into one suffix
+automaton, as words. A document's words stream through it and leave, at every word, the longest match that ends there
+(matching statistics). Base phrases are read off the automaton: a phrase ends here when its state lies on the
+suffix-link path of the current state. Matches of at least ``min_match`` words are chained, template by template: a
+chain runs forward in text and template, with at most ``max_gap`` foreign words between two matches, and the chain
+that covers most of the template's words is found by dynamic programming. Chains that cover at least ``min_cover`` of
+their template are spans, the best covered first, and those of one template do not overlap; a span gives its label.
+
+Null texts have no words and no labels. Texts are streamed whole, in time linear in their words.
 """
 
 from __future__ import annotations
 
+import bisect
 from functools import lru_cache
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,8 +30,8 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-# Openings and usual statements of public licences, as words.
-TEMPLATES = (
+# Openings and usual statements of public licences, as words. Whole licence texts stand in ``licenses``.
+NOTICES = (
     ("released under the mit license", "mit-notice"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit-text"),
     ("licensed under the apache license version 2 0", "apache-2.0-notice"),
@@ -42,10 +46,17 @@ TEMPLATES = (
 )
 
 
+@lru_cache(maxsize=1)
+def default_templates() -> tuple[tuple[str, str], ...]:
+    """The notices, and the licence texts that the package carries, each labelled by its file's name with ``-text``."""
+    files = sorted((f for f in resources.files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return (*NOTICES, *((f.read_text("utf-8"), f.name.removesuffix(".txt").lower() + "-text") for f in files))
+
+
 class Automaton:
-    """Generalised suffix automaton over word sequences."""
+    """Generalised suffix automaton over word sequences; places are kept for states of at least ``least`` words."""
 
-    def __init__(self, sequences: list[list[bytes]]):
+    def __init__(self, sequences: list[list[bytes]], least: int = 1):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[set[tuple[int, int]]] = [set()]  # (sequence, words up to the end) of each state's occurrences
@@ -55,8 +66,8 @@ class Automaton:
                 last = self._extend(last, w)
                 self.ends[last].add((k, i + 1))
         for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
-            self.ends[self.link[v]] |= self.ends[v]
-        self.ends[0] = set()
+            if self.length[self.link[v]] >= least:
+                self.ends[self.link[v]] |= self.ends[v]
 
     def _new(self, length: int, nxt: dict, link: int) -> int:
         self.next.append(nxt)
@@ -95,11 +106,12 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, base=BASE, templates=TEMPLATES, min_match: int = 4, min_cover: float = 0.6, max_gap: int = 32):
+    def __init__(self, base=BASE, templates=None, min_match: int = 4, min_cover: float = 0.6, max_gap: int = 32):
+        templates = default_templates() if templates is None else templates
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
         base = [(words_of(p.encode()), label) for p, label in base]
         self.templates = [(words_of(p.encode()), label) for p, label in templates]
-        self.auto = Automaton([w for w, _ in base] + [w for w, _ in self.templates])
+        self.auto = Automaton([w for w, _ in base] + [w for w, _ in self.templates], min_match)
         self.first = len(base)  # sequences before this one are base phrases
         self.vocabulary = {w for words, _ in base + self.templates for w in words}
         at: dict[int, list[tuple[int, str]]] = {}
@@ -152,38 +164,41 @@ class Scanner:
         }
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[dict]:
-        """Joins matches of one template that follow each other in text and template; keeps well-covered spans."""
-        open_: dict[int, list[int]] = {}  # template -> [start, end, template end, words covered]
-        out = []
-
-        def close(k: int) -> None:
-            start, end, _, covered = open_.pop(k)
-            cover = covered / len(self.templates[k - self.first][0])
-            if cover >= self.min_cover:
-                out.append({"label": self.templates[k - self.first][1], "start": start, "end": end, "cover": min(1.0, cover)})
-
+        """Spans of matches (end, words, state), which come by ascending end."""
+        nodes: dict[int, list[tuple[int, int, int]]] = {}  # template -> (end, words, end in the template)
         for end, n, v in matches:
-            here: dict[int, list[int]] = {}
             for k, stop in sorted(self.auto.ends[v]):
                 if k >= self.first:
-                    here.setdefault(k, []).append(stop)
-            for k, stops in here.items():
-                if k in open_:
-                    _, doc_end, tmpl_end, _ = open_[k]
-                    later = [s for s in stops if s > tmpl_end]
-                    if later and end - n - doc_end <= self.max_gap:
-                        new = min(n, later[0] - tmpl_end, end - doc_end)
-                        open_[k][1:] = [end, later[0], open_[k][3] + new]
-                        continue
-                    close(k)
-                open_[k] = [end - n, end, stops[0], n]
-        for k in list(open_):
-            close(k)
+                    nodes.setdefault(k, []).append((end, n, stop))
+        out = []
+        for k, here in nodes.items():
+            label, whole = self.templates[k - self.first][1], len(self.templates[k - self.first][0])
+            ends = [e for e, _, _ in here]
+            covered, begun = [], []
+            for i, (end, n, stop) in enumerate(here):
+                best, start = n, end - n
+                for j in range(bisect.bisect_left(ends, end - n - self.max_gap), i):
+                    e, _, s = here[j]
+                    if e < end and s < stop:
+                        more = covered[j] + min(n, stop - s, end - e)
+                        if more > best:
+                            best, start = more, begun[j]
+                covered.append(best)
+                begun.append(start)
+            starts, stops = [], []  # of the spans taken, in order; they do not overlap
+            for i in sorted(range(len(here)), key=lambda i: (-covered[i], begun[i], ends[i])):
+                if covered[i] < self.min_cover * whole:
+                    break
+                at = bisect.bisect_left(stops, begun[i] + 1)
+                if at == len(starts) or starts[at] >= ends[i]:
+                    starts.insert(at, begun[i])
+                    stops.insert(at, ends[i])
+                    out.append({"label": label, "start": begun[i], "end": ends[i], "cover": min(1.0, covered[i] / whole)})
         return sorted(out, key=lambda s: (s["start"], s["end"], s["label"]))
 
 
 @lru_cache(maxsize=4)
-def scanner(base: tuple, templates: tuple, min_match: int, min_cover: float) -> Scanner:
+def scanner(base: tuple, templates: tuple | None, min_match: int, min_cover: float) -> Scanner:
     return Scanner(base, templates, min_match, min_cover)
 
 
@@ -198,7 +213,7 @@ _TYPE = pa.struct(
 )
 
 
-def license_scan(text: Column, base: tuple = BASE, templates: tuple = TEMPLATES, min_match: int = 4, min_cover: float = 0.6) -> Column:
+def license_scan(text: Column, base: tuple = BASE, templates: tuple | None = None, min_match: int = 4, min_cover: float = 0.6) -> Column:
     """Struct of counts, labels, score and template spans (words from 0, end exclusive) of each whole text."""
 
     @F.arrow_udf(RESULT)
@@ -212,7 +227,8 @@ def license_scan(text: Column, base: tuple = BASE, templates: tuple = TEMPLATES,
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id and the fields of ``license_scan``; other columns are left out.
 
-    Null and empty texts: no words, no labels (empty strings), null places, score 0. Repeated rows repeat.
+    Null and empty texts: no words, no labels (empty strings), null places, score 0. Repeated rows repeat. ``templates``
+    (text, label) stands for the notices and licence texts, if given.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     return rows.select("doc_id", license_scan(F.col("__text"), **options).alias("__found")).select("doc_id", "__found.*")

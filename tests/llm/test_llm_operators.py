@@ -81,6 +81,31 @@ def test_chunks_compose(documents):
         assert len({c.count(t, size) for size in (3, 50, 10**6)}) == 1
 
 
+def test_chunk_maps_need_no_neighbour(documents):
+    import public_tokenizers
+
+    c = token_counts.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+    machine, blank = c.machine, c.machine.blank
+    text = " " + next(t for t in documents.values() if t and len(t) > 400)[:400] + "   x▁▁y  " + "zq" * 40
+    maps = token_counts.chunks(text, machine, 23)
+    # a map alone, from every state that other texts can leave it in, equals a plain run
+    for k, m in enumerate(maps):
+        for entry in ("", " the", " ab", "9"):
+            state = machine.run(blank, entry)[0]
+            spaces = k and text[23 * k - 1] in " ▁"
+            if not spaces:
+                assert m(state) == machine.run(state, text[23 * k : 23 * k + 23])
+    want = machine.run(blank, text)
+    r = np.random.default_rng(0)
+    for _ in range(20):  # any bracketing
+        left = list(maps)
+        while len(left) > 1:
+            k = int(r.integers(len(left) - 1))
+            left[k : k + 2] = [token_counts.compose(left[k], left[k + 1])]
+        assert left[0](blank) == want
+    assert token_counts.scan(maps)(blank) == want
+
+
 # 2
 
 
@@ -106,8 +131,8 @@ def test_license_base(spark, documents):
 
 
 def test_matching_statistics_are_longest():
-    s = license_scan.Scanner()
-    sequences = [license_scan.words_of(p.encode()) for p, _ in (*license_scan.BASE, *license_scan.TEMPLATES)]
+    s = license_scan.Scanner(templates=license_scan.NOTICES)
+    sequences = [license_scan.words_of(p.encode()) for p, _ in (*license_scan.BASE, *license_scan.NOTICES)]
     parts = {tuple(q[a:b]) for q in sequences for a in range(len(q)) for b in range(a + 1, len(q) + 1)}
     text = [w for q in sequences[4:7] for w in (*q[2:6], b"zz", *q)]
     v = n = 0
@@ -125,6 +150,55 @@ def test_license_template_with_gap():
     assert "mit-text" in license_scan.Scanner().scan(text)["labels"]
 
 
+def brute_chains(text, template, min_match, max_gap):
+    """The most template words that any chain of maximal matches covers, by trying every chain."""
+    matches = []
+    for end in range(1, len(text) + 1):
+        longest = lambda e: max((n for n in range(e + 1) if any(template[p : p + n] == text[e - n : e] for p in range(len(template) - n + 1))), default=0)
+        n = longest(end)
+        if n >= min_match and (end == len(text) or longest(end + 1) <= n):
+            matches += [(end, n, p + n) for p in range(len(template) - n + 1) if template[p : p + n] == text[end - n : end]]
+    best = 0
+
+    def extend(last, covered):
+        nonlocal best
+        best = max(best, covered)
+        for end, n, stop in matches:
+            if end > last[0] and stop > last[2] and end - n - last[0] <= max_gap:
+                extend((end, n, stop), covered + min(n, stop - last[2], end - last[0]))
+
+    for m in matches:
+        extend(m, m[1])
+    return best
+
+
+def test_chains_against_every_chain():
+    r = np.random.default_rng(11)
+    for _ in range(150):
+        template = [b"w%d" % k for k in r.integers(0, 5, 14)]
+        text = [b"w%d" % k for k in r.integers(0, 6, 6)]
+        for _ in range(3):
+            a = int(r.integers(0, 10))
+            text += template[a : a + int(r.integers(2, 7))] + [b"q"] * int(r.integers(0, 3))
+        s = license_scan.Scanner((), ((b" ".join(template).decode(), "t"),), min_match=2, min_cover=0.01, max_gap=2)
+        spans = s.scan(b" ".join(text))["spans"]
+        want = brute_chains(text, template, 2, 2)
+        assert max((x["cover"] for x in spans), default=0) == pytest.approx(min(1, want / 14))
+        for x, y in zip(spans, spans[1:]):
+            assert x["end"] <= y["start"]
+
+
+def test_whole_licences_are_found():
+    s = license_scan.Scanner()
+    texts = dict((label, text) for text, label in license_scan.default_templates())
+    for label in ("mit-text", "apache-2.0-text", "gpl-3-text", "mpl-2.0-text", "bsd-3-clause-text", "isc-text"):
+        w = texts[label].split()
+        changed = " ".join(["Copyright 2024 Somebody.", *w[: len(w) // 2], "our own few words", *w[len(w) // 2 : -5]])
+        found = s.scan(("x y z " * 50 + changed + " and a tail").encode())
+        assert label in found["labels"].split(",") and any(x["label"] == label and x["cover"] > 0.9 for x in found["spans"])
+    assert s.scan(b"the terms of this and the use of the work without any licence at all")["labels"] == ""
+
+
 # 3
 
 
