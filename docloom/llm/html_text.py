@@ -1,19 +1,24 @@
 """Main text of HTML pages by a recurrent block labeller.
 
 A page is cut into leaf blocks (runs of text between block-level tags) in page order. Each block is two bags of hashed
-features, the tags, classes and ids on its path and its words, and three lengths. A numpy bidirectional LSTM reads the
+features, the tags, classes and ids on its path and its words, and five measures of its text. A numpy bidirectional LSTM reads the
 page's blocks both ways and labels every block as article or not with the whole page in view. The network is trained
 here: a bounded, seeded sample of pages (``SAMPLE_PAGES``, pages of at most ``SAMPLE_BYTES``) gets labels from what its
-markup declares (article or main against navigation, adverts, forms, comments and the like), and copies of it with such
-parts added teach forms that the sample lacks.
+markup declares (article or main against navigation, adverts, forms, comments and the like). Copies of it with such
+parts added teach forms that the sample lacks, and copies whose paths have lost their telling names (every container a
+plain div, classes gone or random) keep their labels, so that links, lengths, punctuation, words and neighbours must
+tell where no name does.
 
 Null and empty pages give empty text. Scripts, styles, templates, comments and declarations hold no blocks. Cut-off
-pages keep what stands before the cut; an unfinished tag at the end is dropped. No page or block is shortened.
+pages keep what stands before the cut; an unfinished tag at the end is dropped. No page or block is shortened. Repeated
+rows repeat; columns other than the page's id, url and html are left out.
 """
 
 from __future__ import annotations
 
 import html
+import io
+import math
 import re
 import zlib
 
@@ -27,7 +32,7 @@ from .common import hash_sample
 SAMPLE_PAGES = 250
 SAMPLE_BYTES = 65_536
 PATH_DIM, WORD_DIM = 512, 1024
-PATH_EMB, WORD_EMB, HIDDEN = 16, 8, 16
+PATH_EMB, WORD_EMB, SCALARS, HIDDEN = 16, 4, 5, 24
 
 # How HTML names things.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +43,7 @@ CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-HIDDEN_TAGS = "script|style|noscript|template|svg|iframe|object|textarea|select|button"
+HIDDEN_TAGS = "script|style|noscript|template|iframe|object|textarea|select|button"  # a slash does not close these
 ARTICLE_TAGS = frozenset({"article", "main"})
 OTHER_TAGS = frozenset("nav header footer aside form title head menu dialog".split())
 OTHER_WORDS = frozenset(
@@ -47,12 +52,14 @@ OTHER_WORDS = frozenset(
 
 _INSIDE = r"(?:[^'\">]|\"[^\"]*\"|'[^']*'|['\"])*?"  # of a tag; a quote that is never closed is an ordinary character
 _PART = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN_TAGS})\b{_INSIDE}(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({HIDDEN_TAGS})(?=[\s/>]){_INSIDE}(?:>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
+    rf"|<svg(?=[\s/>]){_INSIDE}(?:/>|>.*?(?:</svg\s*>|\Z)|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(>|\Z)|([^<]+)|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_STOP = re.compile(r"[.!?,;](?=\s|$)")
 
 
 class Block:
@@ -158,8 +165,14 @@ class Features:
     def of(self, blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         word = self.word
         words = [[word(w) for w in b.text.split(" ")] for b in blocks]
-        scalars = np.array([[np.log1p(len(b.text)) / 8, min(1.0, b.linked / max(1, len(b.text))), np.log1p(len(w)) / 6] for b, w in zip(blocks, words)], np.float32)
-        return [self.path(b.path) for b in blocks], words, scalars.reshape(-1, 3)
+        scalars = np.array(
+            [
+                [math.log1p(len(b.text)) / 8, min(1.0, b.linked / len(b.text)), math.log1p(len(w)) / 6, math.log1p(len(_STOP.findall(b.text))) / 3, b.text[-1] in ".!?:;\"'”»)"]
+                for b, w in zip(blocks, words)
+            ],
+            np.float32,
+        )
+        return [self.path(b.path) for b in blocks], words, scalars.reshape(-1, SCALARS)
 
 
 def _mean_rows(table: np.ndarray, lists: list[list[int]]) -> np.ndarray:
@@ -177,7 +190,7 @@ class Labeller:
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.n_in = PATH_EMB + WORD_EMB + 3
+        self.n_in = PATH_EMB + WORD_EMB + SCALARS
         shape = {"path": (PATH_DIM, PATH_EMB), "word": (WORD_DIM, WORD_EMB), "out": (2 * HIDDEN, 1), "bias": (1,)}
         for side in "fb":
             shape |= {f"x{side}": (self.n_in, 4 * HIDDEN), f"h{side}": (HIDDEN, 4 * HIDDEN), f"c{side}": (4 * HIDDEN,)}
@@ -186,6 +199,19 @@ class Labeller:
         for side in "fb":
             self.w[f"c{side}"][HIDDEN : 2 * HIDDEN] = 1  # forget gates start open
 
+    def to_bytes(self) -> bytes:
+        """The trained weights, to be kept for other runs."""
+        out = io.BytesIO()
+        np.savez(out, **self.w)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Labeller:
+        model = cls()
+        with np.load(io.BytesIO(data)) as kept:
+            model.w = {k: kept[k] for k in model.w}
+        return model
+
     def inputs(self, path: list, word: list, scalars: np.ndarray) -> np.ndarray:
         return np.hstack([_mean_rows(self.w["path"], path), _mean_rows(self.w["word"], word), scalars])
 
@@ -232,11 +258,11 @@ class Labeller:
             dc = d_new_c * f + (1 - m) * dc
         return dx
 
-    def fit(self, pages: list[tuple[list, list, np.ndarray, np.ndarray]], epochs: int = 9, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Labeller:
+    def fit(self, pages: list[tuple[list, list, np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Labeller:
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step = 0
+        step, last = 0, epochs * -(-len(pages) // batch)
         for _ in range(epochs):
             order = r.permutation(len(pages))
             for a in range(0, len(pages), batch):
@@ -266,7 +292,7 @@ class Labeller:
                 for k, g in grads.items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.w[k] = self.w[k] - (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.w[k] = self.w[k] - (rate * (1.5 - 1.4 * step / last) * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
     def label(self, pages: list[list[Block]], features: Features, cells: int = 16_384) -> list[np.ndarray]:
@@ -316,14 +342,86 @@ def varied(page: str, texts: list[str], r: np.random.Generator) -> str:
     return page
 
 
+#: Tags that hold parts of a page; without their names they are plain containers.
+_PARTS = frozenset("article main section nav header footer aside form menu dialog".split())
+
+
+def unnamed(blocks: list[Block], r: np.random.Generator, classes: str, leaves: float = 0.0) -> list[Block]:
+    """The blocks with paths that tell less: parts as plain div, class words "kept", "gone" or "random".
+
+    ``leaves``: the chance that a page's paragraphs, its lists or its headings are plain as well; half as often, all of
+    them are table cells.
+    """
+    made: dict[str, str] = {}
+    box = "td" if r.random() < leaves / 2 else "div"
+    plain = _PARTS.union(*(tags for tags in (("p",), ("ul", "ol", "li"), ("h1", "h2", "h3", "h4")) if r.random() < leaves))
+
+    def word(w: str) -> str:
+        return made.setdefault(w, "".join(chr(97 + int(k)) for k in r.integers(0, 26, 5)))
+
+    def entry(e: tuple[str, ...]) -> tuple[str, ...]:
+        names = e[1:] if classes == "kept" else tuple(map(word, e[1:])) if classes == "random" else ()
+        return (box if e[0] in plain else e[0], *names)
+
+    return [Block(b.text, tuple(map(entry, b.path)), b.linked) for b in blocks]
+
+
+def shortened(blocks: list[Block], r: np.random.Generator, share: float = 0.3) -> list[Block]:
+    """The blocks, some of them cut to a few words: samples may lack short headings and paragraphs."""
+
+    def cut(b: Block) -> Block:
+        words = b.text.split(" ")
+        n = int(r.integers(1, 9))
+        if len(words) <= n or r.random() > share:
+            return b
+        text = " ".join(words[:n]) + (b.text[-1] if b.text[-1] in ".!?" else "")
+        return Block(text, b.path, len(text) if b.linked >= len(b.text) else 0)
+
+    return [cut(b) for b in blocks]
+
+
+def trimmed(blocks: list[Block], label: list[int], r: np.random.Generator, share: float = 0.3) -> tuple[list[Block], list[int]]:
+    """The page with a shorter article, without what stands before it, or without what follows it, each by chance."""
+    article = [k for k, y in enumerate(label) if y]
+    if not article:
+        return blocks, label
+    keep = np.ones(len(blocks), bool)
+    if r.random() < share:
+        a = int(r.integers(len(article)))
+        gone = np.delete(article, slice(a, a + int(r.integers(1, 5))))
+        keep[gone] = False
+    if r.random() < share:
+        keep[: article[0]] = False
+    if r.random() < share:
+        keep[article[-1] + 1 :] = False
+    return [b for b, k in zip(blocks, keep) if k], [y for y, k in zip(label, keep) if k]
+
+
 def train(pages: list[str], seed: int = 7) -> Labeller:
-    """A labeller from sample pages and varied copies of them; without pages, one that has seen nothing."""
+    """A labeller from sample pages, varied copies of them and copies without names; without pages, an untaught one."""
     r = np.random.default_rng(seed)
     texts = [b.text for p in pages for b in blocks_of(p)] or ["text"]
     features, data = Features(), []
-    for page in [*pages, *(varied(p, texts, r) for p in pages for _ in range(2))]:
-        if blocks := blocks_of(page):
-            data.append((*features.of(blocks), np.array([declared_label(b.path) for b in blocks], np.float32)))
+
+    def add(blocks: list[Block], label: list[int], other_words: bool = False) -> None:
+        path, words, scalars = features.of(blocks)
+        if other_words:  # as in a language that the sample lacks
+            words = [r.integers(0, WORD_DIM, len(w)).tolist() for w in words]
+        data.append((path, words, scalars, np.array(label, np.float32)))
+
+    for page in pages:
+        for k in range(3):
+            blocks = blocks_of(varied(page, texts, r) if k else page)
+            if not blocks:
+                continue
+            label = [declared_label(b.path) for b in blocks]
+            if k:
+                blocks, label = trimmed(shortened(blocks, r), label, r)
+            add(blocks, label)
+            for again in range(1 + (k == 0)):
+                if again:
+                    blocks, label = trimmed(shortened(blocks, r), label, r)
+                add(unnamed(blocks, r, ("gone", "random", "gone", "kept")[int(r.integers(4))], 0.3), label, bool(r.random() < 0.5))
     return Labeller(seed).fit(data) if data else Labeller(seed)
 
 
@@ -349,9 +447,12 @@ def main_text(page: Column, model) -> Column:
     return extract(page)
 
 
-def extract_text(pages: DataFrame, n_sample: int = SAMPLE_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of ``pages`` (repeated rows repeat)."""
-    model = pages.sparkSession.sparkContext.broadcast(train(sample_pages(pages, n_sample, html_col=html_col)))
+def extract_text(pages: DataFrame, n_sample: int = SAMPLE_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Labeller | None = None) -> DataFrame:
+    """page_id, url, text, n_chars: one row per row of ``pages`` (repeated rows repeat).
+
+    ``model`` (see ``Labeller.to_bytes``) spares the training.
+    """
+    model = pages.sparkSession.sparkContext.broadcast(model or train(sample_pages(pages, n_sample, html_col=html_col)))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("__html"))
     rows = rows.select("page_id", "url", main_text(F.col("__html"), model).alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))

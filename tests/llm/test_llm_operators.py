@@ -486,7 +486,7 @@ def test_blocks():
 def test_gradients():
     r = np.random.default_rng(0)
     m = html_text.Labeller(1)
-    pages = [([[1, 2], [3], [4, 5]], [[7], [8, 9], [1]], r.random((3, 3)).astype(np.float32), np.array([1, 0, 1], np.float32)), ([[2]], [[3]], r.random((1, 3)).astype(np.float32), np.array([0], np.float32))]
+    pages = [([[1, 2], [3], [4, 5]], [[7], [8, 9], [1]], r.random((3, html_text.SCALARS)).astype(np.float32), np.array([1, 0, 1], np.float32)), ([[2]], [[3]], r.random((1, html_text.SCALARS)).astype(np.float32), np.array([0], np.float32))]
 
     def loss(model):
         total = n = 0
@@ -516,6 +516,69 @@ def test_html_text_against_markup(spark):
     assert [(r.text, r.n_chars) for r in html_text.extract_text(odd).collect()] == [("", 0), ("", 0)]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("a<script src='x.js' />var leaked = 1;</script>b", ["ab"]),
+        ("<p>a</p><style media=x />p{}</STYLE ><p>b</p>", ["a", "b"]),
+        ("<p>a<svg viewBox='0'/>b<textarea / >t</textarea><scripted>c", ["ab", "c"]),
+        ("<p>a</p><script>never closed <p>b</p>", ["a"]),
+        ("<p>1 &lt; 2 &amp;amp; &#x41;&nbsp;&eacute;</p>\n\t<p> \n </p><p>x\n\n y", ["1 < 2 &amp; A é", "x y"]),
+        ("no markup at all", ["no markup at all"]),
+        ("<p>" + "long " * 200_000 + "</p>", [("long " * 200_000).strip()]),
+    ],
+)
+def test_blocks_of_odd_pages(page, want):
+    assert [b.text for b in html_text.blocks_of(page)] == want
+
+
+NAMED = (
+    '<html><head><title>Site</title></head><body><header><a href="/">Site</a></header><nav><ul><li><a href=a>One<li><a href=b>Two</ul></nav>'
+    '<div class="cookie-notice">We use cookies. Please accept.</div><article><h1>On bread</h1><p>Bread needs time, water, salt and flour.</p>'
+    '<div class="ad">Buy our new oven today.</div><script src=x />track();</script><p>Most of all, it needs patience, and a warm room.</p></article>'
+    '<section class="comments"><h2>Comments</h2><p>Nice text, thank you.</p></section><aside>Other texts</aside><footer>Copyright 2024</footer></body></html>',
+    "On bread\nBread needs time, water, salt and flour.\nMost of all, it needs patience, and a warm room.",
+)
+PLAIN = (
+    '<html><head><title>T</title></head><body><div><div><a href="/">Home</a> <a href="/a">About</a> <a href="/c">Contact</a></div>'
+    "<div><h1>The river in winter</h1><div>The river froze in the first week of January, and people walked across it to the old mill.</div>"
+    "<div>By March, the ice had gone, and the boats were back. Nobody spoke of the flood again.</div></div></div></body></html>",
+    ["The river froze", "By March"],
+    ["Home"],
+)
+
+
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return html_text.train(html_text.sample_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+
+
+def test_html_text_of_known_articles(spark, labeller):
+    cut = NAMED[0][: NAMED[0].index("Most of all") + 12] + "<a hr"
+    pages = [NAMED[0], PLAIN[0], cut, NAMED[0].replace("</p>", "").replace("</div>", "", 1), "", None, "<p>", NAMED[0], NAMED[0] * 40]
+    rows = spark.createDataFrame([(k, None, p, "clash") for k, p in enumerate(pages)], "page_id bigint, url string, html string, n_chars string")
+    kept = html_text.Labeller.from_bytes(labeller.to_bytes())
+    got = {r.page_id: r for r in html_text.extract_text(rows, model=kept).collect()}
+    assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(pages)
+    assert got[0].text == NAMED[1] == got[7].text
+    assert all(x in got[1].text for x in PLAIN[1]) and not any(x in got[1].text for x in PLAIN[2])
+    assert got[2].text == NAMED[1][: NAMED[1].index("Most of all") + 11] and "Bread needs" in got[3].text
+    assert [got[k].text for k in (4, 5, 6)] == ["", "", ""]
+    assert got[8].text.split("\n").count("Bread needs time, water, salt and flour.") >= 38
+
+
+def test_html_text_without_names(spark, labeller):
+    """Pages that the training has not seen, their parts' names hidden; labels are what the hidden names had declared."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("page_id % 50 = 7 and html is not null").collect()]
+    r, features, right, total = np.random.default_rng(2), html_text.Features(), 0, 0
+    for page in pages:
+        blocks = html_text.blocks_of(page)
+        want = np.array([html_text.declared_label(b.path) for b in blocks])
+        got = labeller.label([html_text.unnamed(blocks, r, "gone")], features)[0] >= 0.5
+        right, total = right + int((got == want).sum()), total + len(want)
+    assert right >= 0.95 * total
+
+
 # 9
 
 
