@@ -372,7 +372,8 @@ def shortened(blocks: list[Block], r: np.random.Generator, share: float = 0.3) -
     def cut(b: Block) -> Block:
         words = b.text.split(" ")
         n = int(r.integers(1, 9))
-        if len(words) <= n or r.random() > share:
+        heading = bool(b.path) and b.path[-1][0] in ("h1", "h2", "h3", "h4")
+        if len(words) <= n or r.random() > (2 * share if heading else share):
             return b
         text = " ".join(words[:n]) + (b.text[-1] if b.text[-1] in ".!?" else "")
         return Block(text, b.path, len(text) if b.linked >= len(b.text) else 0)

@@ -562,7 +562,7 @@ def test_html_text_of_known_articles(spark, labeller):
     assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(pages)
     assert got[0].text == NAMED[1] == got[7].text
     assert all(x in got[1].text for x in PLAIN[1]) and not any(x in got[1].text for x in PLAIN[2])
-    assert got[2].text == NAMED[1][: NAMED[1].index("Most of all") + 11] and "Bread needs" in got[3].text
+    assert got[2].text == NAMED[1][: NAMED[1].index("Most of all") + 12] and "Bread needs" in got[3].text
     assert [got[k].text for k in (4, 5, 6)] == ["", "", ""]
     assert got[8].text.split("\n").count("Bread needs time, water, salt and flour.") >= 38
 
