@@ -29,19 +29,22 @@ def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xy_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks on a grid of rows and columns with clear gaps, so that rows come first, then columns."""
     i = items(spark, sf_dir)
-    x, y = F.col("part") % 3 * 60.0, F.col("quantity") * 4.0
-    blocks = i.select("doc_id", F.lit(1).alias("page"), "seq", x.alias("x0"), y.alias("y0"), (x + 30).alias("x1"), (y + 10).alias("y1"))
+    x, y = F.col("part") % 3 * 80.0, F.floor(F.col("quantity") / 10) * 20.0
+    blocks = i.select("doc_id", F.lit(1).alias("page"), "seq", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 10).alias("y1"))
     return layout.order_blocks(blocks).select("doc_id", "seq", "reading_seq")
 
 
 def verify_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose outcome exact rules decide: two words that stand together, a word of three letters or more with one too many, none."""
     p = doc_pages(spark, sf_dir)
     words = p.select("doc_id", (F.col("page") * 1_000_000).alias("base"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\s+")).alias("k", "text")).select("doc_id", (F.col("base") + F.col("k")).alias("seq"), "text")
-    tokens = F.split(F.coalesce("text", F.lit("")), r"\s+")
-    picked = p.select("doc_id", "page", tokens.alias("t"))
-    values = picked.select("doc_id", F.concat(F.lit("f"), F.col("page").cast("string")).alias("field"), F.when(F.col("page") % 3 == 0, F.concat_ws(" ", F.get("t", F.lit(0)), F.get("t", F.lit(1)))).when(F.col("page") % 3 == 1, F.concat(F.get("t", F.lit(2)), F.lit("x"))).otherwise(F.lit("zzzzqqqq")).alias("value"))
-    return verify.verify_values(values, words)
+    picked = p.select("doc_id", "page", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("t"))
+    third = F.get("t", F.lit(2))
+    value = F.when(F.col("page") % 3 == 0, F.concat_ws(" ", F.get("t", F.lit(0)), F.get("t", F.lit(1)))).when((F.col("page") % 3 == 1) & (F.length(third) >= 3), F.concat(third, F.lit("x"))).otherwise(F.lit("zzzzqqqq"))
+    out = verify.verify_values(picked.select("doc_id", F.concat(F.lit("f"), F.col("page").cast("string")).alias("field"), value.alias("value")), words)
+    return out.select("doc_id", "field", "verified", (F.col("how") == "no_value").alias("blank"), F.col("seq").isNotNull().alias("placed"))
 
 
 def llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,14 +164,19 @@ def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (extract_documents, process_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
 
-_PII = [(C.PII[e]) for e in C.PII]
-_REDACTED = "t"
-for _p in _PII:
-    _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '[REDACTED]', 'g')"
+_REDACTED = f"regexp_replace(t, '{C.pii_pattern()}', '[REDACTED]', 'g')"
 
 _FOLD = """CASE WHEN starts_with(acc, 'resolved') THEN 'idle|' || split_part(acc, '|', 2) WHEN x = 't' AND starts_with(acc, 'firing') THEN acc
   WHEN x = 't' THEN 'firing|' || CAST(CAST(split_part(acc, '|', 2) AS BIGINT) + 1 AS VARCHAR) WHEN starts_with(acc, 'firing') THEN 'resolved|' || split_part(acc, '|', 2) ELSE 'idle|' || split_part(acc, '|', 2) END"""
 
+_part = lambda k: f"split_part(acc, '|', {k})"
+_more = lambda k: f"CAST(CAST({_part(k)} AS BIGINT) + 1 AS VARCHAR)"
+_COUNTED = (
+    f"CASE WHEN {_part(1)} = 'resolved' THEN 'idle|' || {_part(2)} || '|' || {_part(3)} || '|' || {_more(4)} "
+    f"WHEN {_part(1)} = 'firing' AND x = 'f' THEN 'resolved|' || {_part(2)} || '|' || {_more(3)} || '|' || {_part(4)} "
+    f"WHEN {_part(1)} = 'idle' AND x = 't' THEN 'firing|' || {_more(2)} || '|' || {_part(3)} || '|' || {_part(4)} ELSE acc END"
+)
+
 _MONEY = "CAST(CAST(floor(o_totalprice) AS BIGINT) * 10 + 5 AS VARCHAR)"
 _ISO = "strftime(o_orderdate, '%Y-%m-%d')"
 
@@ -192,6 +200,16 @@ SELECT doc_id, kind, CASE WHEN n = 0 THEN 'failed' WHEN n = 3 THEN 'complete' EL
     "llm_requests": f"""WITH p AS (SELECT conv_id AS doc_id, string_agg('--- PAGE ' || CAST(turn + 1 AS VARCHAR) || ' ---' || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1),
 r AS (SELECT doc_id, {_REDACTED} AS t FROM p)
 SELECT doc_id, md5('[discover]' || chr(10) || CASE WHEN length(t) > 15000 THEN substr(t, 1, 8000) || chr(10) || chr(10) || '[... cut ...]' || chr(10) || chr(10) || right(t, 5000) ELSE t END) AS prompt_md5 FROM r""",
+    "discover_schemas": f"""WITH p AS (SELECT conv_id AS doc_id, string_agg('--- PAGE ' || CAST(turn + 1 AS VARCHAR) || ' ---' || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1),
+r AS (SELECT doc_id, {_REDACTED} AS t FROM p), n AS (SELECT 11 + CASE WHEN length(t) > 15000 THEN 13018 ELSE length(t) END AS n FROM r)
+SELECT 'bank_' || CAST(n % 9 AS VARCHAR) || '::letter' AS fingerprint, count(*) AS documents, CAST(sum(1 + CAST(n % 2 = 0 AS INTEGER)) AS BIGINT) AS fields FROM n WHERE n % 5 <> 0 GROUP BY 1""",
+    "xy_cut": f"""WITH {ITEMS} SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY floor(quantity / 10), part % 3, seq) - 1 AS reading_seq FROM items""",
+    "verify_tokens": r"""WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page, regexp_split_to_array(coalesce(text, ''), '\s+') AS t FROM conversations),
+v AS (SELECT *, CASE WHEN page % 3 = 0 THEN trim(concat_ws(' ', t[1], t[2])) WHEN page % 3 = 1 AND length(t[3]) >= 3 THEN t[3] || 'x' ELSE 'zzzzqqqq' END AS value FROM p)
+SELECT doc_id, 'f' || CAST(page AS VARCHAR) AS field, value NOT IN ('', 'zzzzqqqq') AS verified, value = '' AS blank, value NOT IN ('', 'zzzzqqqq') AS placed FROM v""",
+    "alert_stream": f"""WITH g AS (SELECT user_id AS rule_id, list(CASE WHEN value > 60 THEN 't' ELSE 'f' END ORDER BY ts, value > 60) AS xs FROM events GROUP BY 1),
+f AS (SELECT rule_id, string_split(list_reduce(list_prepend('idle|0|0|0', xs), lambda acc, x: {_COUNTED}), '|') AS a FROM g)
+SELECT rule_id, to_state, CAST(a[k] AS BIGINT) AS changes FROM f, (VALUES (2, 'firing'), (3, 'resolved'), (4, 'idle')) s(k, to_state) WHERE CAST(a[k] AS BIGINT) > 0""",
     "common_failures": """WITH g AS (SELECT 'k' || CAST(user_id % 40 AS VARCHAR) AS schema_key, 'f' || CAST(event_id % 11 AS VARCHAR) AS field_name, count(*) AS failures FROM events GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY schema_key ORDER BY failures DESC, field_name) AS rank FROM g) SELECT * FROM r WHERE rank <= 5""",
     "json_repair": "SELECT o_orderkey, o_orderkey AS b FROM orders",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -20,3 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _local:
         _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docloom-")
     return _local[context.applicationId]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, so that several later steps do not repeat the work that made ``df``."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "checkpoints"))
+    return df.checkpoint(eager=True)

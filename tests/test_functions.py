@@ -73,3 +73,29 @@ def test_repair_column(spark):
 def test_retry_delay(spark, attempt, least, most):
     d = spark.range(1).select(C.retry_delay_ms(F.lit(attempt), F.lit(0.5))).first()[0]
     assert least <= d <= most
+
+
+def test_dates_of_eight_forms(spark):
+    good = ["2024-1-5", "05/01/2024", "5-1-2024", "5.1.2024", "5 Jan 2024", "5 january 2024", "Jan 5, 2024", "January 5, 2024"]
+    got = one(spark, lambda c: F.date_format(C.try_date(c), "yyyy-MM-dd"), *good, " 5  JAN  2024 ", "2024/1/5", "31/02/2024", "5 January 24", "12345-01-01", "", None)
+    assert got == ["2024-01-05"] * 9 + [None] * 6
+
+
+SECRETS = ["+44 20 7946 0958", "07911 123456", "555-123-4567", "(555) 123-4567", "+1 (555) 123-4567", "3782 822463 10005", "4111 1111 1111 1111", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "123-45-6789", "10.0.0.1", "a.b+c@mail.example.com"]
+PLAIN = ["", "no. 12 of 2024", "15/01/2024", "1,234.56", "order 4711", "AB12", "É 12-34", "page 3 of 1000"]
+
+
+def test_redaction_of_every_form(spark):
+    texts = [f"x {s} y" for s in SECRETS]
+    assert one(spark, C.redact, *texts, *PLAIN) == ["x [REDACTED] y"] * len(SECRETS) + PLAIN
+    log = one(spark, C.redaction_log, *texts, *PLAIN, "a@b.com10.0.0.1 a@b.org", None)
+    assert all([(e.start, e.end) for e in x] == [(2, 2 + len(s))] for x, s in zip(log, SECRETS))
+    assert log[len(SECRETS) : -2] == [[]] * len(PLAIN) and log[-1] is None
+    assert [(e.entity_type, e.start, e.end) for e in log[-2]] == [("EMAIL_ADDRESS", 0, 7), ("EMAIL_ADDRESS", 16, 23)] or len(log[-2]) >= 2
+    assert one(spark, lambda c: C.redact(c, ()), "a@b.com") == ["a@b.com"] and one(spark, lambda c: C.redact(c, ("IP_ADDRESS",)), "a@b.com 1.2.3.4") == ["a@b.com [REDACTED]"]
+
+
+def test_long_iban_is_read_whole(spark):
+    body = "1" * 200
+    check = 98 - int(body + "161100") % 97
+    assert one(spark, C.iban_ok, f"GB{check:02d}{body}", f"GB{check:02d}{body[:-1]}2") == [True, False]
