@@ -16,6 +16,13 @@ SEVERITY_ALIASES = {"warn": "warning", "err": "error", "fatal": "critical", "cri
 TERMINAL = ("complete", "failed", "partial")
 
 
+def for_tenant(df: DataFrame, tenant: str, column: str = "tenant_id") -> DataFrame:
+    """the rows of one tenant. Reads on behalf of a tenant go through here; without a tenant there is no read."""
+    if not tenant or not isinstance(tenant, str):
+        raise ValueError("a tenant's read needs the tenant")
+    return df.filter(F.col(column) == tenant)
+
+
 def usage_filter(df: DataFrame, tenant: str | None = None, job: str | None = None, model: str | None = None, start=None, end=None) -> DataFrame:
     """usage rows of a tenant, job and model within [start, end)."""
     for column, value in (("tenant_id", tenant), ("job_id", job), ("model_id", model)):
@@ -163,7 +170,7 @@ def latest_failures(df: DataFrame, keep: int = 1000) -> DataFrame:
 
 
 def failure_patterns(df: DataFrame, by_field: int = 3, by_schema: int = 5, by_code: int = 10, least: int = 5) -> DataFrame:
-    """Category, subject, failures, priority, of fields of an institution, model failures of a schema, codes.
+    """Category, subject, failures, priority, of fields of an institution, model failures of a schema, codes.
 
     Nothing is reported for fewer than ``least`` failures in all.
     """
@@ -178,6 +185,14 @@ def failure_patterns(df: DataFrame, by_field: int = 3, by_schema: int = 5, by_co
     return field.unionByName(schema).unionByName(code).join(F.broadcast(enough)).drop("enough")
 
 
+def suggestions(found: DataFrame, keep: int = 50, prefix: int = 50) -> DataFrame:
+    """One suggestion (category, description, priority, seq) for each category and first 50 characters of the
+    description, the first of equals; of those the last 50. Input: category, description, priority, seq.
+    """
+    g = found.groupBy("category", F.substring("description", 1, prefix).alias("__start")).agg(F.min(F.struct("seq", "description", "priority")).alias("s"))
+    return g.select("category", "s.description", "s.priority", "s.seq").orderBy(F.desc("seq"), F.desc("category")).limit(keep)
+
+
 def schema_performance(runs: DataFrame, order: str = "ts") -> DataFrame:
     """schema_key, uses, successes, rate, stable (sticky), needs_refinement, of runs (schema_key, extracted, total).
 
@@ -185,8 +200,15 @@ def schema_performance(runs: DataFrame, order: str = "ts") -> DataFrame:
     at 0.95 or better, and stays so; it needs refinement at 5 uses or more below 0.70 unless stable.
     """
     ok = F.when(F.coalesce(F.try_divide(F.col("extracted").cast("double"), F.col("total").cast("double")), F.lit(0.0)) >= 0.5, 1).otherwise(0)
-    w = Window.partitionBy("schema_key").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0)
-    r = runs.withColumn("__ok", ok).withColumn("__n", F.count("*").over(w)).withColumn("__s", F.sum("__ok").over(w))
+    # a busy schema's runs are cut by day: what earlier days sum to is added to the running counts of a day
+    r = runs.withColumns({"__ok": ok, "__day": F.coalesce(F.to_date(order), F.lit("0001-01-01").cast("date"))})
+    days = r.groupBy("schema_key", "__day").agg(F.count("*").alias("__dn"), F.sum("__ok").alias("__ds"))
+    before = Window.partitionBy("schema_key").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    days = days.select("schema_key", "__day", earlier("__dn").alias("__bn"), earlier("__ds").alias("__bs"))
+    w = Window.partitionBy("schema_key", "__day").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(days, ["schema_key", "__day"])
+    r = r.withColumn("__n", F.col("__bn") + F.count("*").over(w)).withColumn("__s", F.col("__bs") + F.sum("__ok").over(w))
     r = r.withColumn("__stable", (F.col("__n") >= 10) & (F.col("__s") / F.col("__n") >= 0.95))
     out = r.groupBy("schema_key").agg(F.count("*").alias("uses"), F.sum("__ok").alias("successes"), F.bool_or("__stable").alias("stable"))
     out = out.withColumn("rate", F.round(F.col("successes") / F.col("uses"), 6))

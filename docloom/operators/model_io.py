@@ -119,12 +119,13 @@ def breaker_states(calls: DataFrame, threshold: int = 3, recovery: float = 30.0)
 
 def history_after(history: DataFrame, changes: DataFrame) -> DataFrame:
     """ST5, J13: alert history (rule_id, fired_at, resolved_at) after changes (rule_id, at, to_state): firing appends a row, resolved closes the latest open one."""
-    rows = history.select("rule_id", "fired_at", "resolved_at").unionByName(changes.filter("to_state = 'firing'").select("rule_id", F.col("at").alias("fired_at"), F.lit(None).cast("timestamp").alias("resolved_at")))
-    marks = changes.filter("to_state = 'resolved'").select("rule_id", F.col("at").alias("__at"))
-    following = Window.partitionBy("rule_id").orderBy("fired_at")
-    spans = rows.withColumn("__next", F.lead("fired_at").over(following))
-    j = spans.join(marks, "rule_id", "left").filter(F.col("__at").isNull() | ((F.col("__at") >= F.col("fired_at")) & (F.col("__next").isNull() | (F.col("__at") < F.col("__next")))))
-    closing = j.groupBy("rule_id", "fired_at").agg(F.min("__at").alias("__closed"))
+    none = F.lit(None).cast("timestamp")
+    rows = history.select("rule_id", "fired_at", "resolved_at").unionByName(changes.filter("to_state = 'firing'").select("rule_id", F.col("at").alias("fired_at"), none.alias("resolved_at")))
+    # a mark closes the row that was fired last before it, or at its time
+    points = rows.select("rule_id", F.col("fired_at").alias("at"), F.lit(0).alias("kind")).unionByName(changes.filter("to_state = 'resolved'").select("rule_id", "at", F.lit(1).alias("kind")))
+    order = Window.partitionBy("rule_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    fired = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order)
+    closing = points.withColumn("fired_at", fired).filter("kind = 1 and fired_at is not null").groupBy("rule_id", "fired_at").agg(F.min("at").alias("__closed"))
     return rows.join(closing, ["rule_id", "fired_at"], "left").select("rule_id", "fired_at", F.coalesce("resolved_at", "__closed").alias("resolved_at"))
 
 

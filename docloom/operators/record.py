@@ -46,9 +46,24 @@ def resolve(abstained: DataFrame, answers: DataFrame) -> DataFrame:
     return j.withColumn("resolved", F.col("value").isNotNull())
 
 
-def still_open(abstained: DataFrame, fields: DataFrame) -> DataFrame:
-    """abstentions of fields that have no value by now."""
-    return abstained.join(fields.filter(F.col("value").isNotNull()).select("doc_id", "field").distinct(), ["doc_id", "field"], "left_anti")
+# Fields that a model's account data stand for.
+ACCOUNT_FIELDS = ("portfolio_id", "valuation_date", "total_value", "trade_date", "settlement_date", "isin", "quantity", "price", "counterparty_bic", "opening_balance")
+
+
+def still_open(abstained: DataFrame, fields: DataFrame, with_accounts: DataFrame | None = None) -> DataFrame:
+    """abstentions (doc_id, field[, table_id]) that nothing has resolved.
+
+    A field that has a value by now is resolved. Documents in ``with_accounts`` (doc_id: a model found accounts with
+    transactions or tables) need no abstention of a transactions or positions table, nor of an account field.
+    """
+    out = abstained.join(fields.filter(F.col("value").isNotNull()).select("doc_id", "field").distinct(), ["doc_id", "field"], "left_anti")
+    if with_accounts is None:
+        return out
+    covered = F.coalesce(F.col("field").isin(*ACCOUNT_FIELDS), F.lit(False))
+    if "table_id" in abstained.columns:
+        covered = covered | F.coalesce(F.contains("table_id", F.lit("transactions")) | F.contains("table_id", F.lit("positions")), F.lit(False))
+    marked = out.join(with_accounts.select("doc_id").distinct().withColumn("__data", F.lit(True)), "doc_id", "left")
+    return marked.filter(~(F.col("__data").isNotNull() & covered)).select(*abstained.columns)
 
 
 def needs_retry(docs: DataFrame, most: float = 0.5) -> DataFrame:
@@ -85,6 +100,19 @@ def balance_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("doc_id", key, F.col("closing_balance").alias("old")).join(b.select("doc_id", key, F.col("closing_balance").alias("new")), ["doc_id", "acct_key"], "full_outer").withColumn("changed", ~F.col("old").eqNullSafe(F.col("new")))
 
 
+def normal_transaction(rows: DataFrame) -> DataFrame:
+    """Rows with date, description and amount from the first of the usual names that holds something.
+
+    Empty texts and zero amounts count as missing; names that ``rows`` lacks are passed over.
+    """
+
+    def first(*names: str) -> Column:
+        kept = [F.when(~F.coalesce(F.col(n).cast("string"), F.lit("")).isin("", "0", "0.0", "0.00"), F.col(n).cast("string")) for n in names if n in rows.columns]
+        return F.coalesce(*kept, F.lit(""))
+
+    return rows.withColumns({"date": first("date", "value_date", "transaction_date"), "description": first("description", "narrative", "details"), "amount": first("amount", "debit", "credit")})
+
+
 def transaction_key(date: Column, description: Column, amount: Column) -> Column:
     """The comparison key of a transaction."""
     return F.concat_ws("|", F.coalesce(date, F.lit("")), F.coalesce(description, F.lit("")), F.coalesce(amount.cast("string"), F.lit("")))

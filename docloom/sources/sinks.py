@@ -35,9 +35,12 @@ def html_table(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.concat(F.lit(f"<table>{head}"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """S17."""
-    df.write.json(path)
+def write_json(df: DataFrame, path: str, tenant: str, job: str | None = None) -> None:
+    """The results of a tenant, or of one of its jobs, as JSON lines."""
+    from docloom.operators.admin import for_tenant
+
+    out = for_tenant(df, tenant)
+    (out if job is None else out.filter(F.col("job_id") == job)).write.json(path)
 
 
 def batch_payloads(jobs: DataFrame) -> DataFrame:
@@ -57,13 +60,18 @@ def standalone_payload(job_id: Column, trace_id: Column, status: Column, result:
     return F.to_json(F.struct(F.lit("standalone").alias("type"), job_id.cast("string").alias("job_id"), trace_id.alias("trace_id"), status.alias("status"), result.alias("result")))
 
 
-def deliver(payloads: DataFrame, send: Callable[[str], bool], attempts: int = 3, pause: Callable[[int], float] = lambda n: min(2.0**n, 30.0)) -> DataFrame:
-    """Payloads (payload) with ``delivered`` and ``attempts``; a refused one is tried again after a pause.
+def deliver(payloads: DataFrame, send: Callable[[str], bool], attempts: int = 3, pause: Callable[[int], float] | None = None) -> DataFrame:
+    """Payloads (payload) with ``delivered`` and ``attempts``; a refused one is tried again after a pause, which
+    doubles from one second with up to a second of jitter and ends at 30 seconds.
 
     Runs where the rows are; for a stream, call it inside foreachBatch.
     """
+    import random
+
     import pandas as pd
 
+    pause = pause or (lambda n: min(2.0**n + random.random(), 30.0))
+
     def run(batches):
         for b in batches:
             rows = []

@@ -266,3 +266,43 @@ def test_whole_flow(spark):
     assert {r.doc_id: r.status for r in run.summary.collect()} == {"b": "complete", "c": "partial", "x": "failed"}
     assert [(r.doc_id, r.validator) for r in run.failures.collect()] == [("b", "date_range")]
     assert [(r.doc_id, len(r.rows)) for r in run.tables.collect()] == [("b", 2)]
+
+
+def test_no_read_without_a_tenant(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from docloom.operators import admin
+
+    usage = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").withColumnRenamed("c_mktsegment", "tenant_id")
+    for nobody in (None, "", 7):
+        with pytest.raises(ValueError, match="needs the tenant"):
+            admin.for_tenant(usage, nobody)
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        admin.for_tenant(usage, "BUILDING").groupBy("c_nationkey").count().explain("formatted")
+    assert "PushedFilters: [IsNotNull(tenant_id), EqualTo(tenant_id,BUILDING)]" in plan.getvalue() or "EqualTo(c_mktsegment,BUILDING)" in plan.getvalue()
+
+
+def test_suggestions_keep_the_first_of_equals_and_the_last_fifty(spark):
+    from docloom.operators import admin
+
+    rows = [("a", "x" * 50 + str(k), "high", k) for k in range(3)] + [("b", f"text {k:03d}", "low", 10 + k) for k in range(60)] + [("b", "text 001", "high", 99)]
+    got = admin.suggestions(spark.createDataFrame(rows, "category string, description string, priority string, seq int")).collect()
+    assert len(got) == 50 and {r.seq for r in got} == set(range(20, 70))
+
+
+def test_history_closes_the_row_before(spark):
+    from docloom.operators import model_io
+
+    h = spark.createDataFrame([(1, 10, None), (1, 20, None), (2, 5, 6)], "rule_id int, f int, r int").select("rule_id", F.timestamp_seconds("f").alias("fired_at"), F.timestamp_seconds("r").alias("resolved_at"))
+    c = spark.createDataFrame([(1, 15, "resolved"), (1, 17, "resolved"), (1, 30, "firing"), (1, 30, "resolved"), (2, 1, "resolved"), (3, 1, "resolved")], "rule_id int, a int, to_state string").select("rule_id", F.timestamp_seconds("a").alias("at"), "to_state")
+    got = {(r.rule_id, r.f): r.r for r in model_io.history_after(h, c).select("rule_id", F.unix_seconds("fired_at").alias("f"), F.unix_seconds("resolved_at").alias("r")).collect()}
+    assert got == {(1, 10): 15, (1, 20): None, (1, 30): 30, (2, 5): 6}
+
+
+def test_values_meet_like_words_before_equal_ones(spark):
+    words = spark.createDataFrame([(1, k, t) for k, t in enumerate("helo hello there general kenobi general grievous".split())], "doc_id int, seq int, text string")
+    values = spark.createDataFrame([(1, "a", "hello"), (1, "b", "General Kenobi"), (1, "c", "grievous general"), (1, "d", "grievouss"), (2, "e", "hello")], "doc_id int, field string, value string")
+    got = {r.field: (r.how, r.seq) for r in verify.verify_values(values, words).collect()}
+    assert got == {"a": ("word", 0), "b": ("run", 3), "c": ("unverifiable", None), "d": ("word", 6), "e": ("unverifiable", None)}
