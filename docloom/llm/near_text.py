@@ -1,0 +1,177 @@
+"""Links between texts whose word shingles are alike, for near-duplicates that no small Hamming distance reaches.
+
+Two texts are linked at a Jaccard similarity of at least ``SIMILARITY`` of their sets of ``WIDTH``-word shingles. The
+join is exact by prefixes: with the shingles of all texts in one order, two such texts share one of the first
+``n - ceil(0.8 n) + 1`` of each. The order puts shingles of many texts last, so that prefixes hold rare ones: those of
+one half of the hash space are counted over all texts, and the few that more than ``HOT`` texts hold are broadcast (the
+most frequent ``MAX_HOT`` of them; any choice gives the same links). Texts of one prefix shingle are compared pair by
+pair where at most ``HOT`` different ones share it. Larger groups, of texts that consist of common passages, are
+compared with the ``PIVOTS`` members of least doc_id at a time: what is linked to one leaves the group, and so do the
+pivots, until the rest is small enough for pairs. Only there a link can go unseen, between a text that has left and one
+that stays. Texts that are the least of their component are all compared with each other, though: one that left was
+linked to a lesser one. So of the texts that a filter keeps, the least of each component, no two are alike.
+
+Texts without words have no shingles and no links; those of fewer words are one shingle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import LOWER_TABLE, cut_lineage, utf8
+
+WIDTH = 5
+SIMILARITY = 0.8
+HOT = 64
+PIVOTS = 16
+MAX_HOT = 4_000_000
+MAX_WORDS = 400_000
+#: Texts under comparison whose ids are broadcast; more are joined.
+MAX_BROADCAST = 1_000_000
+
+
+class Words(dict):
+    """word -> 64-bit hash, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = Words()
+
+
+def shingles_of(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingle hashes in ascending order; a shingle's hash is made of its words' hashes."""
+    words = text.translate(LOWER_TABLE).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n = min(width, len(words))
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def shingles(text: Column, half: bool = False) -> Column:
+    """The set as array<bigint>; with ``half``, only hashes of the counted half."""
+
+    @F.arrow_udf("array<bigint>")
+    def sets(texts: pa.Array) -> pa.Array:
+        found = [shingles_of(t.as_py()) for t in texts]
+        if half:
+            found = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in found]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return pa.LargeListArray.from_arrays(ends, pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))
+
+    return sets(utf8(text))
+
+
+def hot_shingles(docs: DataFrame, hot: int = HOT, most: int = MAX_HOT) -> np.ndarray:
+    """Shingles of the counted half that more than ``hot`` rows hold, in ascending order; at most the ``most`` commonest."""
+    counts = docs.select(F.explode(shingles(F.col("text"), half=True)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    common = counts.filter(F.col("n") > hot).orderBy(F.desc("n"), "h").limit(most)
+    return np.sort(common.select("h").toArrow()["h"].to_numpy().view(np.uint64))
+
+
+SIGNATURE = "struct<set_key:binary,n:int,keys:array<bigint>>"
+_SIGNATURE = pa.struct([("set_key", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+
+
+def signature(text: Column, hot, similarity: float = SIMILARITY) -> Column:
+    """Struct of the set's name and size and its prefix; ``hot`` is broadcast."""
+
+    @F.arrow_udf(SIGNATURE)
+    def sign(texts: pa.Array) -> pa.Array:
+        common, out = hot.value, []
+        for t in texts:
+            s = shingles_of(t.as_py())
+            n = len(s)
+            counted = np.searchsorted(s, np.uint64(1 << 63))
+            late = np.zeros(n, np.int8)
+            late[counted:] = 1
+            if len(common) and counted:
+                at = np.minimum(np.searchsorted(common, s[:counted]), len(common) - 1)
+                late[:counted][common[at] == s[:counted]] = 2
+            keys = s[np.argsort(late, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else s
+            out.append({"set_key": xxhash.xxh3_128_digest(s.tobytes()), "n": n, "keys": keys.view(np.int64)})
+        return pa.array(out, _SIGNATURE)
+
+    return sign(utf8(text))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v: set keys, and others) that are alike; ``sets``: set_key, n, s."""
+    a, b = sets.select(F.col("set_key").alias("u"), F.col("s").alias("__a")), sets.select(F.col("set_key").alias("v"), F.col("s").alias("__b"))
+    both = F.size(F.array_intersect("__a", "__b"))
+    return pairs.join(a, "u").join(b, "v").filter(both >= similarity * (F.size("__a") + F.size("__b") - both)).drop("__a", "__b")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """set_key, s of the nodes (set_key, doc_id); their texts are picked before they are hashed."""
+    wanted = nodes.select("doc_id", "set_key")
+    small = nodes.count() <= MAX_BROADCAST
+    picked = docs.join(F.broadcast(wanted.select("doc_id").distinct()) if small else wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    @F.arrow_udf("binary")
+    def name(sets: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(np.asarray(s.values).tobytes()) for s in sets], pa.binary())
+
+    named = picked.select(shingles(F.col("text")).alias("s")).withColumn("set_key", name("s"))
+    return named.join(F.broadcast(wanted.select("set_key")) if small else wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+
+
+def links(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
+    """u, v: fingerprints to be linked. ``rows``: doc_id, fp, set_key, n, keys; ``docs`` holds the same rows' texts."""
+    named = rows.filter(F.col("n") > 0)
+    nodes = cut_lineage(named.groupBy("set_key").agg(F.min(F.struct("doc_id", "fp")).alias("m"), F.max("fp").alias("high"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    fp_of = nodes.select("set_key", F.col("m.fp").alias("fp"))
+    # rows of one set may have several fingerprints, if shingles repeat
+    several = nodes.filter(F.col("m.fp") != F.col("high")).select("set_key", F.col("m.fp").alias("u"))
+    equal = named.select("set_key", F.col("fp").alias("v")).join(several, "set_key").filter("u <> v").select("u", "v")
+    filed = nodes.select("set_key", "n", F.col("m.doc_id").alias("id"), F.explode("keys").alias("key"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    filed = cut_lineage(filed.join(shared, "key"))
+    out = [equal]
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(pairs.filter((F.col("nu") >= similarity * F.col("nv")) & (F.col("nv") >= similarity * F.col("nu"))).select("u", "v").distinct())
+        used = pairs.select(F.col("u").alias("set_key")).union(pairs.select(F.col("v").alias("set_key"))).distinct()
+        return cut_lineage(_linked(pairs, _sets_of(docs, nodes.join(used, "set_key", "left_semi").select("set_key", "m.doc_id")), similarity))
+
+    def paired(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
+        a, b = a.select("key", F.col("set_key").alias("u"), F.col("n").alias("nu")), b.select("key", F.col("set_key").alias("v"), F.col("n").alias("nv"))
+        j = a.join(b, "key")
+        return j.filter(F.col("u") < F.col("v")) if once else j.filter(F.col("u") != F.col("v"))
+
+    large = filed.filter(F.col("c") > hot)
+    while not large.isEmpty():
+        order = Window.partitionBy("key").orderBy("id", "set_key")
+        chosen = cut_lineage(large.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= pivots).drop("__k"))
+        near = compare(paired(chosen, large, once=False))
+        out.append(near.select("u", "v"))
+        # what a pivot of the same key is linked to leaves, and so do the pivots
+        gone = near.join(chosen.select("key", F.col("set_key").alias("u")), "u").select("key", F.col("v").alias("set_key"))
+        gone = gone.union(chosen.select("key", "set_key")).distinct()
+        rest = large.join(gone, ["key", "set_key"], "left_anti").drop("c")
+        rest = cut_lineage(rest.join(rest.groupBy("key").agg(F.count("*").alias("c")), "key"))
+        filed = filed.filter(F.col("c") <= hot).unionByName(rest.filter((F.col("c") <= hot) & (F.col("c") > 1)))
+        large = rest.filter(F.col("c") > hot)
+    cold = filed.filter(F.col("c") <= hot)
+    out.append(compare(paired(cold, cold, once=True)).select("u", "v"))
+    found = out[1]
+    for more in out[2:]:
+        found = found.union(more)
+    named_u = found.join(fp_of.select(F.col("set_key").alias("u"), F.col("fp").alias("fu")), "u").join(fp_of.select(F.col("set_key").alias("v"), F.col("fp").alias("fv")), "v")
+    return equal.union(named_u.filter("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")))

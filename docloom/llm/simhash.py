@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import near_text
 from .common import LOWER_TABLE, cut_lineage, utf8
 from .components import components
 
@@ -80,9 +81,10 @@ def near_links(prints: DataFrame, distance: int = 2, max_block: int = MAX_BLOCK)
     return near.union(starred.filter(F.col("fp") != F.col("least")).select(F.col("least").alias("u"), F.col("fp").alias("v")))
 
 
-def fingerprint_components(prints: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """fp -> root (a fingerprint) for the fingerprints that have links; the others are alone."""
-    return components(near_links(prints, max_block=max_block)).withColumnsRenamed({"node": "fp"})
+def fingerprint_components(prints: DataFrame, max_block: int = MAX_BLOCK, more: DataFrame | None = None) -> DataFrame:
+    """fp -> root (a fingerprint) for the fingerprints that have links, near ones or those of ``more`` (u, v); the others are alone."""
+    found = near_links(prints, max_block=max_block)
+    return components(found if more is None else found.union(more)).withColumnsRenamed({"node": "fp"})
 
 
 def near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
@@ -96,20 +98,34 @@ def near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """``docs`` (same columns) with one row per component: its least doc_id (of equal ids, one row).
+def drop_near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK, similarity: float | None = None) -> DataFrame:
+    """``docs`` (same columns) with one row per component: its least doc_id (of equal ids and texts, one row).
 
-    Rows with a null doc_id cannot be named and stay.
+    Texts are linked at two bits of their fingerprints and, where ``similarity`` is given, at that Jaccard similarity of
+    their five-word shingles. Rows with a null doc_id cannot be named and stay. Columns may have any name. Only names of
+    rows that go are joined with the texts: broadcast up to a million of them, counted first.
     """
-    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = cut_lineage(docs.select(F.col("doc_id"), text_key.alias("key"), simhash(F.col("text")).alias("fp")))
-    prints = rows.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    links = fingerprint_components(prints.select("fp"), max_block)
-    kept = prints.join(links, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    kept = kept.select(F.col("least.doc_id").alias("__kept_id"), F.col("least.key").alias("__kept_key"))
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__key", text_key)
-    chosen = named.join(kept, (F.col("doc_id") == F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
-    one = Window.partitionBy("doc_id", "__key").orderBy(F.lit(1))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = chosen.withColumn("__n", F.row_number().over(one)).filter(F.col("__n") == 1)
-    return chosen.select(*columns).union(docs.filter(F.col("doc_id").isNull()).select(*columns))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d"), "doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__key"))
+    known = whole.filter(F.col("doc_id").isNotNull())
+    if similarity is None:
+        rows, more = cut_lineage(known.select("doc_id", "__key", simhash(F.col("text")).alias("fp"))), None
+    else:
+        hot = docs.sparkSession.sparkContext.broadcast(near_text.hot_shingles(known))
+        rows = known.select("doc_id", "__key", simhash(F.col("text")).alias("fp"), near_text.signature(F.col("text"), hot, similarity).alias("s"))
+        rows = cut_lineage(rows.select("doc_id", "__key", "fp", "s.*"))
+        more = near_text.links(rows, known.select("doc_id", "text"), similarity)
+    prints = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "__key")).alias("least"))
+    roots = fingerprint_components(prints.select("fp"), max_block, more)
+    named = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    kept = named.groupBy("root").agg(F.min("least").alias("kept"))
+    kept_of = named.join(kept, "root").select("fp", "kept")
+    names = rows.groupBy("doc_id", "__key", "fp").agg(F.count("*").alias("__n"))
+    names = names.join(kept_of, "fp").withColumn("__goes", F.struct("doc_id", "__key") != F.col("kept"))
+    marked = cut_lineage(names.filter(F.col("__goes") | (F.col("__n") > 1)).select("doc_id", "__key", "__goes"))
+    small = marked.count() <= near_text.MAX_BROADCAST
+    out = whole.join(F.broadcast(marked) if small else marked, ["doc_id", "__key"], "left").filter(~F.coalesce("__goes", F.lit(False)))
+    one = out.filter(F.col("__goes").isNull())
+    repeated = out.filter(F.col("__goes").isNotNull())  # rows that stay and repeat
+    order = Window.partitionBy("doc_id", "__key").orderBy(F.lit(1))
+    first = repeated.withColumn("__k", F.row_number().over(order)).filter("__k = 1")
+    return one.select("__d").union(first.select("__d")).select("__d.*")

@@ -1,12 +1,39 @@
 """The pipeline against a brute-force version of its stages."""
 
+import re
 from collections import defaultdict
 
 import corpus_pipeline
-from docloom.llm import packing, toxicity
+import numpy as np
+import pytest
+from docloom.llm import near_text, packing, simhash, toxicity
+from pyspark.sql import functions as F
 
 from ..conftest import SF
-from .test_llm_operators import brute_components, brute_contamination, brute_fingerprint
+from .test_llm_operators import LOWER, ODD, brute_components, brute_contamination, brute_fingerprint
+
+
+def brute_shingles(text, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    n = min(width, len(w))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+
+
+def alike(a, b, least=0.8):
+    return bool(a) and len(a & b) >= least * len(a | b)
+
+
+def brute_groups(rows):
+    """doc_id -> least doc_id of its group: two bits of the fingerprints, or 0.8 of the five-word shingles."""
+    roots = brute_components({i: brute_fingerprint(t) for i, t in rows.items()})
+    sets = {i: brute_shingles(t) for i, t in rows.items()}
+    ids = sorted(rows)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if roots[i] != roots[j] and 0.8 * len(sets[i]) <= len(sets[j]) <= 1.25 * len(sets[i]) + 1 and alike(sets[i], sets[j]):
+                low, high = sorted((roots[i], roots[j]))
+                roots = {x: low if r == high else r for x, r in roots.items()}
+    return roots
 
 
 def kept_documents(spark):
@@ -15,7 +42,7 @@ def kept_documents(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     model = toxicity.train(toxicity.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")))
     rows = {i: t for i, t in rows.items() if model.score((t or "").encode())[0] < 0.3}
-    roots = brute_components({i: brute_fingerprint(t) for i, t in rows.items()})
+    roots = brute_groups(rows)
     rows = {i: t for i, t in rows.items() if roots[i] == i}
     hits = brute_contamination(rows.values(), items)
     return {i: t for (i, t), (_, n, _) in zip(list(rows.items()), hits) if n == 0}
@@ -47,3 +74,54 @@ def test_filters_keep_columns_and_clashing_names(spark):
     assert sorted((r.doc_id or 0, r.score) for r in kept) == [(0, 5), (1, 1), (3, 3), (5, 6)]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def edited(seed, groups, copies):
+    """Texts in groups of near copies, around passages that many of them share."""
+    r = np.random.default_rng(seed)
+    word = lambda: f"w{int(r.integers(400))}"
+    passage = [word() for _ in range(40)]
+    out = []
+    for g in range(groups):
+        base = [word() for _ in range(60)] + (passage if g % 2 else [])
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(int(r.integers(0, 4))):
+                t[int(r.integers(len(t)))] = word()
+            out.append(" ".join(t))
+    return [*out, *out[:5], *ODD, " ".join(passage), " ".join(passage[:-1])]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows = dict(enumerate(edited(1, 12, 6)))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows.items()], "doc_id bigint, text string, fp string, n int").withColumnRenamed("n", "__key")
+    out = simhash.drop_near_duplicates(df.union(df), similarity=0.8)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute_groups(rows).values()))
+
+
+@pytest.mark.parametrize("hot, pivots", [(3, 1), (5, 2)])
+def test_near_duplicates_of_common_passages(spark, hot, pivots):
+    rows = dict(enumerate(edited(2, 8, 9)))
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    common = spark.sparkContext.broadcast(near_text.hot_shingles(df, hot))
+    signed = df.select("doc_id", simhash.simhash(F.col("text")).alias("fp"), near_text.signature(F.col("text"), common).alias("s")).select("doc_id", "fp", "s.*")
+    links = near_text.links(signed, df, hot=hot, pivots=pivots).collect()
+    sets = {i: brute_shingles(t) for i, t in rows.items()}
+    prints = defaultdict(list)
+    for r in signed.collect():
+        prints[r.fp].append(r.doc_id)
+    assert links and all(any(alike(sets[i], sets[j]) for i in prints[x.u] for j in prints[x.v]) for x in links)
+    root = {i: i for i in rows}
+    for members in [*prints.values(), *([*prints[x.u], *prints[x.v]] for x in links)]:
+        low, gone = min(root[i] for i in members), {root[i] for i in members}
+        root = {i: low if k in gone else k for i, k in root.items()}
+    kept = sorted(set(root.values()))
+    assert not any(alike(sets[i], sets[j]) for k, i in enumerate(kept) for j in kept[k + 1 :])
+
+
+def test_shingle_prefixes_meet(spark):
+    assert near_text.shingles_of(None).tolist() == [] == near_text.shingles_of(b" \n ").tolist()
+    assert len(near_text.shingles_of(b"a b")) == 1 and near_text.shingles_of(b"A b").tolist() == near_text.shingles_of(b"a  B").tolist()
+    long_ = b"the words of a very long text. " * 60_000
+    assert len(near_text.shingles_of(long_)) == 7
