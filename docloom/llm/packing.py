@@ -404,5 +404,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = True, **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset for every piece of every row of ``docs``."""
+    """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset for every piece of every row of ``docs``.
+
+    Null and empty texts are one piece, the end id; null ids are carried through; repeated rows are packed each.
+    """
     return pack(cut_documents(docs, capacity, with_ids), capacity, **options)

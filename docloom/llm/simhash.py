@@ -88,7 +88,11 @@ def fingerprint_components(prints: DataFrame, max_block: int = MAX_BLOCK, more:
 
 
 def near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """doc_id, fp (bigint), fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+    """doc_id, fp (bigint), fingerprint (16 hex digits), component_id: one row per row of ``docs``.
+
+    Repeated rows repeat; columns other than doc_id and text are left out. The component rounds end after
+    log-many steps; ``components`` raises beyond 60, which no table of less than 2**60 links can need.
+    """
     rows = cut_lineage(docs.select("doc_id", simhash(F.col("text")).alias("fp")))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = fingerprint_components(prints.select("fp"), max_block)

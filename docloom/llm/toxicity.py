@@ -167,7 +167,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, m
     parts = [hash_sample(named.filter(F.col("__toxic") == k), "__o", sizes.get(k, 0), per_class) for k in (0, 1)]
     chosen = parts[0].union(parts[1])
     fit = docs.select("doc_id", utf8("text").alias("__text")).filter(F.octet_length("__text") <= max_bytes)
-    rows = fit.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("__o", "doc_id", "__text", "__toxic").collect()
+    # of an id's rows the least text counts, so that every run sees the same sample
+    rows = fit.join(F.broadcast(chosen), "doc_id").groupBy("__o", "doc_id", "__toxic").agg(F.min("__text").alias("__text")).collect()
     return [(bytes(r["__text"]), int(r["__toxic"])) for r in sorted(rows, key=lambda r: (r["__o"], r["doc_id"]))]
 
 
@@ -187,7 +188,12 @@ def toxicity(text: Column, model) -> Column:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sample) -> DataFrame:
-    """doc_id, held_out, score, predicted, sentences: one row per row of ``docs`` (repeated rows repeat; null ids are not held out)."""
+    """doc_id, held_out, score, predicted, sentences: one row per row of ``docs``.
+
+    Null and empty texts score 0. Repeated rows repeat; null ids are not held out; an id's labels count as toxic if any
+    is; columns other than doc_id and text are left out, whatever their names. Without labels of both classes nothing
+    (or, with toxic ones only, every text with words) is toxic.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, **sample)))
     rows = docs.select("doc_id", toxicity(F.col("text"), model).alias("__t"))
     return rows.select(
@@ -200,6 +206,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sample) -> DataFrame:
-    """``docs`` (same columns) without the rows that score at or above the threshold."""
+    """``docs`` (same columns, of any name) without the rows that score at or above the threshold; null texts stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, **sample)))
     return docs.filter(toxicity(F.col("text"), model)["score"] < threshold)

@@ -661,6 +661,75 @@ def test_toxicity_of_long_clean_texts(spark):
         assert score >= 0.3 and any(f["start"] == len(joined) + 1 for f in found)
 
 
+LONG = "The words of a very long text, over and over. " * 25_000 + "MIT License"
+CLASH = "doc_id bigint, text string, score string, labels string, fp int, fingerprint string, piece int, length int, n_words string, __text int, __t int, __key int, __d int, held_out int"
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    texts = [None, "", "released under the MIT License, it says here", LONG, "released under the MIT License, it says here", ITEMS[0][1]]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(2, texts[2]), (3, LONG), (None, texts[2])]
+    return spark.createDataFrame([(i, t, *["x" if " string" in c else 7 for c in CLASH.split(", ")[2:]]) for i, t in rows], CLASH)
+
+
+def same_for_same(rows, columns):
+    """Rows of the same document agree in the columns."""
+    seen = defaultdict(set)
+    for r in rows:
+        seen[r.doc_id].add(tuple(r[c] for c in columns))
+    assert all(len(v) == 1 for v in seen.values())
+    return {i: dict(zip(columns, next(iter(v)))) for i, v in seen.items()}
+
+
+def test_odd_rows_through_every_document_operator(spark, odd_rows):
+    n = odd_rows.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+
+    counted = token_counts.count_tokens(odd_rows).collect()
+    got = same_for_same(counted, ["n_bytes", "n_tokens", "over_limit"])
+    assert len(counted) == n and got[0] == got[1] == {"n_bytes": 0, "n_tokens": 0, "over_limit": False} and got[3]["n_bytes"] == len(LONG)
+
+    scanned = license_scan.scan_licenses(odd_rows).collect()
+    got = same_for_same(scanned, ["n_words", "n_base", "first_word", "last_word", "base_labels", "score"])
+    assert len(scanned) == n and got[0] == got[1] == {"n_words": 0, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "score": 0.0}
+    assert got[2]["n_base"] == 1 and got[3] == {"n_words": 250_002, "n_base": 1, "first_word": 250_000, "last_word": 250_000, "base_labels": "mit", "score": 1.0}
+
+    for limit in (10**6, 0):
+        found = decontamination.contamination_report(odd_rows, items, max_bytes=limit).collect()
+        got = same_for_same(found, ["n_words", "n_hit", "n_items"])
+        assert len(found) == n and got[5] == {"n_words": 11, "n_hit": 11, "n_items": 2} and got[3]["n_words"] == 250_002 and got[0]["n_words"] == 0
+
+    near = simhash.near_duplicates(odd_rows)
+    got = same_for_same(near.collect(), ["fingerprint", "component_id"])
+    assert near.columns == ["doc_id", "fp", "fingerprint", "component_id"] and near.count() == n
+    assert got[0]["component_id"] == got[1]["component_id"] == 0 and got[4]["component_id"] == got[None]["component_id"] == 2
+
+    packed = packing.pack_documents(odd_rows, with_ids=False).collect()
+    pieces = defaultdict(list)
+    for r in packed:
+        pieces[r.doc_id].append(r.length)
+    assert pieces[0] == pieces[1] == [1] and len(pieces[2]) == 2 and len(pieces[3]) % 2 == 0 and len(pieces[3]) > 400
+
+    scored = toxicity.score_toxicity(odd_rows, labels).collect()
+    got = same_for_same(scored, ["score", "predicted"])
+    assert len(scored) == n and got[0] == got[1] == {"score": 0.0, "predicted": 0} and got[3]["predicted"] == 0
+    assert not any(r.held_out for r in scored if r.doc_id is None)
+
+
+def test_odd_rows_through_every_page_operator(spark):
+    long_ = "<article><p>" + LONG + "</p></article>"
+    rows = [(1, None, None), (2, "", ""), (3, "http://x.org/" + "a/" * 200_000, long_), (3, "http://x.org/" + "a/" * 200_000, long_), (None, "http://a.com/fr/", "<p>x"), (5, "http://a.com/fr/", long_)]
+    p = spark.createDataFrame([(*r, "host", 7, "text", b"p") for r in rows], "page_id bigint, url string, html string, host string, rule int, n_chars string, payload binary")
+    judged = url_filter.filter_urls(p).collect()
+    assert len(judged) == 6 and Counter(r.rule for r in judged) == {None: 2, "org/": 2, "com/fr/": 2}
+    assert len([r for r in judged if r.page_id == 3 and len(r.path) == 400_001]) == 2
+    text = html_text.extract_text(p, model=html_text.Labeller()).collect()
+    assert len(text) == 6 and sum(r.text == "" for r in text) >= 2 and all(len(r.text) == r.n_chars for r in text)
+    kept = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(p).collect())
+    assert kept == {(1, "response", None): 1, (2, "response", None): 1, (3, "revisit", 5): 2, (None, "response", None): 1, (5, "response", None): 1}
+
+
 def test_long_texts(spark):
     text = "the words of a very long text. " * 60_000
     d = docs_of(spark, [text])
