@@ -30,8 +30,10 @@ HOT = 64
 PIVOTS = 16
 MAX_HOT = 4_000_000
 MAX_WORDS = 400_000
-#: Texts under comparison whose ids are broadcast; more are joined.
+#: Names of texts under comparison, or shared shingles, that are broadcast; more are joined.
 MAX_BROADCAST = 1_000_000
+#: Shingles of texts under comparison that are broadcast (32 MB).
+MAX_VALUES = 4_000_000
 
 
 class Words(dict):
@@ -111,67 +113,83 @@ def signature(text: Column, hot, similarity: float = SIMILARITY) -> Column:
     return sign(utf8(text))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v: set keys, and others) that are alike; ``sets``: set_key, n, s."""
-    a, b = sets.select(F.col("set_key").alias("u"), F.col("s").alias("__a")), sets.select(F.col("set_key").alias("v"), F.col("s").alias("__b"))
-    both = F.size(F.array_intersect("__a", "__b"))
-    return pairs.join(a, "u").join(b, "v").filter(both >= similarity * (F.size("__a") + F.size("__b") - both)).drop("__a", "__b")
-
-
 def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """set_key, s of the nodes (set_key, doc_id); their texts are picked before they are hashed."""
-    wanted = nodes.select("doc_id", "set_key")
-    small = nodes.count() <= MAX_BROADCAST
-    picked = docs.join(F.broadcast(wanted.select("doc_id").distinct()) if small else wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    """node, s of the nodes (node, set_key, doc_id); their texts are picked before they are hashed."""
+    wanted = cut_lineage(nodes.select("node", "set_key", "doc_id"))
+    small = wanted.count() <= MAX_BROADCAST
+    side = lambda d: F.broadcast(d) if small else d
+    picked = docs.join(side(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+
+    @F.arrow_udf("struct<set_key:binary,s:array<bigint>>")
+    def named(texts: pa.Array) -> pa.Array:
+        found = [shingles_of(t.as_py()) for t in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), lists], ["set_key", "s"])
+
+    made = picked.select(named(utf8("text")).alias("r")).select("r.*").join(side(wanted.select("set_key", "node")), "set_key")
+    return cut_lineage(made.groupBy("node").agg(F.first("s").alias("s")))
 
-    @F.arrow_udf("binary")
-    def name(sets: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(np.asarray(s.values).tobytes()) for s in sets], pa.binary())
 
-    named = picked.select(shingles(F.col("text")).alias("s")).withColumn("set_key", name("s"))
-    return named.join(F.broadcast(wanted.select("set_key")) if small else wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs (u, v: nodes) that are alike. The sets of the fewer side are broadcast up to a bound."""
+    pairs = cut_lineage(pairs)
+    used = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = _sets_of(docs, nodes.join(used, "node", "left_semi").select("node", "set_key", "m.doc_id"))
+    left = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+    values = left.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    a, b = left.select(F.col("node").alias("u"), F.col("s").alias("__a")), sets.select(F.col("node").alias("v"), F.col("s").alias("__b"))
+    both = F.size(F.array_intersect("__a", "__b"))
+    j = pairs.join(b, "v").join(F.broadcast(a) if values <= MAX_VALUES else a, "u")
+    return cut_lineage(j.filter(both >= similarity * (F.size("__a") + F.size("__b") - both)).select("u", "v"))
 
 
 def links(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
-    """u, v: fingerprints to be linked. ``rows``: doc_id, fp, set_key, n, keys; ``docs`` holds the same rows' texts."""
+    """u, v: fingerprints to be linked. ``rows``: doc_id, fp, set_key, n, keys; ``docs`` holds the same rows' texts.
+
+    Candidates must share enough of their prefixes: what two texts have in common lies in both prefixes or behind that
+    of one of them, where at most ceil(0.8 n) - 1 shingles stand.
+    """
     named = rows.filter(F.col("n") > 0)
     nodes = cut_lineage(named.groupBy("set_key").agg(F.min(F.struct("doc_id", "fp")).alias("m"), F.max("fp").alias("high"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    fp_of = nodes.select("set_key", F.col("m.fp").alias("fp"))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # of a checkpointed table: the same whenever it is read
+    fp_of = nodes.select("node", F.col("m.fp").alias("fp"))
     # rows of one set may have several fingerprints, if shingles repeat
     several = nodes.filter(F.col("m.fp") != F.col("high")).select("set_key", F.col("m.fp").alias("u"))
     equal = named.select("set_key", F.col("fp").alias("v")).join(several, "set_key").filter("u <> v").select("u", "v")
-    filed = nodes.select("set_key", "n", F.col("m.doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    filed = cut_lineage(filed.join(shared, "key"))
-    out = [equal]
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs.filter((F.col("nu") >= similarity * F.col("nv")) & (F.col("nv") >= similarity * F.col("nu"))).select("u", "v").distinct())
-        used = pairs.select(F.col("u").alias("set_key")).union(pairs.select(F.col("v").alias("set_key"))).distinct()
-        return cut_lineage(_linked(pairs, _sets_of(docs, nodes.join(used, "set_key", "left_semi").select("set_key", "m.doc_id")), similarity))
+    filed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = cut_lineage(filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    filed = cut_lineage(filed.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "key"))
+    found = equal.limit(0)
+    first = filed
+    like_sized = (F.col("nu") >= similarity * F.col("nv")) & (F.col("nv") >= similarity * F.col("nu"))
 
     def paired(a: DataFrame, b: DataFrame, once: bool) -> DataFrame:
-        a, b = a.select("key", F.col("set_key").alias("u"), F.col("n").alias("nu")), b.select("key", F.col("set_key").alias("v"), F.col("n").alias("nv"))
-        j = a.join(b, "key")
-        return j.filter(F.col("u") < F.col("v")) if once else j.filter(F.col("u") != F.col("v"))
+        a, b = a.select("key", F.col("node").alias("u"), F.col("n").alias("nu")), b.select("key", F.col("node").alias("v"), F.col("n").alias("nv"))
+        return a.join(b, "key").filter(like_sized & (F.col("u") < F.col("v") if once else F.col("u") != F.col("v")))
 
     large = filed.filter(F.col("c") > hot)
     while not large.isEmpty():
-        order = Window.partitionBy("key").orderBy("id", "set_key")
-        chosen = cut_lineage(large.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= pivots).drop("__k"))
-        near = compare(paired(chosen, large, once=False))
-        out.append(near.select("u", "v"))
+        ids = large.join(nodes.select("node", F.col("m.doc_id").alias("id")), "node")
+        chosen = cut_lineage(ids.withColumn("__k", F.row_number().over(Window.partitionBy("key").orderBy("id", "node"))).filter(F.col("__k") <= pivots).drop("__k", "id"))
+        near = _alike(paired(chosen, large, once=False).select("u", "v").distinct(), docs, nodes, similarity)
+        found = found.union(near)
         # what a pivot of the same key is linked to leaves, and so do the pivots
-        gone = near.join(chosen.select("key", F.col("set_key").alias("u")), "u").select("key", F.col("v").alias("set_key"))
-        gone = gone.union(chosen.select("key", "set_key")).distinct()
-        rest = large.join(gone, ["key", "set_key"], "left_anti").drop("c")
-        rest = cut_lineage(rest.join(rest.groupBy("key").agg(F.count("*").alias("c")), "key"))
+        gone = near.join(chosen.select("key", F.col("node").alias("u")), "u").select("key", F.col("v").alias("node"))
+        gone = gone.union(chosen.select("key", "node")).distinct()
+        rest = large.join(gone, ["key", "node"], "left_anti").drop("c")
+        rest = cut_lineage(rest.join(rest.groupBy("key").agg(F.count("*").alias("c")), "key").select("key", "node", "n", "c"))
         filed = filed.filter(F.col("c") <= hot).unionByName(rest.filter((F.col("c") <= hot) & (F.col("c") > 1)))
         large = rest.filter(F.col("c") > hot)
     cold = filed.filter(F.col("c") <= hot)
-    out.append(compare(paired(cold, cold, once=True)).select("u", "v"))
-    found = out[1]
-    for more in out[2:]:
-        found = found.union(more)
-    named_u = found.join(fp_of.select(F.col("set_key").alias("u"), F.col("fp").alias("fu")), "u").join(fp_of.select(F.col("set_key").alias("v"), F.col("fp").alias("fv")), "v")
-    return equal.union(named_u.filter("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")))
+    pairs = paired(cold, cold, once=True).groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("common"))
+    # prefix shingles of large groups may be common too, but were not counted
+    more = first.filter(F.col("c") > hot).groupBy("node").agg(F.count("*").alias("h"))
+    pairs = pairs.join(more.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u", "left").join(more.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v", "left")
+    behind = F.greatest(F.ceil(similarity * F.col("nu") - 1e-9), F.ceil(similarity * F.col("nv") - 1e-9)) - 1
+    most = F.col("common") + F.least(F.coalesce("hu", F.lit(0)), F.coalesce("hv", F.lit(0))) + behind
+    likely = pairs.filter(most >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9).select("u", "v")
+    found = found.union(_alike(likely, docs, nodes, similarity))
+    f = found.join(fp_of.select(F.col("node").alias("u"), F.col("fp").alias("fu")), "u").join(fp_of.select(F.col("node").alias("v"), F.col("fp").alias("fv")), "v")
+    return equal.union(f.filter("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")))
