@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
+from docloom.functions.columns import strip_fences
 
-from . import documents, layout, record, tables, validators
+from docloom.shared import checkpointed
+from docloom.sources import files
+
+from . import discovery, documents, layout, record, tables, validators, verify
 
 
 @dataclass
@@ -70,3 +74,72 @@ def process(lines: DataFrame, page_tables: DataFrame | None = None, as_of: str |
         found = reduce(DataFrame.unionByName, [tables.best_table(kept.filter(F.col("kind") == k), h) for k, h in fixed.TABLE_HEADERS.items()])
     summary = record.confidence_summary(kinds, fields.withColumns({"vlm_used": F.lit(False), "has_data": F.lit(False)}), missing)
     return Extraction(kinds, fields, found, missing, failures, summary)
+
+
+@dataclass
+class Run:
+    """What the whole way leaves, by doc_id; ``asked`` are the prompts that a model got."""
+
+    kinds: DataFrame
+    sections: DataFrame
+    fields: DataFrame
+    tables: DataFrame
+    abstentions: DataFrame
+    failures: DataFrame
+    asked: DataFrame
+    summary: DataFrame
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """doc_id, page, text of lines (doc_id, page, seq, text)."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+
+
+def model_fields(missing: DataFrame, answered: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fields that a model's replies (doc_id, reply) give for missing ones, and the abstentions that remain.
+
+    A value counts once it is found among the document's own words. Without a value the reason is ERR_VLM_003, with one
+    that the document does not hold ERR_VLM_004.
+    """
+    reply = answered.select("doc_id", F.explode(F.from_json(strip_fences(F.col("reply")), discovery.VALUES_REPLY)).alias("field", "a"))
+    given = record.resolve(missing.select("doc_id", "field"), reply.select("doc_id", "field", F.nullif(F.trim("a.value"), F.lit("")).alias("value"), F.col("a.confidence").alias("confidence")))
+    given = checkpointed(given)
+    words = lines.select("doc_id", (F.col("page") * 1_000_000_000 + F.col("seq") * 10_000).cast("bigint").alias("__b"), F.posexplode(F.split("text", r"\s+")).alias("__k", "text"))
+    checked = verify.verify_values(given.filter("resolved").select("doc_id", "field", "value"), words.select("doc_id", (F.col("__b") + F.col("__k")).alias("seq"), "text"))
+    j = given.join(checked.select("doc_id", "field", "verified"), ["doc_id", "field"], "left")
+    how = {h: [f for f, n in fixed.NORMALISERS.items() if n == h] for h in set(fixed.NORMALISERS.values())}
+    value = reduce(lambda c, x: c.when(F.col("field").isin(*x[1]), documents.normalised(F.col("value"), x[0])), how.items(), F).otherwise(F.col("value"))
+    found = j.filter("verified").select("doc_id", "field", value.alias("value"), F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.95)).alias("confidence"), F.lit("vlm").alias("source"), F.lit("model").alias("rule"))
+    open_ = j.filter(~F.coalesce("verified", F.lit(False))).select("doc_id", "field", F.when(F.col("resolved"), "ERR_VLM_004").otherwise("ERR_VLM_003").alias("reason"))
+    return found.filter(F.col("value").isNotNull()), open_
+
+
+def run(blocks: DataFrame, rail_a: DataFrame, rail_b: DataFrame, ask: Callable[[DataFrame], DataFrame], as_of: str | None = None) -> Run:
+    """Blocks and two readings of the tables to records, for all documents at once.
+
+    Blocks are put in reading order and lines, pages get sections, documents a kind, fields come by the patterns of the
+    kind. Tables are those of rail A, rail B's where A found none, stitched; where both have one their cells are compared.
+    Documents with missing fields go to a model: ``ask`` takes prompts (doc_id, prompt, prompt_key) and returns replies
+    (doc_id, reply); values that the document does not hold are refused. Then the checks and the record.
+    """
+    lines, stitched = assemble(blocks, files.with_fallback(rail_a, rail_b))
+    lines = checkpointed(lines.select("doc_id", "page", "seq", "text"))
+    pages = page_texts(lines)
+    first = process(lines, None, as_of)
+    kinds, native, missing = checkpointed(first.kinds), checkpointed(first.fields), checkpointed(first.abstentions)
+    keywords = {"bank_statement": fixed.BANK_KEYWORDS, "custody_statement": fixed.CUSTODY_KEYWORDS, "swift_confirm": fixed.SWIFT_KEYWORDS}
+    sections = documents.sections(documents.page_profiles(pages, keywords), list(keywords))
+    wanted = missing.filter(F.col("field") != "document_kind")
+    asked = discovery.requests(pages.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "fallback")
+    found, refused = model_fields(wanted, ask(asked), lines)
+    fields = checkpointed(native.select("doc_id", "field", "value", "confidence", "source", "rule").unionByName(found))
+    abstained = record.still_open(missing.filter(F.col("field") == "document_kind").unionByName(refused, allowMissingColumns=True), fields)
+    pairs = tables.pair_rails(rail_a, rail_b).withColumn("table_key", F.concat_ws(":", "doc_id", "page", "table_seq"))
+    other = pairs.filter(F.col("b_table_seq").isNotNull()).select("doc_id", "page", F.col("b_table_seq").alias("table_seq"), "table_key").join(rail_b, ["doc_id", "page", "table_seq"])
+    verdicts = tables.triangulate(tables.cells(pairs.filter(F.col("b_table_seq").isNotNull()), "table_key"), tables.cells(other, "table_key"))
+    judged = pairs.select("doc_id", "table_key").join(verdicts, "table_key")
+    failures = validators.all_failures(validators.identifiers(fields), *([validators.dates(fields, as_of)] if as_of else []))
+    marked = fields.withColumns({"vlm_used": F.col("source") == "vlm", "has_data": F.lit(False)})
+    summary = record.confidence_summary(kinds, marked, abstained, judged).join(kinds.select("doc_id", "kind"), "doc_id")
+    return Run(kinds, sections, fields, stitched, abstained, failures, asked, summary)

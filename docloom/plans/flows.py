@@ -155,6 +155,34 @@ def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(run.abstentions.select("doc_id", "field", F.col("reason").alias("value"))).join(run.kinds.select("doc_id", "kind"), "doc_id")
 
 
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way over a statement for every order: blocks out of order, two readings of a table, replayed replies."""
+    text = statements(spark, sf_dir)
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    money = F.concat(F.floor("o_totalprice").cast("string"), F.lit(".5"))
+    late = o.filter((k % 4 == 0) & (k % 7 == 0)).select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(7).alias("seq"), F.concat(F.lit("In all "), money).alias("text"))
+    y = F.col("seq") * 15.0
+    blocks = text.unionByName(late).select("doc_id", "page", (100 - F.col("seq")).alias("seq"), "text", F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(200.0).alias("x1"), (y + 8).alias("y1"))
+    row = lambda v: F.array(F.array(F.lit("2024-01-01"), k.cast("string")), F.array(v, F.lit("end")))
+    table = lambda d, v: d.select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_seq"), F.array(F.lit("Date"), F.lit("Amount")).alias("headers"), row(v).alias("rows"))
+    rail_a, rail_b = table(o.filter(k % 5 != 0), F.lit("x")), table(o, F.when(k % 11 == 0, F.lit("y")).otherwise("X "))
+    sums = o.select(k.alias("doc_id"), money.alias("money"))
+
+    def ask(asked: DataFrame) -> DataFrame:
+        d = F.col("doc_id")
+        value = F.when(d % 14 == 0, F.col("money")).otherwise(F.lit("zzzz-qqqq"))
+        reply = F.when(d % 4 == 0, F.concat(F.lit('{"closing_balance": {"value": "'), value, F.lit('", "confidence": 0.9}}'))).when(d % 3 != 0, F.lit('```json\n{"price": {"value": null, "confidence": 0.1}}\n```'))
+        return asked.join(sums, "doc_id").select("doc_id", reply.alias("reply"))
+
+    done = flow.run(blocks, rail_a, rail_b, ask, "2000-06-30")
+    count = lambda d, name: d.groupBy("doc_id").agg(F.count("*").alias(name))
+    reasons = done.abstentions.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"))
+    out = done.summary.join(count(done.failures, "failures"), "doc_id", "left").join(reasons, "doc_id", "left").join(count(done.asked, "asked"), "doc_id", "left")
+    out = out.join(count(done.sections, "sections"), "doc_id", "left").join(done.tables.select("doc_id", F.size("rows").alias("table_rows")), "doc_id", "left")
+    verdict = F.when(F.col("tables_hard_flagged") > 0, "hard").when(F.col("tables") > 0, "compared")
+    return out.select("doc_id", "kind", "status", "fields_extracted", "fields_abstained", "vlm_used_count", F.coalesce("failures", F.lit(0)).alias("failures"), "reasons", F.coalesce("asked", F.lit(0)).alias("asked"), "sections", "table_rows", verdict.alias("verdict"))
+
+
 def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.floor("l_quantity").cast("bigint").alias("total_tokens"))
     jobs_ = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("tenant_id"), F.col("o_orderstatus").alias("status"))
@@ -162,7 +190,7 @@ def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.job_overview(admin.history_filter(jobs_, statuses=("F", "O")), calls, tenants)
 
 
-QUERIES = {f.__name__: f for f in (extract_documents, process_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
+QUERIES = {f.__name__: f for f in (extract_documents, process_documents, run_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
 
 _REDACTED = f"regexp_replace(t, '{C.pii_pattern()}', '[REDACTED]', 'g')"
 
@@ -189,6 +217,13 @@ UNION ALL SELECT k, 'portfolio_id', 'PORT-' || CAST(k AS VARCHAR), 'custody_stat
 UNION ALL SELECT k, 'trade_date', {_ISO}, 'swift_confirm' FROM s UNION ALL SELECT k, 'isin', 'US0378331005', 'swift_confirm' FROM s UNION ALL SELECT k, 'quantity', CAST(k * 10 AS VARCHAR), 'swift_confirm' FROM s
 UNION ALL SELECT k, 'counterparty_bic', 'DEUTDEFFXXX', 'swift_confirm' FROM s UNION ALL SELECT k, unnest(['settlement_date', 'price']), 'ERR_EXTRACT_001', 'swift_confirm' FROM s
 UNION ALL SELECT o_orderkey, 'document_kind', 'ERR_EXTRACT_002', 'unknown' FROM orders WHERE o_orderkey % 4 = 3""",
+    "run_documents": """WITH o AS (SELECT o_orderkey AS k, date_trunc('day', o_orderdate) AS d, o_orderkey % 4 AS t, o_orderkey % 4 = 0 AND o_orderkey % 7 = 0 AS late, o_orderkey % 14 = 0 AS told FROM orders)
+SELECT k AS doc_id, ['bank_statement', 'custody_statement', 'swift_confirm', 'unknown'][t + 1] AS kind, CASE WHEN t = 3 THEN 'failed' ELSE 'complete' END AS status,
+  CASE WHEN t = 0 THEN CASE WHEN late AND NOT told THEN 3 ELSE 4 END WHEN t = 1 THEN 3 WHEN t = 2 THEN 4 ELSE 0 END AS fields_extracted,
+  CASE WHEN t = 0 THEN CASE WHEN late AND NOT told THEN 1 ELSE 0 END WHEN t = 1 THEN 0 WHEN t = 2 THEN 2 ELSE 1 END AS fields_abstained, CASE WHEN late AND told THEN 1 ELSE 0 END AS vlm_used_count,
+  CASE WHEN t < 3 AND (d > TIMESTAMP '2000-06-30' OR d < TIMESTAMP '1990-06-30') THEN 1 ELSE 0 END + CASE WHEN t = 2 THEN 1 ELSE 0 END AS failures, -- an ISIN of this form is tried as an IBAN too
+  CASE WHEN late AND NOT told THEN 'ERR_VLM_004' WHEN t = 2 THEN 'ERR_VLM_003,ERR_VLM_003' WHEN t = 3 THEN 'ERR_EXTRACT_002' END AS reasons, CASE WHEN late OR t = 2 THEN 1 ELSE 0 END AS asked,
+  1 AS sections, 2 AS table_rows, CASE WHEN k % 5 <> 0 THEN 'compared' END AS verdict FROM o""",
     "job_overview": """WITH u AS (SELECT l_orderkey AS job_id, count(*) AS calls, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS tokens FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS job_id, o_custkey AS tenant_id, o_orderstatus AS status, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, c_name AS tenant FROM orders LEFT JOIN u ON u.job_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('F', 'O')""",
     "extract_documents": f"""WITH {_FOUND}, found AS (SELECT doc_id, field, value FROM best WHERE n = 1),
