@@ -16,6 +16,8 @@ Texts without words have no shingles and no links; those of fewer words are one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +31,7 @@ SIMILARITY = 0.8
 HOT = 64
 PIVOTS = 16
 MAX_HOT = 4_000_000
-MAX_WORDS = 400_000
+MAX_WORDS = 50_000
 #: Names of texts under comparison, or shared shingles, that are broadcast; more are joined.
 MAX_BROADCAST = 1_000_000
 #: Shingles of texts under comparison that are broadcast (32 MB).
@@ -65,30 +67,30 @@ def shingles_of(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
-def shingles(text: Column, half: bool = False) -> Column:
-    """The set as array<bigint>; with ``half``, only hashes of the counted half."""
-
-    @F.arrow_udf("array<bigint>")
-    def sets(texts: pa.Array) -> pa.Array:
-        found = [shingles_of(t.as_py()) for t in texts]
-        if half:
-            found = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in found]
-        ends = np.cumsum([0, *map(len, found)])
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        return pa.LargeListArray.from_arrays(ends, pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))
-
-    return sets(utf8(text))
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrow lists of hashes as signed integers."""
+    ends = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=ends[1:])
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
 def hot_shingles(docs: DataFrame, hot: int = HOT, most: int = MAX_HOT) -> np.ndarray:
     """Shingles of the counted half that more than ``hot`` rows hold, in ascending order; at most the ``most`` commonest."""
-    counts = docs.select(F.explode(shingles(F.col("text"), half=True)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                sets = [shingles_of(t.as_py()) for t in batch.column(0).slice(a, 256)]
+                flat = np.concatenate([s[: np.searchsorted(s, np.uint64(1 << 63))] for s in sets])
+                yield pa.record_batch([pa.array(flat.view(np.int64))], ["h"])
+
+    counts = docs.select(utf8("text").alias("t")).mapInArrow(counted, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
     common = counts.filter(F.col("n") > hot).orderBy(F.desc("n"), "h").limit(most)
     return np.sort(common.select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
 SIGNATURE = "struct<set_key:binary,n:int,keys:array<bigint>>"
-_SIGNATURE = pa.struct([("set_key", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
 def signature(text: Column, hot, similarity: float = SIMILARITY) -> Column:
@@ -96,7 +98,8 @@ def signature(text: Column, hot, similarity: float = SIMILARITY) -> Column:
 
     @F.arrow_udf(SIGNATURE)
     def sign(texts: pa.Array) -> pa.Array:
-        common, out = hot.value, []
+        common = hot.value
+        names, sizes, prefixes = [], [], []
         for t in texts:
             s = shingles_of(t.as_py())
             n = len(s)
@@ -107,8 +110,10 @@ def signature(text: Column, hot, similarity: float = SIMILARITY) -> Column:
                 at = np.minimum(np.searchsorted(common, s[:counted]), len(common) - 1)
                 late[:counted][common[at] == s[:counted]] = 2
             keys = s[np.argsort(late, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else s
-            out.append({"set_key": xxhash.xxh3_128_digest(s.tobytes()), "n": n, "keys": keys.view(np.int64)})
-        return pa.array(out, _SIGNATURE)
+            names.append(xxhash.xxh3_128_digest(s.tobytes()))
+            sizes.append(n)
+            prefixes.append(keys)
+        return pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(prefixes)], ["set_key", "n", "keys"])
 
     return sign(utf8(text))
 
@@ -123,10 +128,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     @F.arrow_udf("struct<set_key:binary,s:array<bigint>>")
     def named(texts: pa.Array) -> pa.Array:
         found = [shingles_of(t.as_py()) for t in texts]
-        ends = np.cumsum([0, *map(len, found)])
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-        return pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), lists], ["set_key", "s"])
+        return pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), _lists(found)], ["set_key", "s"])
 
     made = picked.select(named(utf8("text")).alias("r")).select("r.*").join(side(wanted.select("set_key", "node")), "set_key")
     return cut_lineage(made.groupBy("node").agg(F.first("s").alias("s")))
