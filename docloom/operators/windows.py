@@ -76,8 +76,7 @@ def dedup_transactions(rows: DataFrame, keys: Sequence[str] = ("doc_id",), order
     amount = F.abs(F.coalesce(to_float(F.coalesce(F.col("debit").cast("string"), F.col("credit").cast("string"))), F.lit(0.0)))
     r = rows.withColumn("__amount", amount)
     w = Window.partitionBy(*keys, "date", "description", "__amount").orderBy(*order)
-    kept = r.filter("__amount <> 0").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return kept.unionByName(r.filter("__amount = 0")).drop("__amount")
+    return r.withColumn("__n", F.row_number().over(w)).filter("__n = 1 or __amount = 0").drop("__n", "__amount")
 
 
 def merge_windows(windows: DataFrame) -> DataFrame:
