@@ -138,13 +138,30 @@ def budget_alerts(rules: DataFrame, usage: DataFrame, as_of: str) -> DataFrame:
 
 
 def error_rates(jobs: DataFrame, as_of: str, minutes: int, *keys: str) -> DataFrame:
-    """A7, ST3: failed and all jobs of the trailing window and their rate in percent, 0 where there are none."""
+    """Failed and all jobs of the trailing window, both ends included, and their rate in percent, 0 where there are none."""
     at = F.lit(as_of).cast("timestamp_ntz")
-    inside = jobs.filter((F.col("created_at") > at - F.make_interval(mins=F.lit(minutes))) & (F.col("created_at") <= at))
+    inside = jobs.filter((F.col("created_at") >= at - F.make_interval(mins=F.lit(minutes))) & (F.col("created_at") <= at))
     rate = F.round(F.coalesce(F.try_divide(F.count_if(F.col("status") == "failed") * 100.0, F.count("*")), F.lit(0.0)), 4)
     return inside.groupBy(*keys).agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count("*").alias("total"), rate.alias("error_rate"))
 
 
+def error_rate_alerts(rules: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
+    """ST3: rule_id, failed, total, error_rate, breached for rules (rule_id, tenant_id, threshold_percent, window_minutes).
+
+    A rule without a tenant sees all jobs. Jobs meet the distinct window lengths of their tenant, not the rules, and are
+    summed before rules are joined. Breached is a rate above the threshold.
+    """
+    at = F.lit(as_of).cast("timestamp_ntz")
+    r = rules.withColumn("tenant_id", F.coalesce("tenant_id", F.lit("*")))
+    windows = r.select("tenant_id", "window_minutes").distinct()
+    seen = jobs.filter(F.col("created_at") <= at).select(F.explode(F.array("tenant_id", F.lit("*"))).alias("tenant_id"), "status", "created_at")
+    inside = seen.join(windows, "tenant_id").filter(F.col("created_at") >= at - F.make_interval(mins=F.col("window_minutes")))
+    sums = inside.groupBy("tenant_id", "window_minutes").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count("*").alias("total"))
+    j = r.join(sums, ["tenant_id", "window_minutes"], "left").withColumns({"failed": F.coalesce("failed", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    rate = F.coalesce(F.try_divide(F.col("failed") * 100.0, F.col("total")), F.lit(0.0))
+    return j.select("rule_id", "failed", "total", F.round(rate, 4).alias("error_rate"), (rate > F.col("threshold_percent")).alias("breached"))
+
+
 def batch_status(jobs: DataFrame) -> DataFrame:
     """batch_id, jobs, complete, failed, and whether all jobs have ended."""
     return jobs.groupBy("batch_id").agg(

@@ -141,7 +141,7 @@ m AS (SELECT tenant_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS u F
 x AS (SELECT rule_id, threshold, CAST(coalesce(CASE WHEN weekly THEN (SELECT sum(u) FROM w WHERE r.tenant_id IS NULL OR w.tenant_id = r.tenant_id) ELSE (SELECT sum(u) FROM m WHERE r.tenant_id IS NULL OR m.tenant_id = r.tenant_id) END, 0) AS BIGINT) AS used FROM r)
 SELECT rule_id, used, used >= threshold AS breached FROM x""",
     "error_rate": f"""WITH {JOBS} SELECT tenant_id, schema_type, count(*) FILTER (status = 'failed') AS failed, count(*) AS total, round(count(*) FILTER (status = 'failed') * 100.0 / count(*), 4) AS error_rate
-FROM jobs WHERE created_at > TIMESTAMP '2024-01-17' AND created_at <= TIMESTAMP '2024-01-20' GROUP BY 1, 2""",
+FROM jobs WHERE created_at >= TIMESTAMP '2024-01-17' AND created_at <= TIMESTAMP '2024-01-20' GROUP BY 1, 2""",
     "batch_status": f"WITH {JOBS} SELECT batch_id, count(*) AS jobs, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'failed') AS failed, bool_and(status IN ('complete', 'failed', 'partial')) AS finished FROM jobs GROUP BY 1",
     "feedback_review": f"""WITH {JOBS}, fb AS (SELECT event_id AS job_id, 'f' || CAST(event_id % 7 AS VARCHAR) AS field_name, (event_id % 100) / 100.0 AS confidence, event_id % 5 = 0 AS is_critical, ts FROM events)
 SELECT schema_type, field_name, count(*) AS corrections, round(avg(CAST(confidence AS DOUBLE)), 6) AS mean_confidence, count(*) FILTER (is_critical) AS critical FROM fb JOIN jobs USING (job_id) WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1, 2""",

@@ -102,6 +102,18 @@ def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alert_summary(_evaluations(read(spark, sf_dir, "events")))
 
 
+def alert_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_id"), (F.col("c_custkey") % 4 != 0).alias("enabled"))
+    board = alerts.alert_board(rules, _evaluations(read(spark, sf_dir, "events")))
+    return board.withColumn("last_evaluated_at", F.date_format("last_evaluated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def error_rate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rules = read(spark, sf_dir, "customer").select(k.alias("rule_id"), F.when(k % 4 != 3, F.concat(F.lit("t"), (k % 4).cast("string"))).alias("tenant_id"), (k % 40).cast("double").alias("threshold_percent"), F.element_at(F.array(F.lit(60), F.lit(1440), F.lit(10080)), (k % 3 + 1).cast("int")).alias("window_minutes"))
+    return admin.error_rate_alerts(rules, jobs(spark, sf_dir), "2024-01-20 00:00:00")
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of files; a table that is one file is read from its folder by its name."""
     path = f"{sf_dir}/{name}.parquet"
@@ -190,7 +202,7 @@ def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.job_overview(admin.history_filter(jobs_, statuses=("F", "O")), calls, tenants)
 
 
-QUERIES = {f.__name__: f for f in (extract_documents, process_documents, run_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
+QUERIES = {f.__name__: f for f in (extract_documents, process_documents, run_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_board, error_rate_alerts, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
 
 _REDACTED = f"regexp_replace(t, '{C.pii_pattern()}', '[REDACTED]', 'g')"
 
@@ -254,6 +266,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY schema_key ORDER BY failures DES
     "log_sink": """SELECT event_type AS severity, 'tr' || CAST(user_id AS VARCHAR) AS trace_id, '{"extra":"' || CAST(event_id % 5 AS VARCHAR) || '"}' AS fields, count(*) AS entries FROM events GROUP BY 1, 2, 3""",
     "alert_states": f"""WITH g AS (SELECT user_id AS rule_id, count(*) AS evaluations, list(CASE WHEN value > 60 THEN 't' ELSE 'f' END ORDER BY ts, value > 60) AS xs FROM events GROUP BY 1),
 f AS (SELECT rule_id, evaluations, list_reduce(list_prepend('idle|0', xs), lambda acc, x: {_FOLD}) AS a FROM g) SELECT rule_id, split_part(a, '|', 1) AS state, CAST(split_part(a, '|', 2) AS BIGINT) AS notifications, evaluations FROM f""",
+    "alert_board": f"""WITH g AS (SELECT user_id AS rule_id, max(ts) AS last, list(CASE WHEN value > 60 THEN 't' ELSE 'f' END ORDER BY ts, value > 60) AS xs FROM events GROUP BY 1),
+f AS (SELECT rule_id, last, list_reduce(list_prepend('idle|0', xs), lambda acc, x: {_FOLD}) AS a FROM g)
+SELECT c_custkey AS rule_id, coalesce(split_part(a, '|', 1), 'idle') AS state, coalesce(CAST(split_part(a, '|', 2) AS BIGINT), 0) AS notifications, strftime(last, '%Y-%m-%d %H:%M:%S') AS last_evaluated_at FROM customer LEFT JOIN f ON rule_id = c_custkey AND c_custkey % 4 <> 0""",
+    "error_rate_alerts": f"""WITH {JOBS}, r AS (SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 4 <> 3 THEN 't' || CAST(c_custkey % 4 AS VARCHAR) END AS tenant_id, c_custkey % 40 AS threshold, [60, 1440, 10080][c_custkey % 3 + 1] AS m FROM customer),
+s AS (SELECT rule_id, threshold, count(status) FILTER (status = 'failed') AS failed, count(status) AS total FROM r LEFT JOIN jobs ON (r.tenant_id IS NULL OR r.tenant_id = jobs.tenant_id) AND created_at <= TIMESTAMP '2024-01-20' AND created_at >= TIMESTAMP '2024-01-20' - to_minutes(m) GROUP BY 1, 2)
+SELECT rule_id, failed, total, round(CASE WHEN total > 0 THEN failed * 100.0 / total ELSE 0.0 END, 4)::DOUBLE AS error_rate, CASE WHEN total > 0 THEN failed * 100.0 / total ELSE 0.0 END > threshold AS breached FROM s""",
     "stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS events, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1, 2",
     "stream_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e), g AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2)

@@ -69,6 +69,17 @@ def alert_summary(evaluations: DataFrame) -> DataFrame:
     return g.select("rule_id", F.get(F.array(*map(F.lit, STATES)), F.col("a.state")).alias("state"), F.col("a.sent").alias("notifications"), "evaluations")
 
 
+def alert_board(rules: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """ST1: rule_id, state, notifications, last_evaluated_at of all rules (rule_id, enabled).
+
+    A disabled rule is not evaluated and stays idle; one that no evaluation names is idle too.
+    """
+    seen = evaluations.join(rules.filter("enabled").select("rule_id"), "rule_id", "left_semi")
+    last = seen.groupBy("rule_id").agg(F.max("at").alias("last_evaluated_at"))
+    out = rules.select("rule_id").join(alert_summary(seen).drop("evaluations"), "rule_id", "left").join(last, "rule_id", "left")
+    return out.withColumns({"state": F.coalesce("state", F.lit(STATES[0])), "notifications": F.coalesce("notifications", F.lit(0))})
+
+
 TRANSITION = "rule_id bigint, at timestamp, from_state string, to_state string"
 
 
