@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import columns as C
 
+from .model_io import header_index
+
 TOLERANCE = 0.02
 
 
@@ -66,6 +68,18 @@ def arithmetic_totals(docs: DataFrame, transactions: DataFrame, tolerance: float
     return _failures(j.filter(diff > tolerance), F.col("doc_id"), "arithmetic_totals", F.lit("closing_balance"), "ERR_VAL_001")
 
 
+def table_amounts(tables: DataFrame) -> DataFrame:
+    """doc_id, debit, credit of the rows of tables (doc_id, type, headers, rows) of the type transactions.
+
+    The columns are looked up by their lower-cased headers; a table without both, or a row that is too short, has none.
+    """
+    low = F.transform("headers", F.lower)
+    t = tables.filter(F.col("type") == "transactions").select("doc_id", "rows", header_index(low, ("debit", "debits", "dr")).alias("__d"), header_index(low, ("credit", "credits", "cr")).alias("__c"))
+    r = t.filter(F.col("__d").isNotNull() & F.col("__c").isNotNull()).select("doc_id", "__d", "__c", F.explode("rows").alias("__r"))
+    r = r.filter(F.size("__r") > F.greatest("__d", "__c"))
+    return r.select("doc_id", C.to_float(F.get("__r", F.col("__d"))).alias("debit"), C.to_float(F.get("__r", F.col("__c"))).alias("credit"))
+
+
 def running_balance(transactions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows whose balance is not the last known one before it plus credit less debit."""
     w = Window.partitionBy("acct_id").orderBy("txn_seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -37,6 +37,19 @@ def arithmetic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validators.arithmetic_totals(docs, _txn_docs(spark, sf_dir))
 
 
+def totals_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same check from tables of text, whose headers tell the columns."""
+    a, t = accounts(spark, sf_dir), transactions(spark, sf_dir)
+    k = F.col("acct_id")
+    docs = a.select(k.alias("doc_id"), F.lit("bank_statement").alias("kind"), (F.col("opening") / 100).alias("opening"), (F.col("closing") / 100).alias("closing"))
+    money = lambda c: F.coalesce(F.concat(F.lit("£"), F.format_number(F.col(c) / 100, 2)), F.lit(""))
+    cells = F.array(F.col("date"), money("debit"), money("credit"))
+    rows = t.groupBy("acct_id").agg(F.collect_list(F.when(F.col("txn_id") % 9 == 0, F.slice(cells, 1, 2)).otherwise(cells)).alias("rows"))
+    headers = F.when(k % 3 == 0, F.array(F.lit("Date"), F.lit("Debit"), F.lit("CR"))).when(k % 3 == 1, F.array(F.lit("Date"), F.lit("Debits (GBP)"), F.lit("Credit"))).otherwise(F.array(F.lit("Date"), F.lit("Out"), F.lit("In")))
+    tables_ = rows.select(k.alias("doc_id"), F.when(k % 7 == 0, "fees").otherwise("transactions").alias("type"), headers.alias("headers"), "rows")
+    return validators.arithmetic_totals(docs, validators.table_amounts(tables_))
+
+
 def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = transactions(spark, sf_dir)
     date = F.when((F.col("acct_id") % 4 == 0) & (F.col("txn_id") % 3 == 0), F.lit("1,234.50")).otherwise(F.col("date"))
@@ -205,7 +218,7 @@ def txn_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record.transaction_diff(t, shifted, ["acct_id", "txn_key"])
 
 
-QUERIES = {f.__name__: f for f in (running_balance, reconciliation, completeness, totals_crosscheck, arithmetic_totals, column_types, multi_ccy, identifiers, date_range, provenance, validation_report, sliding_windows, tumbling_windows, token_budget, tier_select, target_pages, dedup_txn, merge_windows, first_non_null, merge_accounts, sample_pages, confidence_summary, package_result, resolve_abstentions, abstention_rate, confidence_bands, doc_diff, txn_diff)}
+QUERIES = {f.__name__: f for f in (running_balance, reconciliation, completeness, totals_crosscheck, arithmetic_totals, totals_from_tables, column_types, multi_ccy, identifiers, date_range, provenance, validation_report, sliding_windows, tumbling_windows, token_budget, tier_select, target_pages, dedup_txn, merge_windows, first_non_null, merge_accounts, sample_pages, confidence_summary, package_result, resolve_abstentions, abstention_rate, confidence_bands, doc_diff, txn_diff)}
 
 _SUMS = "sums AS (SELECT acct_id, count(*) AS n, CAST(sum(coalesce(debit, 0)) AS BIGINT) AS sd, CAST(sum(coalesce(credit, 0)) AS BIGINT) AS sc FROM transactions GROUP BY 1)"
 _RB = """rb AS (SELECT acct_id AS doc_id, 'running_balance' AS validator, CAST(txn_seq AS VARCHAR) AS field, 'ERR_VAL_RUNNING_BALANCE' AS error_code FROM (
@@ -235,6 +248,8 @@ _STATUS = "CASE WHEN n = 0 THEN 'failed' WHEN (n >= 3 AND m <= 2) OR m = 0 THEN
 SQL = {
     "running_balance": f"WITH {TRANSACTIONS}, {_RB} SELECT * FROM rb",
     "reconciliation": f"WITH {ACCOUNTS}, {_SUMS}, {_REC} SELECT * FROM rec",
+    "totals_from_tables": f"""WITH {ACCOUNTS}, s AS (SELECT acct_id, sum(coalesce(credit, 0) - coalesce(debit, 0)) AS net FROM transactions WHERE txn_id % 9 <> 0 AND acct_id % 3 < 2 AND acct_id % 7 <> 0 GROUP BY 1)
+SELECT acct_id AS doc_id, 'arithmetic_totals' AS validator, 'closing_balance' AS field, 'ERR_VAL_001' AS error_code FROM accounts LEFT JOIN s USING (acct_id) WHERE closing IS NOT NULL AND abs(closing - opening - coalesce(net, 0)) > 2""",
     "completeness": f"WITH {ACCOUNTS}, {_COM.replace('FROM transactions', 'FROM transactions WHERE debit IS NOT NULL OR txn_id % 5 = 0')} SELECT * FROM com",
     "totals_crosscheck": f"WITH {ACCOUNTS}, {_SUMS}, {_TOT} SELECT * FROM tot",
     "arithmetic_totals": f"WITH {ACCOUNTS}, {_SUMS} SELECT acct_id AS doc_id, 'arithmetic_totals' AS validator, 'closing_balance' AS field, 'ERR_VAL_001' AS error_code FROM accounts LEFT JOIN sums USING (acct_id) WHERE acct_id % 6 <> 0 AND abs(closing - opening - coalesce(sc, 0) + coalesce(sd, 0)) > 0.02",
