@@ -90,6 +90,18 @@ def discovered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.extracted_values(defined, answered)
 
 
+def refine_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas of low success are put to a model with their worst fields and a sample, and take what it names."""
+    e = read(spark, sf_dir, "events").select("event_id", "ts", _text("user_id", "k").alias("schema_key"), (F.col("event_id") % 10).alias("extracted"), _text("event_id", "f").alias("one"))
+    performance = admin.schema_performance(e.select(F.col("event_id").alias("id"), "ts", "schema_key", "extracted", F.lit(10).cast("bigint").alias("total")))
+    schemas = e.groupBy("schema_key").agg(F.array(F.lit("total"), F.lit("date")).alias("fields"))
+    failed = e.filter("extracted < 5").select("schema_key", F.concat(F.lit("f"), (F.col("event_id") % 4).cast("string")).alias("field_name"), F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" of a@b.com")).alias("sample"), "ts", F.col("event_id").alias("id"))
+    asked = discovery.refinement_requests(performance, schemas, discovery.common_failures(failed), discovery.failure_samples(failed))
+    reply = F.when(F.length("prompt") % 3 != 0, F.lit('{"fields": [{"field_name": "sum"}, {"field_name": " "}]}')).otherwise(F.lit("no answer"))
+    known = discovery.refined(schemas, asked.select("schema_key", reply.alias("reply")))
+    return known.join(asked.select("schema_key", F.md5("prompt").alias("prompt_md5")), "schema_key", "left").select("schema_key", F.array_join("fields", ",").alias("fields"), "refined", "prompt_md5")
+
+
 def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     raw = i.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: F.array(x["part"].cast("string"), F.when(x["part"] % 2 == 0, x["seq"].cast("string")))).alias("rows"))
@@ -188,7 +200,7 @@ def relevant_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tenant_usage, api_keys, alert_rules, protection, suggestions, stale_abstentions, normal_transactions, schema_cache, retry_results, discovered_values, table_headers, table_fallback,
+        tenant_usage, api_keys, alert_rules, protection, suggestions, stale_abstentions, normal_transactions, schema_cache, retry_results, discovered_values, refine_schemas, table_headers, table_fallback,
         paired_tables, recognised_once, upserted, account_balances, section_lines, csv_export, html_export, acknowledged_alerts, stream_progress, stream_batches, relevant_pages,
     )
 }
@@ -220,6 +232,15 @@ SELECT tenant_id, fingerprint, n0 + coalesce(n, 0) AS use_count, CASE WHEN n IS
 SELECT doc_id, 'f' || CAST(seq AS VARCHAR) AS field, CASE WHEN better THEN CASE WHEN part % 5 < 3 THEN 'again' END ELSE CASE WHEN part % 2 = 0 THEN 'first' END END AS value FROM items JOIN g USING (doc_id)""",
     "discovered_values": """SELECT o_orderkey AS doc_id, f AS field, f = 'total' AS required, CASE WHEN o_orderkey % 7 = 0 OR f = 'other' THEN NULL WHEN f = 'total' THEN o_orderpriority WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS value,
   CASE WHEN o_orderkey % 7 = 0 OR f = 'other' THEN 0.0 WHEN f = 'total' THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence FROM orders, (SELECT unnest(['total', 'status', 'other']) AS f)""",
+    "refine_schemas": """WITH e AS (SELECT event_id AS id, ts, 'k' || CAST(user_id AS VARCHAR) AS schema_key, event_id % 10 AS x FROM events),
+w AS (SELECT *, count(*) OVER v AS n, sum(CAST(x >= 5 AS INTEGER)) OVER v AS s FROM e WINDOW v AS (PARTITION BY schema_key ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT schema_key, count(*) AS uses, round(sum(CAST(x >= 5 AS INTEGER)) / count(*), 6) AS rate, bool_or(n >= 10 AND s / n >= 0.95) AS stable FROM w GROUP BY 1),
+c AS (SELECT schema_key, 'f' || CAST(id % 4 AS VARCHAR) AS f, count(*) AS n FROM e WHERE x < 5 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY schema_key ORDER BY n DESC, f) AS k FROM c),
+g AS (SELECT schema_key, string_agg(f || ' (' || CAST(n AS VARCHAR) || ' failures)', ', ' ORDER BY k) AS worst FROM r WHERE k <= 5 GROUP BY 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY schema_key ORDER BY ts DESC, id DESC) AS k FROM e WHERE x < 5), o AS (SELECT schema_key, arg_min(id, k * -1) AS id FROM l WHERE k <= 3 GROUP BY 1),
+q AS (SELECT p.schema_key, '[refine]' || chr(10) || 'Fields: total, date' || chr(10) || 'Found in ' || CAST(CAST(floor(rate * 100) AS BIGINT) AS VARCHAR) || ' % of ' || CAST(uses AS VARCHAR) || ' uses' || chr(10) || 'Often missing: ' || coalesce(worst, '') || chr(10) || 'Example:' || chr(10) || coalesce('event ' || CAST(o.id AS VARCHAR) || ' of [REDACTED]', '') AS prompt
+  FROM p LEFT JOIN g USING (schema_key) LEFT JOIN o USING (schema_key) WHERE uses >= 5 AND rate < 0.70 AND NOT stable)
+SELECT p.schema_key, CASE WHEN length(prompt) % 3 <> 0 THEN 'sum' ELSE 'total,date' END AS fields, coalesce(length(prompt) % 3 <> 0, false) AS refined, md5(prompt) AS prompt_md5 FROM p LEFT JOIN q USING (schema_key)""",
     "table_headers": f"""WITH {ITEMS}, r AS (SELECT doc_id, seq, CAST(part AS VARCHAR) || '|' || CASE WHEN part % 2 = 0 THEN CAST(seq AS VARCHAR) ELSE '' END AS line FROM items)
 SELECT doc_id, max(line) FILTER (seq = 1) AS headers, coalesce(string_agg(line, ';' ORDER BY seq) FILTER (seq > 1), '') AS rows FROM r GROUP BY 1""",
     "table_fallback": f"""WITH {ITEMS}, h AS (SELECT doc_id FROM items WHERE part % 4 = 0 GROUP BY 1)
