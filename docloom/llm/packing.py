@@ -29,7 +29,7 @@ from .common import cut_lineage
 CAPACITY = 1024
 END_ID = 2
 GROUP_SIZE = 20_000
-MAX_UNITS = 400_000
+MAX_UNITS = 100_000
 
 
 class Encoder:

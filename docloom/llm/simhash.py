@@ -39,7 +39,7 @@ def fingerprint_of(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED)
     joined = b" ".join(words)
     ends = list(accumulate([len(w) + 1 for w in words]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[n - 1 :])], dtype="<u8")
+    hashes = np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[n - 1 :])), "<u8", len(words) - n + 1)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

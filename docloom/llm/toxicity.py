@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ CHANCE = 4.0
 #: The log-complement, negated, of a sentence at the threshold.
 WEAK = -np.log1p(-THRESHOLD)
 PREFIXES = (4, 6)
+#: Words whose weight a worker keeps.
+MAX_WORDS = 100_000
 _SENTENCE = re.compile(rb"[^.!?\n]+")
 
 
@@ -43,17 +46,20 @@ def features(word: bytes) -> list[int]:
     return [zlib.crc32(word) % DIM] + [zlib.crc32(b"%d:" % n + word[:n]) % DIM for n in PREFIXES if len(word) >= n]
 
 
-def sentences_of(text: bytes | None) -> list[tuple[int, int, set[bytes]]]:
+def each_sentence(text: bytes | None) -> Iterator[tuple[int, int, set[bytes]]]:
     """(start byte, end byte, distinct words) of each sentence that has words; one that repeats counts where it stands first."""
-    out, seen = [], set()
+    seen = set()
     for m in _SENTENCE.finditer(text or b""):
         sentence = m.group()
         if sentence not in seen:
             seen.add(sentence)
             words = set(sentence.translate(WORD_TABLE).split())
             if words:
-                out.append((m.start(), m.end(), words))
-    return out
+                yield m.start(), m.end(), words
+
+
+def sentences_of(text: bytes | None) -> list[tuple[int, int, set[bytes]]]:
+    return list(each_sentence(text))
 
 
 class Model:
@@ -69,21 +75,22 @@ class Model:
         x = self.words.get(w)
         if x is None:
             x = float(sum(self.weights[k] for k in features(w)))
-            if len(self.words) >= 400_000:
+            if len(self.words) >= MAX_WORDS:
                 self.words.clear()
             self.words[w] = x
         return x
 
-    def logits(self, sentences: list) -> np.ndarray:
-        word = self.word
-        return np.array([self.bias + sum(map(word, words)) for _, _, words in sentences], np.float64)
-
     def score(self, text: bytes | None, locate: bool = True) -> tuple[float, list[dict]]:
-        sentences = sentences_of(text)
-        if not sentences:
+        """The document's score and, with ``locate``, its offending sentences; a long text's words are not held at once."""
+        word, bias = self.word, self.bias
+        places, z = [], []
+        for start, end, words in each_sentence(text):
+            z.append(bias + sum(map(word, words)))
+            places.append((start, end))
+        if not z:
             return 0.0, []
-        z = self.logits(sentences)
-        found = [{"start": sentences[k][0], "end": sentences[k][1], "score": float(1 / (1 + np.exp(-z[k])))} for k in np.flatnonzero(z >= 0)] if locate else []
+        z = np.array(z)
+        found = [{"start": places[k][0], "end": places[k][1], "score": float(1 / (1 + np.exp(-z[k])))} for k in np.flatnonzero(z >= 0)] if locate else []
         mass = np.logaddexp(0, z)
         weak = mass[mass < WEAK]
         beyond = weak.sum() - len(weak) * self.mean - CHANCE * self.spread * len(weak) ** 0.5
@@ -208,4 +215,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sample) -> DataFrame:
     """``docs`` (same columns, of any name) without the rows that score at or above the threshold; null texts stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels, **sample)))
-    return docs.filter(toxicity(F.col("text"), model)["score"] < threshold)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.value.score(t.as_py(), locate=False)[0] for t in texts], pa.float64())
+
+    return docs.filter(score(utf8("text")) < threshold)
