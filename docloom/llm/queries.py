@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, license_scan, packing, simhash, token_counts, topk, toxicity, url_filter, warc
+from . import decontamination, html_text, imatch, license_scan, packing, simhash, token_counts, topk, toxicity, url_filter, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("n_offending", F.size("sentences").cast("bigint")).drop("sentences")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +75,7 @@ QUERIES = {
         op8_html_text,
         op9_warc,
         op10_toxicity,
+        op11_fingerprints,
     )
 }
 
@@ -139,11 +144,38 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-SQL = {"op3_decontamination": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_top_k": OP7_SQL, "op9_warc": OP9_SQL}
+_TERMS = r"list_transform(list_distinct(list_filter(regexp_split_to_array(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')), lambda w: CAST('0x' || left(md5(w), 15) AS BIGINT))"
+_LIKE = """CASE WHEN {0} = {1} THEN 1.0 WHEN {0}[1] = '=' OR {1}[1] = '=' THEN 0.0 WHEN abs({0}_s - {1}_s) > 2 THEN 0.0
+  WHEN len(list_distinct(list_transform({0}_p[1 + greatest({1}_s - {0}_s, 0)] || {1}_p[1 + greatest({0}_s - {1}_s, 0)], lambda x: x[1:2]))) = 0 THEN 0.0
+  ELSE len(list_intersect({0}_p[1 + greatest({1}_s - {0}_s, 0)], {1}_p[1 + greatest({0}_s - {1}_s, 0)])) / CAST(len(list_distinct(list_transform({0}_p[1 + greatest({1}_s - {0}_s, 0)] || {1}_p[1 + greatest({0}_s - {1}_s, 0)], lambda x: x[1:2]))) AS DOUBLE) END"""
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, text, length(text) AS n, row_number() OVER w AS r, count(*) OVER () AS total, lead(text) OVER w AS led, first_value(text) OVER w AS first FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, text)),
+e AS (SELECT doc_id, r, total, n, text, left(text, n - n // 2) || left(CASE WHEN r = total THEN first ELSE led END, n // 2) AS edited FROM s),
+v AS (SELECT r, 'a' AS v, text AS x, {_TERMS.format("text")} AS ts FROM e UNION ALL SELECT r, 'b', edited, {_TERMS.format("edited")} FROM e),
+z AS (SELECT r, v, x, ts, len(list_filter(range(0, 40), lambda k: (64 << k) <= len(ts))) AS step FROM v),
+h AS (SELECT r, v, step, unnest(ts) AS t FROM z),
+lex AS (SELECT t FROM h WHERE v = 'a' GROUP BY t HAVING count(*) >= 2 AND count(*) <= greatest(2, floor((SELECT count(*) FROM d) * CAST(0.1 AS DOUBLE)))),
+parts AS (SELECT r, v, k, printf('%02x', t % 64) AS part, left(md5(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t)), 4) AS hash
+  FROM h SEMI JOIN lex USING (t), range(0, 3) k(k) WHERE (t >> 6) % (1 << CAST(step + k AS INTEGER)) = 0 GROUP BY r, v, k, t % 64),
+segs AS (SELECT r, v, k, list(part || hash ORDER BY part) AS p FROM parts GROUP BY r, v, k),
+fp AS (SELECT z.r, z.v, z.step AS s, [coalesce(s0.p, []), coalesce(s1.p, []), coalesce(s2.p, [])] AS p,
+    CASE WHEN s0.p IS NULL THEN '=' || md5(x) ELSE CAST(z.step AS VARCHAR) || ';' || array_to_string(s0.p, ',') || ';' || array_to_string(coalesce(s1.p, []), ',') || ';' || array_to_string(coalesce(s2.p, []), ',') END AS f
+  FROM z LEFT JOIN segs s0 ON s0.r = z.r AND s0.v = z.v AND s0.k = 0 LEFT JOIN segs s1 ON s1.r = z.r AND s1.v = z.v AND s1.k = 1 LEFT JOIN segs s2 ON s2.r = z.r AND s2.v = z.v AND s2.k = 2),
+j AS (SELECT e.doc_id, e.n, e.edited, a.f AS a, a.s AS a_s, a.p AS a_p, b.f AS b, b.s AS b_s, b.p AS b_p, c.f AS c, c.s AS c_s, c.p AS c_p
+  FROM e JOIN fp a ON a.r = e.r AND a.v = 'a' JOIN fp b ON b.r = e.r AND b.v = 'b' JOIN fp c ON c.r = e.r % e.total + 1 AND c.v = 'a')
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+  CAST({_LIKE.format("a", "b")} AS DOUBLE) AS near_edited,
+  CAST({_LIKE.format("a", "c")} AS DOUBLE) AS near_next
+FROM j
+"""
+
+SQL = {"op11_fingerprints": OP11_SQL, "op3_decontamination": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_top_k": OP7_SQL, "op9_warc": OP9_SQL}
 
 
 def queries() -> dict:
-    """The ten queries and the pipeline."""
+    """All queries of the corpus operators and the pipeline."""
     return {**QUERIES, "pipeline": pipeline}
 
 
