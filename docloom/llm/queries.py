@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, imatch, license_scan, packing, simhash, token_counts, topk, toxicity, url_filter, warc
+from . import decontamination, html_text, imatch, license_scan, packing, prefix_trie, simhash, token_alignment, token_counts, topk, toxicity, url_filter, warc
 from .common import table
 
 
@@ -56,6 +56,14 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +84,8 @@ QUERIES = {
         op9_warc,
         op10_toxicity,
         op11_fingerprints,
+        op12_prefix_trie,
+        op13_token_alignment,
     )
 }
 
@@ -171,7 +181,29 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint,
 FROM j
 """
 
-SQL = {"op11_fingerprints": OP11_SQL, "op3_decontamination": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_top_k": OP7_SQL, "op9_warc": OP9_SQL}
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+  lambda acc, x: list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+
+OP12_SQL = f"""
+WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS k FROM s),
+c AS (SELECT conv_id, max(k) AS own, {_CRC32} % 6 AS h, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+l AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT l.conv_id, t.k AS place, role, text FROM l JOIN t ON t.conv_id = l.base WHERE t.k <= l.h
+  UNION ALL SELECT l.conv_id, t.k - l.h + l.taken, role, text FROM l JOIN t ON t.conv_id = l.conv_id WHERE t.k > l.h),
+p AS (SELECT conv_id, place AS depth, length(text) AS chars, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY place) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, [] FROM l),
+m AS (SELECT conv_id, depth, chars, min(conv_id) OVER (PARTITION BY depth, path) AS node, max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (SELECT node, depth, count(*) AS n_convs, max(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = depth) AS ends FROM m GROUP BY 1, 2),
+u AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.depth = n.depth - 1),
+k AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.parent = u.node AND k.depth = u.depth),
+sub AS (SELECT m.node, m.depth, sum(CAST(w.n_children = 0 AS BIGINT)) AS n_leaves, sum((w.n_convs - 1) * w.chars) AS saved FROM w JOIN m ON m.conv_id = w.node AND m.depth <= w.depth GROUP BY 1, 2)
+SELECT w.node AS conv_id, w.depth AS depth, w.parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM w JOIN sub ON sub.node = w.node AND sub.depth = w.depth
+"""
+
+SQL = {"op12_prefix_trie": OP12_SQL, "op11_fingerprints": OP11_SQL, "op3_decontamination": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_top_k": OP7_SQL, "op9_warc": OP9_SQL}
 
 
 def queries() -> dict:
