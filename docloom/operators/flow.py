@@ -9,13 +9,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import columns as C
 from docloom.functions import fixed
-from docloom.functions.columns import strip_fences
-
 from docloom.shared import checkpointed
 from docloom.sources import files
+from docloom.sources.keyed import KeyedTable
 
-from . import discovery, documents, layout, record, tables, validators, verify
+from . import discovery, documents, fallback, layout, model_io, record, tables, validators
 
 
 @dataclass
@@ -53,13 +53,17 @@ def concatenate(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def process(lines: DataFrame, page_tables: DataFrame | None = None, as_of: str | None = None) -> Extraction:
+def process(lines: DataFrame, page_tables: DataFrame | None = None, as_of: str | None = None, hints: DataFrame | None = None) -> Extraction:
     """Everything about documents from their lines (doc_id, page, seq, text) and tables, for all documents at once.
 
-    A field whose normaliser cannot read its text is an abstention, never a failed run.
+    A field whose normaliser cannot read its text is an abstention, never a failed run. ``hints`` (doc_id, kind) spare the
+    documents whose kind they know the detection.
     """
-    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "seq", "text"))), lambda x: x["text"]), " ").alias("text"))
+    unsure = lines if hints is None else lines.join(hints.filter("kind = 'unknown'").select("doc_id"), "doc_id", "left_semi")
+    texts = unsure.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "seq", "text"))), lambda x: x["text"]), " ").alias("text"))
     kinds = documents.detect_kind(texts)
+    if hints is not None:
+        kinds = kinds.unionByName(hints.filter("kind <> 'unknown'").select("doc_id", "kind"), allowMissingColumns=True)
     fields = route_fields(lines, kinds)
     sought = F.create_map(*[x for k, f in fixed.PATTERNS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in f]))])
     wanted = kinds.select("doc_id", F.explode(F.coalesce(F.try_element_at(sought, F.col("kind")), F.array(F.lit("document_kind")))).alias("field"))
@@ -78,7 +82,7 @@ def process(lines: DataFrame, page_tables: DataFrame | None = None, as_of: str |
 
 @dataclass
 class Run:
-    """What the whole way leaves, by doc_id; ``asked`` are the prompts that a model got."""
+    """What the whole way leaves, by doc_id; ``calls`` are the model's calls with their tokens, ``sections`` the parts with their final kinds."""
 
     kinds: DataFrame
     sections: DataFrame
@@ -86,60 +90,152 @@ class Run:
     tables: DataFrame
     abstentions: DataFrame
     failures: DataFrame
-    asked: DataFrame
+    calls: DataFrame
     summary: DataFrame
 
 
+# The fields that a document of unknown kind is asked for.
+GENERIC_FIELDS = ("institution", "client_name", "account_number", "statement_date", "opening_balance", "closing_balance")
+KEYWORDS = {"bank_statement": fixed.BANK_KEYWORDS, "custody_statement": fixed.CUSTODY_KEYWORDS, "swift_confirm": fixed.SWIFT_KEYWORDS}
+FIELDS = ("doc_id", "field", "value", "confidence", "source", "rule", "page", "bbox")
+
+
 def page_texts(lines: DataFrame) -> DataFrame:
     """doc_id, page, text of lines (doc_id, page, seq, text)."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
 
 
-def model_fields(missing: DataFrame, answered: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fields that a model's replies (doc_id, reply) give for missing ones, and the abstentions that remain.
+def by_section(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """Lines (doc_id, page, seq, text) with the section of their page as part of the key: doc_id is {doc_id, section}, pages are numbered from the section's first."""
+    at = model_io.section_pages(sections.select("doc_id", "section", "start_page", "end_page"), lines.select("doc_id", "page").distinct())
+    return lines.join(at, ["doc_id", "page"]).select(F.struct("doc_id", "section").alias("doc_id"), (F.col("page") - F.col("start_page") + 1).alias("page"), "seq", "text")
+
+
+def _of_documents(by_unit: DataFrame) -> DataFrame:
+    """doc_id and section as columns of their own again."""
+    return by_unit.withColumns({"section": F.col("doc_id.section"), "doc_id": F.col("doc_id.doc_id")})
+
 
-    A value counts once it is found among the document's own words. Without a value the reason is ERR_VLM_003, with one
-    that the document does not hold ERR_VLM_004.
+def joined_sections(fields: DataFrame, abstained: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sections' fields, abstentions and kinds (each with section) as those of their documents.
+
+    A field is that of the first section with a value; an abstention stays if no section has a value; the kind is the
+    first known one.
+    """
+    rest = [c for c in fields.columns if c not in ("doc_id", "section", "field")]
+    first = fields.filter(F.col("value").isNotNull()).groupBy("doc_id", "field").agg(F.min_by(F.struct(*rest), "section").alias("b")).select("doc_id", "field", "b.*")
+    one = abstained.groupBy("doc_id", "field").agg(F.min_by("reason", "section").alias("reason"))
+    kind = kinds.groupBy("doc_id").agg(F.coalesce(F.min_by("kind", F.when(F.col("kind") != "unknown", F.col("section"))), F.lit("unknown")).alias("kind"))
+    return first, record.still_open(one, first), kind
+
+
+def checked(kinds: DataFrame, fields: DataFrame, found_tables: DataFrame, pages: DataFrame, as_of: str | None = None) -> DataFrame:
+    """All twelve checks over documents' fields (with page and bbox) and tables.
+
+    A bank statement with an account number is an account: its balances and totals are its fields, its transactions the
+    rows of its tables with debit and credit columns.
+    """
+    number = lambda f: F.max(F.when(F.col("field") == f, C.to_float(F.col("value"))))
+    wide = fields.join(kinds.filter("kind = 'bank_statement'"), "doc_id").groupBy("doc_id", "kind").agg(
+        number("opening_balance").alias("opening"), number("closing_balance").alias("closing"), number("total_debits").alias("total_debits"), number("total_credits").alias("total_credits"),
+        F.max(F.when(F.col("field") == "account_number", F.col("value"))).alias("account_number"),
+    )
+    wide = checkpointed(wide)
+    txns = checkpointed(validators.table_transactions(found_tables))
+    accounts = wide.filter(F.col("account_number").isNotNull()).withColumnRenamed("doc_id", "acct_id")
+    of_accounts = txns.withColumnRenamed("doc_id", "acct_id").join(accounts.select("acct_id"), "acct_id", "left_semi")
+    totals = pages.groupBy("doc_id").agg(F.max("page").alias("total_pages"))
+    parts = [
+        validators.arithmetic_totals(wide, txns), validators.identifiers(fields), validators.provenance(fields.join(totals, "doc_id", "left")),
+        validators.running_balance(of_accounts), validators.reconciliation(accounts, of_accounts), validators.column_types(of_accounts), validators.completeness(accounts, of_accounts), validators.totals_crosscheck(accounts, of_accounts),
+    ]
+    return validators.all_failures(*parts, *([validators.dates(fields, as_of)] if as_of else []))
+
+
+def retried(pages: DataFrame, kinds: DataFrame, fields: DataFrame, abstained: DataFrame, ask: Callable[[DataFrame], DataFrame], tenants: DataFrame, cache: KeyedTable, as_of: str, **budget) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents with more abstentions than fields get one more round: fields, abstentions, kinds, calls after it.
+
+    A diagnosis is asked for; where it recommends auto_discovery, the whole document goes the way of unknown ones, and
+    its outcome replaces the first only if it has more fields. There is no third round.
     """
-    reply = answered.select("doc_id", F.explode(F.from_json(strip_fences(F.col("reply")), discovery.VALUES_REPLY)).alias("field", "a"))
-    given = record.resolve(missing.select("doc_id", "field"), reply.select("doc_id", "field", F.nullif(F.trim("a.value"), F.lit("")).alias("value"), F.col("a.confidence").alias("confidence")))
-    given = checkpointed(given)
-    words = lines.select("doc_id", (F.col("page") * 1_000_000_000 + F.col("seq") * 10_000).cast("bigint").alias("__b"), F.posexplode(F.split("text", r"\s+")).alias("__k", "text"))
-    checked = verify.verify_values(given.filter("resolved").select("doc_id", "field", "value"), words.select("doc_id", (F.col("__b") + F.col("__k")).alias("seq"), "text"))
-    j = given.join(checked.select("doc_id", "field", "verified"), ["doc_id", "field"], "left")
-    how = {h: [f for f, n in fixed.NORMALISERS.items() if n == h] for h in set(fixed.NORMALISERS.values())}
-    value = reduce(lambda c, x: c.when(F.col("field").isin(*x[1]), documents.normalised(F.col("value"), x[0])), how.items(), F).otherwise(F.col("value"))
-    found = j.filter("verified").select("doc_id", "field", value.alias("value"), F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.95)).alias("confidence"), F.lit("vlm").alias("source"), F.lit("model").alias("rule"))
-    open_ = j.filter(~F.coalesce("verified", F.lit(False))).select("doc_id", "field", F.when(F.col("resolved"), "ERR_VLM_004").otherwise("ERR_VLM_003").alias("reason"))
-    return found.filter(F.col("value").isNotNull()), open_
-
-
-def run(blocks: DataFrame, rail_a: DataFrame, rail_b: DataFrame, ask: Callable[[DataFrame], DataFrame], as_of: str | None = None) -> Run:
+    count = lambda d, n: d.groupBy("doc_id").agg(F.count("*").alias(n))
+    both = kinds.select("doc_id").join(count(fields, "fields_extracted"), "doc_id", "left").join(count(abstained.filter(F.col("field").isNotNull()), "fields_abstained"), "doc_id", "left").na.fill(0, ["fields_extracted", "fields_abstained"])
+    again = checkpointed(record.needs_retry(both).filter("retry").select("doc_id"))
+    answered = ask(discovery.diagnosis_requests(pages.join(again, "doc_id", "left_semi"), kinds, fields, abstained))
+    sent = checkpointed(discovery.diagnosed(answered).filter("strategy = 'auto_discovery'").select("doc_id"))
+    second = discovery.discover(pages.join(sent, "doc_id", "left_semi"), tenants.join(sent, "doc_id", "left_semi"), ask, cache, as_of, **budget)
+    new = checkpointed(fields.limit(0).unionByName(_placed(second.fields)))
+    n = lambda d, c: d.groupBy("doc_id").agg(F.count("*").alias(c))
+    better = checkpointed(n(new, "__r").join(n(fields, "__f"), "doc_id", "left").filter(F.col("__r") > F.coalesce("__f", F.lit(0))).select("doc_id"))
+    pick = lambda old, fresh: old.join(better, "doc_id", "left_anti").unionByName(fresh.join(better, "doc_id", "left_semi"))
+    return checkpointed(record.keep_better(fields, new)), pick(abstained, second.open), pick(kinds.select("doc_id", "kind"), second.kinds), second.calls
+
+
+def _placed(model: DataFrame) -> DataFrame:
+    """A model's fields with the place that stands for none: the first page and an empty box."""
+    return model.select("doc_id", "field", "value", "confidence", "source", "rule", F.lit(1).cast("bigint").alias("page"), F.array(*[F.lit(0.0)] * 4).alias("bbox"))
+
+
+def run(
+    blocks: DataFrame, rail_a: DataFrame, rail_b: DataFrame, ask: Callable[[DataFrame], DataFrame], as_of: str, tenants: DataFrame | None = None, cache: KeyedTable | None = None, **budget
+) -> Run:
     """Blocks and two readings of the tables to records, for all documents at once.
 
-    Blocks are put in reading order and lines, pages get sections, documents a kind, fields come by the patterns of the
-    kind. Tables are those of rail A, rail B's where A found none, stitched; where both have one their cells are compared.
-    Documents with missing fields go to a model: ``ask`` takes prompts (doc_id, prompt, prompt_key) and returns replies
-    (doc_id, reply); values that the document does not hold are refused. Then the checks and the record.
+    Blocks are put in reading order and lines; pages make sections, and each section has its own kind, fields by that
+    kind's patterns, and model fallback. A section of a known kind without any field counts as unknown. Sections of
+    unknown kind are asked for six usual fields or, with a schema cache and tenants (doc_id, tenant_id), for what their
+    discovered schema names. Then sections are joined, poor documents retried, and all checks run over fields, accounts
+    and tables. Tables are those of rail A, rail B's where A found none, stitched; where both have one their cells are
+    compared. ``ask`` takes calls (doc_id, prompt, prompt_key, ...) and returns them with reply; ``budget`` goes to the fallback.
     """
-    lines, stitched = assemble(blocks, files.with_fallback(rail_a, rail_b))
-    lines = checkpointed(lines.select("doc_id", "page", "seq", "text"))
-    pages = page_texts(lines)
-    first = process(lines, None, as_of)
-    kinds, native, missing = checkpointed(first.kinds), checkpointed(first.fields), checkpointed(first.abstentions)
-    keywords = {"bank_statement": fixed.BANK_KEYWORDS, "custody_statement": fixed.CUSTODY_KEYWORDS, "swift_confirm": fixed.SWIFT_KEYWORDS}
-    sections = documents.sections(documents.page_profiles(pages, keywords), list(keywords))
-    wanted = missing.filter(F.col("field") != "document_kind")
-    asked = discovery.requests(pages.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), "fallback")
-    found, refused = model_fields(wanted, ask(asked), lines)
-    fields = checkpointed(native.select("doc_id", "field", "value", "confidence", "source", "rule").unionByName(found))
-    abstained = record.still_open(missing.filter(F.col("field") == "document_kind").unionByName(refused, allowMissingColumns=True), fields)
-    pairs = tables.pair_rails(rail_a, rail_b).withColumn("table_key", F.concat_ws(":", "doc_id", "page", "table_seq"))
-    other = pairs.filter(F.col("b_table_seq").isNotNull()).select("doc_id", "page", F.col("b_table_seq").alias("table_seq"), "table_key").join(rail_b, ["doc_id", "page", "table_seq"])
-    verdicts = tables.triangulate(tables.cells(pairs.filter(F.col("b_table_seq").isNotNull()), "table_key"), tables.cells(other, "table_key"))
-    judged = pairs.select("doc_id", "table_key").join(verdicts, "table_key")
-    failures = validators.all_failures(validators.identifiers(fields), *([validators.dates(fields, as_of)] if as_of else []))
+    ordered, stitched = assemble(blocks, files.with_fallback(rail_a, rail_b))
+    boxed = checkpointed(ordered.select("doc_id", F.col("page").cast("bigint").alias("page"), "seq", "text", F.array("x0", "y0", "x1", "y1").alias("bbox")))
+    lines = boxed.drop("bbox")
+    pages = checkpointed(page_texts(lines))
+    parts = checkpointed(documents.sections(documents.page_profiles(pages, KEYWORDS), list(KEYWORDS)))
+    unit_lines = checkpointed(by_section(lines, parts))
+    first = process(unit_lines, None, None, parts.select(F.struct("doc_id", "section").alias("doc_id"), "kind"))
+    kinds, missing = checkpointed(first.kinds.select("doc_id", "kind")), checkpointed(first.abstentions)
+    native = checkpointed(first.fields.select("doc_id", "field", "value", "confidence", "source", "rule", "page", "seq"))
+    unit_pages = checkpointed(page_texts(unit_lines))
+    # a known kind without any field is none
+    empty = kinds.filter("kind <> 'unknown'").join(native.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("__empty", F.lit(True))
+    routed = checkpointed(kinds.join(empty.select("doc_id", "__empty"), "doc_id", "left").select("doc_id", F.when(F.col("__empty"), "unknown").otherwise(F.col("kind")).alias("kind"), (F.col("kind") == "unknown").alias("unrouted")))
+    wanted = missing.filter(F.col("field") != "document_kind").select("doc_id", "field")
+    strange = routed.filter("unrouted").select("doc_id")
+    found, refused, renamed, calls = None, None, None, None
+    if cache is not None and tenants is not None:
+        of_unit = strange.withColumn("__d", F.col("doc_id.doc_id")).join(tenants.select(F.col("doc_id").alias("__d"), "tenant_id"), "__d").select("doc_id", "tenant_id")
+        seen = discovery.discover(unit_pages.join(strange, "doc_id", "left_semi"), of_unit, ask, cache, as_of, **budget)
+        found, refused, renamed, calls = seen.fields, seen.open, seen.kinds, seen.calls
+    else:
+        wanted = wanted.unionByName(strange.select("doc_id", F.explode(F.array(*[F.lit(f) for f in GENERIC_FIELDS])).alias("field")))
+    got = fallback.run(unit_pages, wanted, ask, **budget)
+    model = checkpointed(_placed(got.fields if found is None else got.fields.unionByName(found)))
+    # native fields stand where their line stands; the model's take their place if there are both
+    start = parts.select(F.struct("doc_id", "section").alias("doc_id"), "start_page")
+    placed = _of_documents(native.join(start, "doc_id").withColumn("page", F.col("page") + F.col("start_page") - 1).join(model.select("doc_id", "field"), ["doc_id", "field"], "left_anti").drop("start_page"))
+    placed = placed.join(boxed.select("doc_id", "page", "seq", "bbox"), ["doc_id", "page", "seq"], "left").select("section", *FIELDS)
+    unit_fields = checkpointed(placed.unionByName(_of_documents(model).select("section", *FIELDS)))
+    # an unknown section that a model found fields for has the kind that it names, else that of a bank statement
+    named = model.groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("field") == "document_type", F.col("value"))), F.lit("bank_statement")).alias("__named"))
+    if renamed is not None:
+        named = renamed.select("doc_id", F.col("kind").alias("__named")).join(model.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(named.join(renamed.select("doc_id"), "doc_id", "left_anti"))
+    now = routed.join(named, "doc_id", "left").select("doc_id", F.when(F.col("kind") == "unknown", F.coalesce("__named", F.lit("unknown"))).otherwise(F.col("kind")).alias("kind"))
+    unit_kinds = checkpointed(_of_documents(now))
+    left = got.open if refused is None else got.open.unionByName(refused)
+    fields, abstained, doc_kinds = joined_sections(unit_fields, _of_documents(left), unit_kinds)
+    fields, abstained, doc_kinds = checkpointed(fields.select(*FIELDS)), checkpointed(abstained), checkpointed(doc_kinds)
+    all_calls = _of_documents(got.calls if calls is None else got.calls.unionByName(calls))
+    if cache is not None and tenants is not None:
+        fields, abstained, doc_kinds, more = retried(pages, doc_kinds, fields, abstained, ask, tenants, cache, as_of, **budget)
+        all_calls = all_calls.unionByName(more.withColumn("section", F.lit(None).cast("bigint")))
+        abstained, doc_kinds = checkpointed(abstained), checkpointed(doc_kinds)
+    pairs = tables.pair_rails(rail_a, rail_b).withColumn("table_key", F.concat_ws(":", "doc_id", "page", "table_seq")).filter(F.col("b_table_seq").isNotNull())
+    other = pairs.select("doc_id", "page", F.col("b_table_seq").alias("table_seq"), "table_key").join(rail_b, ["doc_id", "page", "table_seq"])
+    judged = pairs.select("doc_id", "table_key").join(tables.triangulate(tables.cells(pairs, "table_key"), tables.cells(other, "table_key")), "table_key")
+    failures = checked(doc_kinds, fields, stitched, pages, as_of)
     marked = fields.withColumns({"vlm_used": F.col("source") == "vlm", "has_data": F.lit(False)})
-    summary = record.confidence_summary(kinds, marked, abstained, judged).join(kinds.select("doc_id", "kind"), "doc_id")
-    return Run(kinds, sections, fields, stitched, abstained, failures, asked, summary)
+    summary = record.confidence_summary(doc_kinds, marked, abstained, judged).join(doc_kinds, "doc_id")
+    return Run(doc_kinds, parts.drop("kind").join(unit_kinds, ["doc_id", "section"]), fields, stitched, abstained, failures, all_calls, summary)

@@ -80,6 +80,20 @@ def table_amounts(tables: DataFrame) -> DataFrame:
     return r.select("doc_id", C.to_float(F.get("__r", F.col("__d"))).alias("debit"), C.to_float(F.get("__r", F.col("__c"))).alias("credit"))
 
 
+def table_transactions(tables: DataFrame) -> DataFrame:
+    """doc_id, txn_seq, date, description, debit, credit, balance of the rows of tables (doc_id, page or pages, table_seq, headers, rows) with debit and
+    credit columns, in the order of pages, tables and rows; a row that is too short for both has none."""
+    low = F.transform("headers", F.lower)
+    names = {"date": ("date",), "description": ("description", "narrative", "details"), "debit": ("debit", "debits", "dr"), "credit": ("credit", "credits", "cr"), "balance": ("balance",)}
+    at = F.struct(F.col("page") if "page" in tables.columns else F.array_min("pages").alias("page"), "table_seq")
+    t = tables.select("doc_id", at.alias("__at"), "rows", *[header_index(low, names[n]).alias(f"__{n}") for n in names])
+    r = t.filter(F.col("__debit").isNotNull() & F.col("__credit").isNotNull()).select("doc_id", "__at", *[f"__{n}" for n in names], F.posexplode("rows").alias("__k", "__r"))
+    r = r.filter(F.size("__r") > F.greatest("__debit", "__credit"))
+    cell = lambda n: F.get("__r", F.col(f"__{n}"))
+    order = Window.partitionBy("doc_id").orderBy("__at", "__k")
+    return r.select("doc_id", F.row_number().over(order).cast("bigint").alias("txn_seq"), cell("date").alias("date"), cell("description").alias("description"), *[C.to_float(cell(n)).alias(n) for n in ("debit", "credit", "balance")])
+
+
 def running_balance(transactions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows whose balance is not the last known one before it plus credit less debit."""
     w = Window.partitionBy("acct_id").orderBy("txn_seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import columns as C
 from docloom.functions.similarity import repair_json
 from docloom.operators import admin, discovery, documents, flow, layout, record, verify
+from docloom.shared import shared_dir
 from docloom.sources import files, sinks
 from docloom.streaming import alerts, windows
 
@@ -167,32 +169,63 @@ def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(run.abstentions.select("doc_id", "field", F.col("reason").alias("value"))).join(run.kinds.select("doc_id", "kind"), "doc_id")
 
 
-def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way over a statement for every order: blocks out of order, two readings of a table, replayed replies."""
-    text = statements(spark, sf_dir)
+def _run_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks out of order: the statements, with a balance of other wording, a second part of another kind, letters of two layouts."""
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     money = F.concat(F.floor("o_totalprice").cast("string"), F.lit(".5"))
-    late = o.filter((k % 4 == 0) & (k % 7 == 0)).select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(7).alias("seq"), F.concat(F.lit("In all "), money).alias("text"))
+    known = statements(spark, sf_dir).filter(F.col("doc_id") % 4 != 3)
+    one = lambda d, page, seq, text: d.select(k.alias("doc_id"), F.lit(page).alias("page"), F.lit(seq).alias("seq"), text.alias("text"))
+    many = lambda d, page, texts: d.select(k.alias("doc_id"), F.lit(page).alias("page"), F.posexplode(F.array(*texts)).alias("seq", "text"))
+    late = one(o.filter((k % 4 == 0) & (k % 7 == 0)), 1, 7, F.concat(F.when(k % 14 == 0, "In all ").otherwise("In sum "), money))
+    second = many(o.filter(k % 12 == 0), 2, [F.lit("Holdings and market value"), F.concat(F.lit("Portfolio ID: PORT-"), k.cast("string")), F.concat(F.lit("Valuation Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("Net Asset Value: €"), money)])
+    notice = many(o.filter(k % 8 == 3), 1, [F.lit("Notice of dispatch for the house"), F.concat(F.lit("Reference "), k.cast("string")), F.concat(F.lit("Due "), k.cast("string"), F.lit(".25"))])
+    letter = one(o.filter(k % 8 == 7), 1, 0, F.lit("A friend wrote us a long letter"))
     y = F.col("seq") * 15.0
-    blocks = text.unionByName(late).select("doc_id", "page", (100 - F.col("seq")).alias("seq"), "text", F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(200.0).alias("x1"), (y + 8).alias("y1"))
-    row = lambda v: F.array(F.array(F.lit("2024-01-01"), k.cast("string")), F.array(v, F.lit("end")))
-    table = lambda d, v: d.select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_seq"), F.array(F.lit("Date"), F.lit("Amount")).alias("headers"), row(v).alias("rows"))
-    rail_a, rail_b = table(o.filter(k % 5 != 0), F.lit("x")), table(o, F.when(k % 11 == 0, F.lit("y")).otherwise("X "))
-    sums = o.select(k.alias("doc_id"), money.alias("money"))
-
-    def ask(asked: DataFrame) -> DataFrame:
-        d = F.col("doc_id")
-        value = F.when(d % 14 == 0, F.col("money")).otherwise(F.lit("zzzz-qqqq"))
-        reply = F.when(d % 4 == 0, F.concat(F.lit('{"closing_balance": {"value": "'), value, F.lit('", "confidence": 0.9}}'))).when(d % 3 != 0, F.lit('```json\n{"price": {"value": null, "confidence": 0.1}}\n```'))
-        return asked.join(sums, "doc_id").select("doc_id", reply.alias("reply"))
-
-    done = flow.run(blocks, rail_a, rail_b, ask, "2000-06-30")
-    count = lambda d, name: d.groupBy("doc_id").agg(F.count("*").alias(name))
-    reasons = done.abstentions.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"))
-    out = done.summary.join(count(done.failures, "failures"), "doc_id", "left").join(reasons, "doc_id", "left").join(count(done.asked, "asked"), "doc_id", "left")
-    out = out.join(count(done.sections, "sections"), "doc_id", "left").join(done.tables.select("doc_id", F.size("rows").alias("table_rows")), "doc_id", "left")
+    rows = known.unionByName(late).unionByName(second).unionByName(notice).unionByName(letter)
+    return rows.select("doc_id", "page", (100 - F.col("seq")).alias("seq"), "text", F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(200.0).alias("x1"), (y + 8).alias("y1"))
+
+
+def _run_tables(o: DataFrame, mark: F.Column) -> DataFrame:
+    """A table of two transactions a document; some do not add up, some have a wrong balance, some no debit column."""
+    k = F.col("o_orderkey")
+    gain = F.floor("o_totalprice") + F.lit(0.5) - k + F.when(k % 3 == 1, 1).otherwise(0)
+    at = k + gain
+    cell = lambda c: c.cast("string")
+    rows = F.array(F.array(F.lit("2024-01-01"), mark, F.lit(""), cell(gain), cell(at)), F.array(F.lit("2024-01-02"), F.lit("end"), F.lit("0"), F.lit(""), cell(at + F.when(k % 11 == 0, 5).otherwise(0))))
+    names = F.array(F.lit("Date"), F.lit("Description"), F.when(k % 13 != 0, "Debit").otherwise("Amount"), F.lit("Credit"), F.lit("Balance"))
+    return o.select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(1).alias("table_seq"), names.alias("headers"), rows.alias("rows"))
+
+
+def _run_model(asked: DataFrame) -> DataFrame:
+    """A model that goes by its prompt: it reads two wordings, makes one up, knows one layout, and has no diagnosis."""
+    seen = lambda pattern: F.nullif(F.regexp_extract("prompt", pattern, 1), F.lit(""))
+    made_up = F.when(F.contains("prompt", F.lit("In sum ")), "zzzz-qqqq")
+    said = {"closing_balance": F.coalesce(seen(r"In all (\S+)"), made_up), "reference": seen(r"Reference (\d+)"), "due": seen(r"Due (\S+)")}
+    parts = [F.concat(F.lit(f'"{f}": {{"value": "'), v, F.lit('", "confidence": 0.9}')) for f, v in said.items()]
+    values = F.concat(F.lit("```json\n{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}\n```"))
+    schema = F.lit('{"institution": "House", "document_type_label": "notice", "fields": [{"field_name": "reference"}, {"field_name": "due"}, {"field_name": "signatory"}]}')
+    reply = F.when(F.startswith("prompt", F.lit("[fallback]")), values).when(F.startswith("prompt", F.lit("[discover]")), F.when(F.contains("prompt", F.lit("Notice of dispatch")), schema).otherwise("no idea"))
+    return asked.withColumn("reply", reply)
+
+
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way for every order: sections of two kinds, two readings of a table, model fallback, unknown layouts, all checks."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rail_a, rail_b = _run_tables(o.filter(k % 5 != 0), F.lit("x")), _run_tables(o, F.when(k % 11 == 0, F.lit("y")).otherwise("X "))
+    tenants = o.select(k.alias("doc_id"), F.concat(F.lit("t"), (F.col("o_custkey") % 3).cast("string")).alias("tenant_id"))
+    cache = discovery.schema_cache(f"{shared_dir(spark)}/schemas-{uuid.uuid4().hex}")
+    done = flow.run(_run_blocks(spark, sf_dir), rail_a, rail_b, _run_model, "2000-06-30", tenants, cache)
+    failures = _listed(done.failures.withColumn("doc_id", F.col("doc_id").cast("bigint")), F.concat_ws(":", "validator", "field"), "failures")
+    out = done.summary.join(failures, "doc_id", "left").join(_listed(done.abstentions, "reason", "reasons"), "doc_id", "left")
+    out = out.join(_listed(done.sections, F.concat_ws(":", "section", "start_page", "end_page", "kind"), "sections"), "doc_id", "left")
+    out = out.join(done.tables.select("doc_id", F.size("rows").alias("table_rows")), "doc_id", "left")
     verdict = F.when(F.col("tables_hard_flagged") > 0, "hard").when(F.col("tables") > 0, "compared")
-    return out.select("doc_id", "kind", "status", "fields_extracted", "fields_abstained", "vlm_used_count", F.coalesce("failures", F.lit(0)).alias("failures"), "reasons", F.coalesce("asked", F.lit(0)).alias("asked"), "sections", "table_rows", verdict.alias("verdict"))
+    return out.select("doc_id", "kind", "status", "fields_extracted", "fields_abstained", "vlm_used_count", "failures", "reasons", "sections", "table_rows", verdict.alias("verdict"))
+
+
+def _listed(d: DataFrame, c: F.Column | str, name: str) -> DataFrame:
+    """doc_id and its values of c, sorted, joined by commas."""
+    return d.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(c)), ",").alias(name))
 
 
 def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,13 +262,19 @@ UNION ALL SELECT k, 'portfolio_id', 'PORT-' || CAST(k AS VARCHAR), 'custody_stat
 UNION ALL SELECT k, 'trade_date', {_ISO}, 'swift_confirm' FROM s UNION ALL SELECT k, 'isin', 'US0378331005', 'swift_confirm' FROM s UNION ALL SELECT k, 'quantity', CAST(k * 10 AS VARCHAR), 'swift_confirm' FROM s
 UNION ALL SELECT k, 'counterparty_bic', 'DEUTDEFFXXX', 'swift_confirm' FROM s UNION ALL SELECT k, unnest(['settlement_date', 'price']), 'ERR_EXTRACT_001', 'swift_confirm' FROM s
 UNION ALL SELECT o_orderkey, 'document_kind', 'ERR_EXTRACT_002', 'unknown' FROM orders WHERE o_orderkey % 4 = 3""",
-    "run_documents": """WITH o AS (SELECT o_orderkey AS k, date_trunc('day', o_orderdate) AS d, o_orderkey % 4 AS t, o_orderkey % 4 = 0 AND o_orderkey % 7 = 0 AS late, o_orderkey % 14 = 0 AS told FROM orders)
-SELECT k AS doc_id, ['bank_statement', 'custody_statement', 'swift_confirm', 'unknown'][t + 1] AS kind, CASE WHEN t = 3 THEN 'failed' ELSE 'complete' END AS status,
-  CASE WHEN t = 0 THEN CASE WHEN late AND NOT told THEN 3 ELSE 4 END WHEN t = 1 THEN 3 WHEN t = 2 THEN 4 ELSE 0 END AS fields_extracted,
-  CASE WHEN t = 0 THEN CASE WHEN late AND NOT told THEN 1 ELSE 0 END WHEN t = 1 THEN 0 WHEN t = 2 THEN 2 ELSE 1 END AS fields_abstained, CASE WHEN late AND told THEN 1 ELSE 0 END AS vlm_used_count,
-  CASE WHEN t < 3 AND (d > TIMESTAMP '2000-06-30' OR d < TIMESTAMP '1990-06-30') THEN 1 ELSE 0 END + CASE WHEN t = 2 THEN 1 ELSE 0 END AS failures, -- an ISIN of this form is tried as an IBAN too
-  CASE WHEN late AND NOT told THEN 'ERR_VLM_004' WHEN t = 2 THEN 'ERR_VLM_003,ERR_VLM_003' WHEN t = 3 THEN 'ERR_EXTRACT_002' END AS reasons, CASE WHEN late OR t = 2 THEN 1 ELSE 0 END AS asked,
-  1 AS sections, 2 AS table_rows, CASE WHEN k % 5 <> 0 THEN 'compared' END AS verdict FROM o""",
+    "run_documents": """WITH o AS (SELECT o_orderkey AS k, date_trunc('day', o_orderdate) AS d, o_orderkey % 4 AS t, o_orderkey % 4 = 0 AND o_orderkey % 7 = 0 AS late, o_orderkey % 14 = 0 AS told, floor(o_totalprice) + 0.5 AS money FROM orders),
+x AS (SELECT *, d > TIMESTAMP '2000-06-30' OR d < TIMESTAMP '1990-06-30' AS off, t = 0 AND (NOT late OR told) AS closed, k % 13 <> 0 AS booked, t = 3 AND k % 8 = 3 AS notice FROM o)
+SELECT k AS doc_id, CASE t WHEN 0 THEN 'bank_statement' WHEN 1 THEN 'custody_statement' WHEN 2 THEN 'swift_confirm' ELSE CASE WHEN notice THEN 'discovered:notice' ELSE 'unknown' END END AS kind,
+  CASE WHEN t < 3 THEN 'complete' WHEN notice THEN 'partial' ELSE 'failed' END AS status,
+  CASE t WHEN 0 THEN 3 + CAST(closed AS INTEGER) + CASE WHEN k % 12 = 0 THEN 3 ELSE 0 END WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE CASE WHEN notice THEN 2 ELSE 0 END END AS fields_extracted,
+  CASE t WHEN 0 THEN CAST(NOT closed AS INTEGER) WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS fields_abstained, CASE WHEN late AND told THEN 1 WHEN notice THEN 2 ELSE 0 END AS vlm_used_count,
+  nullif(array_to_string(list_sort(list_filter([
+    CASE WHEN closed AND booked AND k % 3 = 1 OR closed AND NOT booked THEN 'arithmetic_totals:closing_balance' END, CASE WHEN t = 0 AND NOT booked THEN 'completeness:' || k END,
+    CASE WHEN closed AND booked AND k % 3 = 1 THEN 'reconciliation:' || k END, CASE WHEN t = 0 AND booked AND k % 11 = 0 THEN 'running_balance:2' END, CASE WHEN t = 2 THEN 'iban:isin' END,
+    CASE WHEN off AND t = 0 THEN 'date_range:statement_date' END, CASE WHEN off AND (t = 1 OR k % 12 = 0) THEN 'date_range:valuation_date' END, CASE WHEN off AND t = 2 THEN 'date_range:trade_date' END], lambda x: x IS NOT NULL)), ','), '') AS failures,
+  CASE WHEN t = 0 AND NOT closed THEN 'ERR_VLM_004' WHEN t = 2 THEN 'ERR_VLM_003,ERR_VLM_003' WHEN notice THEN 'ERR_EXTRACT_001' WHEN t = 3 THEN 'ERR_DISCOVERY_001' END AS reasons,
+  CASE t WHEN 0 THEN '0:1:1:bank_statement' || CASE WHEN k % 12 = 0 THEN ',1:2:2:custody_statement' ELSE '' END WHEN 1 THEN '0:1:1:custody_statement' WHEN 2 THEN '0:1:1:swift_confirm' ELSE '0:1:1:' || CASE WHEN notice THEN 'discovered:notice' ELSE 'unknown' END END AS sections,
+  2 AS table_rows, CASE WHEN k % 5 <> 0 THEN 'compared' END AS verdict FROM x""",
     "job_overview": """WITH u AS (SELECT l_orderkey AS job_id, count(*) AS calls, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS tokens FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS job_id, o_custkey AS tenant_id, o_orderstatus AS status, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, c_name AS tenant FROM orders LEFT JOIN u ON u.job_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('F', 'O')""",
     "extract_documents": f"""WITH {_FOUND}, found AS (SELECT doc_id, field, value FROM best WHERE n = 1),
