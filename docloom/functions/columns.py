@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -162,6 +162,8 @@ def confidence_band(c: Column) -> Column:
     return F.when(c >= 0.90, "high").when(c >= 0.70, "medium").otherwise("low")
 
 
+#: Hits whose spans are gathered at once.
+LOG_BLOCK = 256
 # Forms of personal data, by entity; at one place the first that fits wins.
 PII = {
     "EMAIL_ADDRESS": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
@@ -182,17 +184,56 @@ def redact(text: Column, entities: Sequence[str] = tuple(PII)) -> Column:
     return F.regexp_replace(text, pii_pattern(entities), "[REDACTED]") if entities else text
 
 
+SPANS = "array<struct<entity_type:string,start:int,end:int>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """What stands before the first hit, the hit, what stands before the next, ...: one search over texts without the mark that is used."""
+    mark = "\uE000"
+    at_once = F.split(F.regexp_replace(text, f"({pattern})", f"{mark}$1{mark}"), mark, -1)
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    apart = F.transform(F.split(text, pattern, -1), lambda b, k: F.when(k < F.size(hits), F.array(b, F.get(hits, k))).otherwise(F.array(b)))
+    return F.when(F.contains(text, F.lit(mark)), F.flatten(apart)).otherwise(at_once)
+
+
+def _spans(pieces: Column, entities: Sequence[str]) -> Column:
+    """Spans of the hits among pieces: a hit begins where the text before it ends. They are gathered in blocks, as arrays grow by copies."""
+    kind = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{PII[e]})$"), F.lit(e)) for e in entities])
+    n = F.floor(F.size(pieces) / 2).cast("int")
+
+    def step(s: Column, k: Column) -> Column:
+        hit = F.get(pieces, k * 2 + 1)
+        end = s["at"] + F.length(hit)
+        span = F.struct(kind(hit).alias("entity_type"), s["at"].alias("start"), end.alias("end"))
+        return F.struct((end + F.length(F.get(pieces, k * 2 + 2))).alias("at"), F.array_append(s["log"], span).alias("log"))
+
+    def block(s: Column, b: Column) -> Column:
+        mine = F.aggregate(F.sequence(b * LOG_BLOCK, F.least(n, (b + 1) * LOG_BLOCK) - 1), F.struct(s["at"].alias("at"), F.array().cast(SPANS).alias("log")), step)
+        return _let(mine, lambda m: F.struct(m["at"].alias("at"), F.array_append(s["logs"], m["log"]).alias("logs")))
+
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / LOG_BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(f"array<{SPANS}>").alias("logs"))
+    return F.flatten(F.aggregate(blocks, start, block, lambda s: s["logs"]))
+
+
+def redacted(text: Column, entities: Sequence[str] = tuple(PII)) -> Column:
+    """Struct of the redacted text and its log, from one search over the text; null for null."""
+    if not entities:
+        return F.when(text.isNotNull(), F.struct(text.alias("text"), F.array().cast(SPANS).alias("log")))
+    shown = lambda p: F.array_join(F.transform(p, lambda x, k: F.when(k % 2 == 1, "[REDACTED]").otherwise(x)), "")
+    return F.when(text.isNotNull(), _let(_pieces(text, pii_pattern(entities)), lambda p: F.struct(shown(p).alias("text"), _spans(p, entities).alias("log"))))
+
+
 def redaction_log(text: Column, entities: Sequence[str] = tuple(PII)) -> Column:
     """Array of entity_type, start and end (characters from 0 of the text as it was, end exclusive), in order."""
     if not entities:
-        return F.array().cast("array<struct<entity_type:string,start:int,end:int>>")
-    found = F.regexp_extract_all(text, F.lit(f"({pii_pattern(entities)})"), 1)
-    between = F.transform(F.split(text, pii_pattern(entities), -1), F.length)
-    kind = lambda m: F.coalesce(*[F.when(m.rlike(f"^(?:{PII[e]})$"), F.lit(e)) for e in entities])
-    sizes = F.transform(found, F.length)
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + x)
-    span = lambda m, k: F.struct(kind(m).alias("entity_type"), (total(between, k + 1) + total(sizes, k)).alias("start"), (total(between, k + 1) + total(sizes, k + 1)).alias("end"))
-    return F.transform(found, span)
+        return F.array().cast(SPANS)
+    return F.when(text.isNotNull(), _let(_pieces(text, pii_pattern(entities)), lambda p: _spans(p, entities)))
 
 
 def retry_delay_ms(attempt: Column, jitter: Column) -> Column:

@@ -124,15 +124,29 @@ def triangulate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECRETS = ("a.b@mail.example.com", "GB29 NWBK 6016 1331 9268 19", "DE89370400440532013000", "3782 822463 10005", "4111-1111-1111-1111", "123-45-6789", "10.20.30.40", "+44 20 7946 0958", "07911 123456", "555-123-4567", "+1 (555) 123-4567", "no. 12 of 2024")
 
 
+# The six forms as the oracle states them: mail, IBAN, cards, social security, addresses, telephones.
+_FORMS = (
+    r"[[:alnum:]._%+-]+@[[:alnum:].-]+[.][[:alpha:]]{2,}",
+    r"\b[[:upper:]]{2}[0-9]{2}( ?[[:upper:]0-9]{4}){2,7}( ?[[:upper:]0-9]{1,3})?\b",
+    r"\b([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})\b",
+    r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    r"\b[0-9]{1,3}([.][0-9]{1,3}){3}\b",
+    r"[+][0-9]{1,3}[ .-]?([(][0-9]{1,4}[)][ .-]?)?[0-9]{1,4}([ .-]?[0-9]{2,4}){1,4}\b",
+    r"([(][0-9]{3}[)] ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
+    r"\b0[0-9]{4}[ -]?[0-9]{6}\b",
+    r"\b0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}\b",
+)
+PERSONAL = "|".join(f"({f})" for f in _FORMS)
+
+
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     secret = F.element_at(F.array(*[F.lit(x) for x in SECRETS]), (F.col("doc_id") % len(SECRETS) + 1).cast("int"))
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\nsee "), secret, F.lit(" there"))
-    red, log = C.redact(text), C.redaction_log(text)
-    return d.select(
-        "doc_id", F.md5(red).alias("redacted_md5"), F.size(log).cast("bigint").alias("redactions"), F.aggregate(log, F.lit(0), lambda s, x: s + x["end"] - x["start"]).cast("bigint").alias("hidden"),
-        F.get(log, F.size(log) - 1)["entity_type"].alias("last_entity"), (F.get(log, F.size(log) - 1)["start"]).cast("bigint").alias("last_start"),
-    )
+    once = d.select("doc_id", C.redacted(text).alias("r")).select("doc_id", F.col("r.text").alias("red"), F.col("r.log").alias("log"))
+    last = F.get("log", F.size("log") - 1)
+    hidden = F.aggregate("log", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    return once.select("doc_id", F.md5("red").alias("redacted_md5"), F.size("log").cast("bigint").alias("redactions"), hidden.cast("bigint").alias("hidden"), last["entity_type"].alias("last_entity"), last["start"].cast("bigint").alias("last_start"))
 
 
 def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,11 +261,11 @@ g AS (SELECT k, count(*) AS cells, max(r) AS ra, max(r) FILTER (NOT (k % 31 = 0
 s AS (SELECT *, CASE WHEN ra IS DISTINCT FROM rb THEN 1.0 ELSE mismatches / cells END AS x FROM g)
 SELECT k AS table_key, cells, mismatches, round(CAST(x AS DOUBLE), 6) AS score, CASE WHEN round(x, 6) < 0.10 THEN 'agreement' WHEN round(x, 6) < 0.40 THEN 'soft_flag' ELSE 'hard_flag' END AS verdict FROM s""",
     "redact": rf"""WITH d AS (SELECT doc_id, doc_id % {len(SECRETS)} AS k, coalesce(text, '') || chr(10) || 'see ' || {list(SECRETS)}[doc_id % {len(SECRETS)} + 1] || ' there' AS t FROM documents),
-r AS (SELECT *, regexp_extract_all(t, '{C.pii_pattern()}') AS found FROM d), l AS (SELECT *, list_sum(list_transform(found, lambda m: length(m))) AS n, len(found) AS c FROM r)
-SELECT doc_id, md5(regexp_replace(t, '{C.pii_pattern()}', '[REDACTED]', 'g')) AS redacted_md5, CAST(c AS BIGINT) AS redactions, CAST(coalesce(n, 0) AS BIGINT) AS hidden,
+r AS (SELECT *, regexp_extract_all(t, '{PERSONAL}') AS found FROM d), l AS (SELECT *, list_sum(list_transform(found, lambda m: length(m))) AS n, len(found) AS c FROM r)
+SELECT doc_id, md5(regexp_replace(t, '{PERSONAL}', '[REDACTED]', 'g')) AS redacted_md5, CAST(c AS BIGINT) AS redactions, CAST(coalesce(n, 0) AS BIGINT) AS hidden,
   CASE WHEN c = 0 THEN NULL WHEN k = 11 THEN {_entity("found[c]")} ELSE {list(SECRET_ENTITIES)}[k + 1] END AS last_entity,
   CASE WHEN c = 0 THEN NULL WHEN k = 11 THEN CAST(length(t) - length(last_part) - length(found[c]) AS BIGINT) ELSE CAST(length(t) - 6 - length(found[c]) AS BIGINT) END AS last_start
-FROM (SELECT *, regexp_split_to_array(t, '{C.pii_pattern()}')[-1] AS last_part FROM l)""",
+FROM (SELECT *, regexp_split_to_array(t, '{PERSONAL}')[-1] AS last_part FROM l)""",
     "parse_amount": r"""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
 p AS (SELECT *, CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS plain FROM o)
 SELECT o_orderkey, CASE k WHEN 0 THEN -CAST(plain AS DOUBLE) WHEN 1 THEN -CAST(plain AS DOUBLE) WHEN 2 THEN CAST('1' || lpad(plain, 12, '0') AS DOUBLE) WHEN 3 THEN 0.0 WHEN 4 THEN NULL ELSE CAST(plain AS DOUBLE) END AS amount,

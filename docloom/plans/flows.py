@@ -8,14 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import columns as C
 from docloom.functions.similarity import repair_json
 from docloom.operators import admin, discovery, documents, flow, layout, record, verify
 from docloom.shared import shared_dir
 from docloom.sources import files, sinks
 from docloom.streaming import alerts, windows
 
-from .documents import _BEST, _FOUND, _WORDS, FIELDS, KINDS, NEGATIVE, _penalised
+from .documents import _BEST, _FOUND, _WORDS, FIELDS, KINDS, NEGATIVE, PERSONAL, _penalised
 from .standins import ITEMS, JOBS, TRANSACTIONS, doc_pages, items, jobs, lines, read, transactions
 
 
@@ -237,7 +236,7 @@ def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (extract_documents, process_documents, run_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_board, error_rate_alerts, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
 
-_REDACTED = f"regexp_replace(t, '{C.pii_pattern()}', '[REDACTED]', 'g')"
+_REDACTED = f"regexp_replace(t, '{PERSONAL}', '[REDACTED]', 'g')"
 
 _FOLD = """CASE WHEN starts_with(acc, 'resolved') THEN 'idle|' || split_part(acc, '|', 2) WHEN x = 't' AND starts_with(acc, 'firing') THEN acc
   WHEN x = 't' THEN 'firing|' || CAST(CAST(split_part(acc, '|', 2) AS BIGINT) + 1 AS VARCHAR) WHEN starts_with(acc, 'firing') THEN 'resolved|' || split_part(acc, '|', 2) ELSE 'idle|' || split_part(acc, '|', 2) END"""

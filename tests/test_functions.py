@@ -1,5 +1,7 @@
 """Scalar functions on worked values, nulls and generated input."""
 
+import re
+
 import json
 from difflib import SequenceMatcher
 
@@ -95,6 +97,21 @@ def test_redaction_of_every_form(spark):
     assert one(spark, lambda c: C.redact(c, ()), "a@b.com") == ["a@b.com"] and one(spark, lambda c: C.redact(c, ("IP_ADDRESS",)), "a@b.com 1.2.3.4") == ["a@b.com [REDACTED]"]
 
 
+def test_redaction_of_many_hits(spark):
+    """Spans of 10,000 hits in one text within seconds, across blocks, with and without the mark that is used inside."""
+    import time
+
+    def made(n, mark=""):
+        return " ".join(f"x{k}{mark} a{k}@b.com" for k in range(n))
+
+    began = time.time()
+    for text in (made(10_000), made(C.LOG_BLOCK), made(C.LOG_BLOCK + 1), made(3, "\uE000")):
+        found = one(spark, C.redacted, text)[0]
+        assert [(s.start, s.end) for s in found.log] == [m.span() for m in re.finditer(r"a\d+@b\.com", text)]
+        assert found.text == re.sub(r"a\d+@b\.com", "[REDACTED]", text)
+    assert time.time() - began < 60
+
+
 def test_long_iban_is_read_whole(spark):
     body = "1" * 200
     check = 98 - int(body + "161100") % 97
