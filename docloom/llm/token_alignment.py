@@ -13,6 +13,7 @@ no rows; columns other than doc_id and text play no part.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ SPACE = "▁"
 #: Bytes of text whose tokens are one pandas frame; a longer text is a frame of its own.
 FRAME_BYTES = 1 << 20
 #: Words that a worker keeps with their ids.
-MAX_WORDS = 100_000
+MAX_WORDS = 200_000
 #: Pairs of ids that are joined by broadcast (about 64 MB); more are joined by key, with salts for pairs that are everywhere.
 MAX_BROADCAST = 1_000_000
 SALTS = 32
@@ -60,6 +61,9 @@ class ByteSide:
             e.units.update((w, x) for w, x in new.items() if len(w) <= 32)
         return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
 
+    def decode(self, ids: list[int]) -> bytes:
+        return self.encoder.model.decode_bytes(ids)
+
 
 class PieceSide:
     """Ids of a text by a sentencepiece model that puts a space before it; words between single spaces are kept."""
@@ -84,12 +88,15 @@ class PieceSide:
             missing = list({w for w, x in zip(words, ids) if x is None})
             if not self.by_word or "" in missing:
                 return np.array(self.model.encode(text), dtype=np.int64)
-            new = {w: np.array(x, dtype="<u4").tobytes() for w, x in zip(missing, self.model.encode(missing, num_threads=1))}
+            new = {w: array("I", x).tobytes() for w, x in zip(missing, self.model.encode(missing, num_threads=1))}
             ids = [x or new[w] for w, x in zip(words, ids)]
             if len(self.words) + len(new) > MAX_WORDS:
                 self.words.clear()
             self.words.update((w, x) for w, x in new.items() if len(w) <= 32)
-        return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
+        return np.frombuffer(b"".join(ids), dtype=np.uintc).astype(np.int64)
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
 
 
 @lru_cache(maxsize=1)
@@ -109,7 +116,7 @@ def tokens(data: bytes | None, a: ByteSide, b: PieceSide) -> tuple[np.ndarray, n
             ids = side.encode(text)
         except (UnicodeError, ValueError):
             return none, none
-        if int(side.sizes[ids].sum()) != len(whole) or b"".join(map(side.bytes.__getitem__, ids.tolist())) != whole:
+        if int(side.sizes[ids].sum()) != len(whole) or side.decode(ids.tolist()) != whole:
             return none, none
         found.append(ids)
     return found[0], found[1]
@@ -123,39 +130,51 @@ def _frame(ids: list[np.ndarray], sizes: np.ndarray, name: str) -> pd.DataFrame:
 
 
 def overlaps(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_sizes: np.ndarray, b_sizes: np.ndarray) -> pd.DataFrame:
-    """doc, a_id, a_end, a_at, b_id, b_end, b_at of all token pairs that share bytes, by document and place."""
+    """doc, a_id, a_end, a_at, b_id, b_end, b_at of all token pairs that share bytes."""
     a, b = _frame(a_ids, a_sizes, "a"), _frame(b_ids, b_sizes, "b")
     covered_a = pd.merge_asof(a, b.assign(b_start=b["start"]), on="start", by="doc")
     covered_b = pd.merge_asof(b, a.assign(a_start=a["start"]), on="start", by="doc")
     both = [covered_a.drop(columns="b_start"), covered_b[covered_b["a_start"] < covered_b["start"]].drop(columns="a_start")]  # equal starts are in the first
-    return pd.concat(both, ignore_index=True).sort_values(["a_at", "b_at"], kind="stable")
+    return pd.concat(both, ignore_index=True)
 
 
 def align(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a: ByteSide, b: PieceSide) -> list[tuple]:
-    """n_a, n_b, n_overlaps, n_groups, n_links, groups as text, pairs, times of each document."""
+    """n_a, n_b, n_overlaps, n_groups, n_links, groups as text, pairs, times of each document.
+
+    No token is empty, so that exactly one token of each side ends where a group ends: groups are as many as links.
+    """
     o = overlaps(a_ids, b_ids, a.sizes, b.sizes)
-    of_doc = o["doc"].to_numpy()
-    n_overlaps = np.bincount(of_doc, minlength=len(a_ids))
-    linked = (o["a_end"] == o["b_end"]).to_numpy()
-    links = o[linked]
-    pair = (links["a_id"] * len(b.bytes) + links["b_id"]).to_numpy()
-    cut = np.searchsorted(links["doc"].to_numpy(), np.arange(len(a_ids) + 1))
-    a_base, b_base = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]) for ids in (a_ids, b_ids))
-    a_at, b_at = links["a_at"].to_numpy() + 1, links["b_at"].to_numpy() + 1
-    out = []
-    for k, (x, y) in enumerate(zip(a_ids, b_ids)):
+    n_overlaps = np.bincount(o["doc"].to_numpy(), minlength=len(a_ids))
+    links = o[(o["a_end"] == o["b_end"]).to_numpy()]
+    order = np.argsort(links["a_at"].to_numpy(), kind="stable")
+    a_last, b_last, of_doc, x, y = (links[c].to_numpy()[order] for c in ("a_at", "b_at", "doc", "a_id", "b_id"))
+    pair = x * len(b.bytes) + y
+    cut = np.searchsorted(of_doc, np.arange(len(a_ids) + 1))
+    a_base, b_base = (np.concatenate([[0], np.cumsum([len(v) for v in ids])]) for ids in (a_ids, b_ids))
+    # all groups of all documents as one sequence of printed ids: a group's tokens of A, then those of B
+    a_flat, b_flat = (np.concatenate([*ids, np.zeros(0, dtype=np.int64)]) for ids in (a_ids, b_ids))
+    a_group, b_group = np.searchsorted(a_last, np.arange(len(a_flat))), np.searchsorted(b_last, np.arange(len(b_flat)))
+    place_a = np.arange(len(a_flat)) + np.concatenate([[0], b_last + 1])[a_group]
+    place_b = np.arange(len(b_flat)) + (a_last + 1)[b_group]
+    a_flat[a_last] += len(a.bytes)
+    b_flat[b_last] += len(b.bytes)
+    printed = np.empty(len(a_flat) + len(b_flat), dtype=np.int64)
+    printed[place_a], printed[place_b] = a_flat, b_flat + 2 * len(a.bytes)
+    texts, out = print_table(len(a.bytes), len(b.bytes)), []
+    for k in range(len(a_ids)):
         lo, hi = cut[k], cut[k + 1]
-        left, right = list(map(str, x.tolist())), list(map(str, y.tolist()))
-        groups, i, j = [], 0, 0
-        for p, q in zip((a_at[lo:hi] - a_base[k]).tolist(), (b_at[lo:hi] - b_base[k]).tolist()):
-            if p > i or q > j:
-                groups.append(",".join(left[i:p]) + "|" + ",".join(right[j:q]))
-            i, j = p, q
+        groups = "".join(map(texts.__getitem__, printed[a_base[k] + b_base[k] : a_base[k + 1] + b_base[k + 1]].tolist()))[:-1]
         pairs, times = np.unique(pair[lo:hi], return_counts=True)
-        out.append((len(x), len(y), int(n_overlaps[k]), len(groups), int(hi - lo), ";".join(groups), pairs, times))
+        out.append((len(a_ids[k]), len(b_ids[k]), int(n_overlaps[k]), int(hi - lo), int(hi - lo), groups, pairs, times))
     return out
 
 
+@lru_cache(maxsize=2)
+def print_table(n_a: int, n_b: int) -> list[str]:
+    """Every id with what follows it: ids of A inside and at the end of their part of a group, then those of B."""
+    return [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+
+
 _KINDS = {"doc_id": pa.int64(), **dict.fromkeys(COUNTS, pa.int64()), "groups_sha256": pa.string(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
 _DDL = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", groups_sha256 string, pairs array<bigint>, times array<int>"
 
