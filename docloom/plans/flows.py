@@ -12,7 +12,7 @@ from docloom.functions.similarity import repair_json
 from docloom.operators import admin, discovery, documents, flow, layout, record, verify
 from docloom.shared import shared_dir
 from docloom.sources import files, sinks
-from docloom.streaming import alerts, windows
+from docloom.streaming import alerts, delivery, windows
 
 from .documents import _BEST, _FOUND, _WORDS, FIELDS, KINDS, NEGATIVE, PERSONAL, _penalised
 from .standins import ITEMS, JOBS, TRANSACTIONS, doc_pages, items, jobs, lines, read, transactions
@@ -104,8 +104,7 @@ def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_id"), (F.col("c_custkey") % 4 != 0).alias("enabled"))
-    board = alerts.alert_board(rules, _evaluations(read(spark, sf_dir, "events")))
+    board = alerts.alert_board(_rules(spark, sf_dir), _evaluations(read(spark, sf_dir, "events")))
     return board.withColumn("last_evaluated_at", F.date_format("last_evaluated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -124,9 +123,77 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _in_stretches(spark: SparkSession, sf_dir: str, each_batch, stretches: int = 3) -> None:
+    """The events as files that arrive stretch by stretch of time, each met by a new run of the same stream."""
+    e = read(spark, sf_dir, "events")
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    cuts = e.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / stretches for k in range(1, stretches)], 10_000).alias("c")).first()["c"] or []
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    for k in range(len(cuts) + 1):
+        part = e if not cuts else e.filter(micros < cuts[0]) if k == 0 else e.filter((micros >= cuts[k - 1]) & (micros < cuts[k])) if k < len(cuts) else e.filter(micros >= cuts[-1])
+        part.write.mode("append").parquet(f"{folder}/rows")
+        windows.run_batches(_evaluations(spark.readStream.schema(e.schema).parquet(f"{folder}/rows")), each_batch, f"{folder}/check")
+
+
 def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = windows.run_once(alerts.alert_transitions(_evaluations(_stream(spark, sf_dir, "events"))))
-    return changes.groupBy("rule_id", "to_state").agg(F.count("*").alias("changes"))
+    stream = alerts.AlertStream(f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}")
+    _in_stretches(spark, sf_dir, stream)
+    return stream.changes(spark).groupBy("rule_id", "to_state").agg(F.count("*").alias("changes"))
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_id"), (F.col("c_custkey") % 4 != 0).alias("enabled"))
+
+
+def alert_stream_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board after three micro-batches, with disabled rules: what alert_board finds over the whole table."""
+    stream = alerts.AlertStream(f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}", lambda s: _rules(s, sf_dir))
+    _in_stretches(spark, sf_dir, stream)
+    return stream.board(spark).withColumn("last_evaluated_at", F.date_format("last_evaluated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def alert_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History and notifications from the stream's changes, with every batch handed over twice."""
+    path = f"{shared_dir(spark)}/notices-{uuid.uuid4().hex}"
+    targets = spark.createDataFrame([("t0", True, "https://a.example/x"), ("t1", True, " "), ("t2", False, "https://c.example/x")], "tenant_id string, enabled boolean, callback_url string")
+    sink = delivery.DeliverySink(f"{path}/sent", _takes, targets)
+    owners = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rule_id"), F.concat(F.lit("t"), (F.col("c_custkey") % 3).cast("string")).alias("tenant_id"))
+    stream, history = alerts.AlertStream(f"{path}/alerts"), delivery.AlertHistory(f"{path}/history", sink, owners)
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        stream(batch, batch_id)
+        for _ in range(2):
+            history(spark.read.schema(alerts.TRANSITION).parquet(f"{stream.path}/batch={batch_id}"), batch_id)
+
+    _in_stretches(spark, sf_dir, both)
+    sent = sink.outcomes(spark).groupBy(F.split("payload_id", "@")[0].cast("bigint").alias("rule_id")).agg(F.count("*").alias("notices"), F.count_if(F.col("outcome") == "delivered").alias("delivered"))
+    rows = history.read(spark).groupBy("rule_id").agg(F.count("*").alias("firings"), F.count_if(F.col("resolved_at").isNull()).alias("open"))
+    return rows.join(sent, "rule_id", "left")
+
+
+def _takes(key: str, url: str, payload: str) -> bool:
+    return True
+
+
+def _refuses_some(key: str, url: str, payload: str) -> bool:
+    return int(key) % 7 != 0
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of ended batches in two micro-batches, the first handed over again at the end; a receiver that refuses some."""
+    targets = spark.createDataFrame([("t0", True, "https://a.example/x"), ("t1", True, " ")], "tenant_id string, enabled boolean, callback_url string")
+    sink = delivery.DeliverySink(f"{shared_dir(spark)}/deliveries-{uuid.uuid4().hex}", _refuses_some, targets, pause=lambda n: 0.0, wave=100)
+    p = sinks.batch_payloads(jobs(spark, sf_dir)).select(F.col("batch_id").cast("string").alias("payload_id"), F.get_json_object("payload", "$.tenant_id").alias("tenant_id"), "payload", "batch_id")
+    half = lambda k: p.filter(F.col("batch_id") % 2 == k).drop("batch_id")
+    for k, batch in ((0, half(0)), (1, half(1)), (0, half(0)), (2, half(0))):
+        sink(batch, k)
+    return sink.outcomes(spark).select("payload_id", "tenant_id", "outcome", "attempts", F.col("payload").isNotNull().alias("kept"))
+
+
+def log_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    event = F.create_map(F.lit("timestamp"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("severity"), F.col("event_type"), F.lit("trace_id"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    return sinks.log_entries(e.select(event.alias("event")), start=101).select("id", "timestamp", "severity", "trace_id")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +301,7 @@ def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.job_overview(admin.history_filter(jobs_, statuses=("F", "O")), calls, tenants)
 
 
-QUERIES = {f.__name__: f for f in (extract_documents, process_documents, run_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_board, error_rate_alerts, alert_stream, stream_windows, stream_sessions, circuit_alerts)}
+QUERIES = {f.__name__: f for f in (extract_documents, process_documents, run_documents, job_overview, xy_cut, verify_tokens, llm_requests, discover_schemas, common_failures, json_repair, ocr_json, export_flat, batch_payload, log_sink, alert_states, alert_board, error_rate_alerts, alert_stream, alert_stream_board, alert_notices, deliveries, log_ids, stream_windows, stream_sessions, circuit_alerts)}
 
 _REDACTED = f"regexp_replace(t, '{PERSONAL}', '[REDACTED]', 'g')"
 
@@ -295,6 +362,13 @@ SELECT doc_id, 'f' || CAST(page AS VARCHAR) AS field, value NOT IN ('', 'zzzzqqq
     "alert_stream": f"""WITH g AS (SELECT user_id AS rule_id, list(CASE WHEN value > 60 THEN 't' ELSE 'f' END ORDER BY ts, value > 60) AS xs FROM events GROUP BY 1),
 f AS (SELECT rule_id, string_split(list_reduce(list_prepend('idle|0|0|0', xs), lambda acc, x: {_COUNTED}), '|') AS a FROM g)
 SELECT rule_id, to_state, CAST(a[k] AS BIGINT) AS changes FROM f, (VALUES (2, 'firing'), (3, 'resolved'), (4, 'idle')) s(k, to_state) WHERE CAST(a[k] AS BIGINT) > 0""",
+    "alert_notices": f"""WITH g AS (SELECT user_id AS rule_id, list(CASE WHEN value > 60 THEN 't' ELSE 'f' END ORDER BY ts, value > 60) AS xs FROM events GROUP BY 1),
+f AS (SELECT rule_id, string_split(list_reduce(list_prepend('idle|0|0|0', xs), lambda acc, x: {_COUNTED}), '|') AS a FROM g)
+SELECT rule_id, CAST(a[2] AS BIGINT) AS firings, CAST(a[2] AS BIGINT) - CAST(a[3] AS BIGINT) AS open, CAST(a[2] AS BIGINT) AS notices, CASE WHEN rule_id % 3 = 0 AND rule_id BETWEEN (SELECT min(c_custkey) FROM customer) AND (SELECT max(c_custkey) FROM customer) THEN CAST(a[2] AS BIGINT) ELSE 0 END AS delivered FROM f WHERE CAST(a[2] AS BIGINT) > 0""",
+    "deliveries": f"""WITH {JOBS}, b AS (SELECT batch_id, min(tenant_id) AS tenant_id FROM jobs GROUP BY 1 HAVING bool_and(status IN ('complete', 'failed', 'partial')))
+SELECT CAST(batch_id AS VARCHAR) AS payload_id, tenant_id, CASE tenant_id WHEN 't1' THEN 'no_callback_url' WHEN 't2' THEN 'not_configured' ELSE CASE WHEN batch_id % 7 = 0 THEN 'refused' ELSE 'delivered' END END AS outcome,
+  CASE WHEN tenant_id <> 't0' THEN 0 WHEN batch_id % 7 = 0 THEN 3 ELSE 1 END AS attempts, tenant_id = 't0' AND batch_id % 7 = 0 AS kept FROM b""",
+    "log_ids": """SELECT 100 + row_number() OVER (ORDER BY ts, event_type, event_id) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, event_type AS severity, lpad(CAST(event_id AS VARCHAR), 12, '0') AS trace_id FROM events""",
     "common_failures": """WITH g AS (SELECT 'k' || CAST(user_id % 40 AS VARCHAR) AS schema_key, 'f' || CAST(event_id % 11 AS VARCHAR) AS field_name, count(*) AS failures FROM events GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY schema_key ORDER BY failures DESC, field_name) AS rank FROM g) SELECT * FROM r WHERE rank <= 5""",
     "json_repair": "SELECT o_orderkey, o_orderkey AS b FROM orders",
@@ -318,3 +392,5 @@ SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) A
 r AS (SELECT s_suppkey AS rule_id, ['click', 'view', 'error'][s_suppkey % 3 + 1] AS service_name, CASE WHEN s_suppkey % 2 = 0 THEN 't' || CAST(s_suppkey % 5 AS VARCHAR) END AS tenant_id FROM supplier WHERE s_suppkey % 4 <> 0)
 SELECT rule_id, CASE WHEN p = 0 THEN 'firing' ELSE 'resolved' END AS to_state, count(*) AS changes FROM e JOIN r ON e.service_name = r.service_name AND (r.tenant_id IS NULL OR r.tenant_id = e.tenant_id) WHERE (p = 0 AND n = 1) OR (p = 1 AND n = 0) GROUP BY 1, 2""",
 }
+
+SQL["alert_stream_board"] = SQL["alert_board"]

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.shared import numbered
+
 TRANSACTION_COLUMNS = ("account_number", "currency", "date", "description", "debit", "credit", "balance", "amount")
 
 
@@ -88,7 +90,15 @@ def deliver(payloads: DataFrame, send: Callable[[str], bool], attempts: int = 3,
     return payloads.select("payload").mapInPandas(run, "payload string, delivered boolean, attempts int")
 
 
-def log_rows(events: DataFrame, known: tuple[str, ...] = ("timestamp", "severity", "event", "tenant_id", "job_id", "trace_id", "message")) -> DataFrame:
+def log_rows(events: DataFrame, known: tuple[str, ...] = ("timestamp", "severity", "event", "tenant_id", "job_id", "trace_id", "message"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Log events (event MAP<STRING,STRING>) as columns for known keys and the rest as JSON."""
     rest = F.map_filter("event", lambda k, _: ~k.isin(*known))
-    return events.select(*[F.try_element_at("event", F.lit(k)).alias(k if k != "event" else "event_name") for k in known], F.when(F.size(rest) > 0, F.to_json(rest)).alias("fields"))
+    return events.select(*[F.try_element_at("event", F.lit(k)).alias(k if k != "event" else "event_name") for k in known], F.when(F.size(rest) > 0, F.to_json(rest)).alias("fields"), *keep)
+
+
+def log_entries(events: DataFrame, start: int = 1) -> DataFrame:
+    """Log rows with ids from ``start`` that follow their timestamps without gaps; events of one time are ordered by their content."""
+    n = numbered(events, [F.try_element_at("event", F.lit("timestamp")), F.to_json("event")], "__n")
+    ids = (F.col("__n") + start).cast("bigint")
+    rest = log_rows(n.select("event", F.struct(ids.alias("id")).alias("__keep")), keep=("__keep",))
+    return rest.select("__keep.id", *[c for c in rest.columns if c != "__keep"])

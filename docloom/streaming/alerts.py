@@ -6,14 +6,14 @@ evaluation, whatever it says. Entering firing notifies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.shared import checkpointed
+from docloom.sources import keyed
 
 STATES = ("idle", "firing", "resolved")
 #: Places in STATES after an evaluation that is not breached, and after one that is.
@@ -81,27 +81,80 @@ def alert_board(rules: DataFrame, evaluations: DataFrame) -> DataFrame:
 
 
 TRANSITION = "rule_id bigint, at timestamp, from_state string, to_state string"
+BOARD = "rule_id bigint, state string, notifications bigint, last_evaluated_at timestamp"
 
 
-def _transitions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get[0] if state.exists else "idle"
-    rows = []
-    for e in pd.concat(list(batches)).sort_values(["at", "breached"]).itertuples(index=False):
-        new = "idle" if now == "resolved" else "firing" if e.breached else "resolved" if now == "firing" else "idle"
-        if new != now:
-            rows.append((key[0], e.at, now, new))
-        now = new
-    state.update((now,))
-    if rows:
-        yield pd.DataFrame(rows, columns=["rule_id", "at", "from_state", "to_state"])
-
-
-def alert_transitions(evaluations: DataFrame) -> DataFrame:
-    """ST1, ST5: every change of state of a stream of evaluations (rule_id bigint, at timestamp, breached boolean).
-
-    The state (one word for each rule) lives in the stream's checkpoint and outlives restarts.
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The changes of state of sorted stretches (rule_id, part, state on entering, at, breached); only the state is kept."""
+    key, now = None, 0
+    for batch in batches:
+        out = []
+        for rule, part, enters, at, breached in zip(*(batch.column(c).to_pylist() for c in ("rule_id", "part", "enters", "at", "breached"))):
+            if (rule, part) != key:
+                key, now = (rule, part), enters
+            new = _NEXT[bool(breached)][now]
+            if new != now:
+                out.append((rule, at, STATES[now], STATES[new]))
+            now = new
+        cols = list(zip(*out)) if out else [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["rule_id", "at", "from_state", "to_state"])
+
+
+class AlertStream:
+    """ST1: the state machine over a stream, as a micro-batch function that is safe to repeat.
+
+    A batch of evaluations (rule_id bigint, at, breached) is dealt by ranges of rule and time, as in ``alert_summary``, so
+    that a rule's batch is never one task's. Each stretch's effect on the three states, composed in order from the state
+    that the rule had before the batch, gives the state in which each stretch is entered; then stretches give their
+    changes. Rules' states are a keyed table with one version a batch, changes are kept under the batch's id: a batch
+    that is repeated changes nothing. ``rules`` (rule_id, enabled) is read anew for each batch; rules that are disabled
+    or unknown are not evaluated. Evaluations are expected in the order of batches; within one any order will do.
     """
-    return evaluations.groupBy("rule_id").applyInPandasWithState(_transitions, TRANSITION, "state string", "append", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, path: str, rules: Callable[[SparkSession], DataFrame] | None = None):
+        self.states = keyed.KeyedTable(f"{path}/states", BOARD, ["rule_id"])
+        self.path, self.rules = f"{path}/changes", rules
+
+    def changes(self, spark: SparkSession) -> DataFrame:
+        return keyed.read_parts(spark, self.path, TRANSITION)
+
+    def board(self, spark: SparkSession) -> DataFrame:
+        """rule_id, state, notifications, last_evaluated_at of the rules that were evaluated, or of all rules."""
+        now = self.states.read(spark)
+        if self.rules is None:
+            return now
+        out = self.rules(spark).select("rule_id").join(now, "rule_id", "left")
+        return out.withColumns({"state": F.coalesce("state", F.lit(STATES[0])), "notifications": F.coalesce("notifications", F.lit(0).cast("bigint"))})
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id <= max(self.states.versions(spark), default=-1):
+            return
+        e = batch.select("rule_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "breached")
+        if self.rules is not None:
+            e = e.join(self.rules(spark).filter("enabled").select("rule_id"), "rule_id", "left_semi")
+        dealt = checkpointed(e.repartitionByRange("rule_id", "at", "breached").sortWithinPartitions("rule_id", "at", "breached"))
+        segments = dealt.mapInArrow(_segments, f"rule_id bigint, {_SEGMENT}").withColumn("part", F.spark_partition_id())
+        before = self.states.read(spark)
+        code = F.array_position(F.array(*map(F.lit, STATES)), F.col("state")) - 1
+        start = F.struct(F.coalesce(F.first("was"), F.lit(0)).cast("int").alias("state"), F.coalesce(F.first("sent0"), F.lit(0)).cast("bigint").alias("sent"), F.array().cast("array<struct<part:int,enters:int>>").alias("parts"))
+
+        def compose(acc: Column, s: Column) -> Column:
+            entered = F.struct(s["part"].alias("part"), acc["state"].alias("enters"))
+            return F.struct(F.get(s["ends"], acc["state"]).alias("state"), (acc["sent"] + F.get(s["sent"], acc["state"])).alias("sent"), F.array_append(acc["parts"], entered).alias("parts"))
+
+        ordered = F.array_sort(F.collect_list(F.struct("part", "ends", "sent")))
+        known = segments.join(before.select("rule_id", code.alias("was"), F.col("notifications").alias("sent0")), "rule_id", "left")
+        run = checkpointed(known.groupBy("rule_id").agg(ordered.alias("__o"), start.alias("__s")).select("rule_id", F.aggregate("__o", F.col("__s"), compose).alias("r")))
+        entered = run.select("rule_id", F.explode("r.parts").alias("p")).select("rule_id", "p.part", "p.enters")
+        rows = dealt.withColumn("part", F.spark_partition_id()).join(entered, ["rule_id", "part"])
+        sorted_ = rows.repartition("rule_id", "part").sortWithinPartitions("rule_id", "part", "at", "breached")
+        changes = sorted_.mapInArrow(_changes, "rule_id bigint, at bigint, from_state string, to_state string")
+        changes.select("rule_id", F.timestamp_micros("at").alias("at"), "from_state", "to_state").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        last = dealt.groupBy("rule_id").agg(F.timestamp_micros(F.max("at")).alias("last_evaluated_at"))
+        state = F.get(F.array(*map(F.lit, STATES)), F.col("r.state"))
+        self.states.merge(run.select("rule_id", state.alias("state"), F.col("r.sent").alias("notifications")).join(last, "rule_id"), batch_id)
 
 
 def circuit_alerts(events: DataFrame, rules: DataFrame) -> DataFrame:

@@ -58,6 +58,11 @@ def run_once(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ())
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_batches(stream: DataFrame, each_batch, checkpoint: str) -> None:
+    """Hands all that is there, in micro-batches, to ``each_batch`` (frame, batch id), and ends; a later run goes on from there."""
+    stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_every(stream: DataFrame, each_batch, checkpoint: str, seconds: int = 60, mode: str = "append"):
     """ST6: the running query that hands each micro-batch to ``each_batch`` (frame, batch id) at a fixed pace."""
     writer = stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)

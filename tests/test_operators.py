@@ -173,9 +173,11 @@ def test_discovery(spark):
 def test_alert_stream_equals_the_fold(spark, tmp_path, flags, states):
     rows = [(1, datetime(2024, 1, 1, 0, k), bool(f)) for k, f in enumerate(flags)]
     e = spark.createDataFrame(rows, "rule_id bigint, at timestamp, breached boolean")
-    e.coalesce(1).write.parquet(f"{tmp_path}/e")
-    out = run_once(alerts.alert_transitions(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/e")))
-    assert [r.to_state for r in out.orderBy("at").collect()] == states
+    stream = alerts.AlertStream(f"{tmp_path}/stream")
+    for k in (0, 1, 0):
+        stream(e.filter(F.minute("at") < 2 if k == 0 else F.minute("at") >= 2), k)
+    assert [r.to_state for r in stream.changes(spark).orderBy("at").collect()] == states
+    assert [(r.state, r.notifications) for r in stream.board(spark).collect()] == [(states[-1] if states else "idle", states.count("firing"))]
     got = alerts.alert_summary(e).first()
     assert got.state == (states[-1] if states else "idle") and got.notifications == states.count("firing")
 
