@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.columns import strip_fences
+from docloom.functions.columns import redact, strip_fences, truncate_middle
+from docloom.shared import checkpointed
+
+from .windows import tumbling_windows
 
 # The fields of a document and of its first account.
 TOP_FIELDS = ("document_type", "statement_date", "period_from", "period_to", "institution", "client_name")
@@ -133,3 +136,67 @@ def acknowledged(history: DataFrame, marks: DataFrame) -> DataFrame:
     """ST8: history with acknowledged_by and acknowledged_at of the first mark (id, user_id, at) of each row."""
     first = marks.groupBy("id").agg(F.min(F.struct("at", "user_id")).alias("m"))
     return history.join(first, "id", "left").select(*history.columns, F.col("m.user_id").alias("acknowledged_by"), F.col("m.at").alias("acknowledged_at"))
+
+
+TABLES_REPLY = "tables ARRAY<STRUCT<table_type: STRING, headers: ARRAY<STRING>, rows: ARRAY<STRING>>>"
+
+
+def accounts_of(answered: DataFrame) -> DataFrame:
+    """P14, phase one: doc_id, acct_seq (from 0), the account fields and flagged (it has tables) of replies (doc_id, reply) that parse and name accounts."""
+    r = answered.select("doc_id", F.from_json(unwrapped(F.col("reply")), REPLY).alias("r"))
+    a = r.select("doc_id", F.posexplode("r.accounts").alias("acct_seq", "a"))
+    flagged = F.coalesce("a.has_transactions", F.lit(False)) | F.coalesce("a.has_other_tables", F.lit(False))
+    return a.select("doc_id", F.col("acct_seq").cast("bigint").alias("acct_seq"), *[F.col(f"a.{f}").alias(f) for f in ACCOUNT_FIELDS], flagged.alias("flagged"))
+
+
+def table_requests(pages: DataFrame, accounts: DataFrame) -> DataFrame:
+    """P14, W8, phase two: doc_id, window, prompt, prompt_key for the windows of documents in which phase one found accounts.
+
+    A prompt names the accounts, so that phase two is asked about what phase one returned; windows are three pages, five
+    from 20 pages on, and together hold the whole document.
+    """
+    named = F.array_sort(F.collect_list(F.struct("acct_seq", F.coalesce("account_number", "iban", F.lit("?")).alias("n"))))
+    known = accounts.groupBy("doc_id").agg(F.array_join(F.transform(named, lambda x: x["n"]), ", ").alias("__accounts"))
+    w = tumbling_windows(pages).join(known, "doc_id")
+    place = F.concat(F.lit("\nPages "), F.col("start_page").cast("string"), F.lit("-"), F.col("end_page").cast("string"), F.lit("\n"))
+    prompt = F.concat(F.lit("[tables]\nAccounts: "), F.col("__accounts"), place, redact(F.coalesce("text", F.lit(""))))
+    return w.select("doc_id", "window", prompt.alias("prompt")).withColumn("prompt_key", F.sha2("prompt", 256))
+
+
+def window_tables(answered: DataFrame) -> DataFrame:
+    """doc_id, table_seq, table_type, headers, rows of replies (doc_id, window, reply): tables with equal headers are one, wherever they stand.
+
+    A row is a list of cells or an object by header. Tables are numbered by where they begin, rows keep the order of
+    windows. Replies that do not parse have none.
+    """
+    t = answered.select("doc_id", "window", F.from_json(unwrapped(F.col("reply")), TABLES_REPLY).alias("r")).select("doc_id", "window", F.posexplode("r.tables").alias("k", "t"))
+    cells = lambda row: F.when(row.startswith("{"), F.transform("t.headers", lambda h: F.try_element_at(F.from_json(row, "map<string,string>"), h))).otherwise(F.from_json(row, "array<string>"))
+    rows = F.transform(F.coalesce("t.rows", F.array().cast("array<string>")), cells)
+    at = F.struct("window", "k")
+    g = t.filter(F.col("t").isNotNull()).select("doc_id", at.alias("at"), "t.table_type", F.coalesce("t.headers", F.array().cast("array<string>")).alias("headers"), rows.alias("rows"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "rows")))
+    m = g.groupBy("doc_id", "headers").agg(F.min("at").alias("at"), F.min_by("table_type", "at").alias("table_type"), F.flatten(F.transform(ordered, lambda x: x["rows"])).alias("rows"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    return m.select("doc_id", seq.cast("bigint").alias("table_seq"), "table_type", "headers", "rows")
+
+
+def two_phases(pages: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Accounts (doc_id, acct_seq, account fields) with tables, an array of the tables that phase two found, in order.
+
+    Phase one asks once a document for its accounts, phase two by windows for tables. All tables of a document go to its
+    first account that phase one flagged as having some, else to its first.
+    """
+    accounts = checkpointed(accounts_of(ask(metadata_requests(pages))))
+    found = checkpointed(window_tables(ask(table_requests(pages, accounts))))
+    target = accounts.groupBy("doc_id").agg(F.min_by("acct_seq", F.struct(~F.col("flagged"), F.col("acct_seq"))).alias("acct_seq"))
+    listed = F.array_sort(F.collect_list(F.struct("table_seq", "table_type", "headers", "rows")))
+    of_account = found.groupBy("doc_id").agg(listed.alias("tables")).join(target, "doc_id")
+    return accounts.drop("flagged").join(of_account, ["doc_id", "acct_seq"], "left")
+
+
+def metadata_requests(pages: DataFrame) -> DataFrame:
+    """P14, X12, phase one: doc_id, prompt, prompt_key; of a long text, its beginning and end, where documents name their accounts."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t"))))
+    d = pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("__t"))
+    prompt = F.concat(F.lit("[metadata]\n"), truncate_middle(redact(F.col("__t"))))
+    return d.select("doc_id", prompt.alias("prompt")).withColumn("prompt_key", F.sha2("prompt", 256))
