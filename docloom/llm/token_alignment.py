@@ -13,7 +13,6 @@ no rows; columns other than doc_id and text play no part.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,27 +45,21 @@ class ByteSide:
         self.bytes = [model.decode_single_token_bytes(i) for i in range(len(self.encoder.leads))]
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        e = self.encoder
-        words = text.split(" ")
-        ids = list(map(e.units.get, words))
-        if not all(ids):
-            missing = {w for w, x in zip(words, ids) if x is None}
-            if any(not w or w[-1].isspace() for w in missing):
-                return np.array(e.model.encode_ordinary(" " + text), dtype=np.int64)
-            new = e.learn(missing)
-            ids = [x or new[w] for w, x in zip(words, ids)]
-            if len(e.units) + len(new) > MAX_WORDS:
-                e.units.clear()
-            e.units.update((w, x) for w, x in new.items() if len(w) <= 32)
-        return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.model.encode_ordinary(" " + text), dtype=np.int64)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return self.encoder.model.decode_bytes(ids)
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it, in one go."""
+        learnt = self.encoder.learn(words)
+        return [learnt[w] for w in words]
+
+    def gives_back(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Tokens are stretches of the text in order, none twice: they give it back if they are as long."""
+        return int(self.sizes[ids].sum()) == len(whole)
 
 
 class PieceSide:
-    """Ids of a text by a sentencepiece model that puts a space before it; words between single spaces are kept."""
+    """Ids of a text by a sentencepiece model that puts a space before it."""
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -79,47 +72,61 @@ class PieceSide:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in plain)
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.words: dict[str, bytes] = {}
+        self.leads = np.array([p.startswith(SPACE) for p in pieces])
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), dtype=np.int64)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it, in one go: a piece with the space mark begins a word (a word with the mark itself raises)."""
+        ids = np.array(self.model.encode(" ".join(words)), dtype="<u4")
+        data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
+        return [data[p:q] for _, p, q in zip(words, at[:-1], at[1:], strict=True)]
 
-    def encode(self, text: str) -> np.ndarray:
+    def gives_back(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Whether the pieces are the text's bytes (the model may write other characters than the text has)."""
+        return int(self.sizes[ids].sum()) == len(whole) and b"".join(map(self.bytes.__getitem__, ids.tolist())) == whole
+
+
+class Sides:
+    """Both tokenizers, with the ids of words between single spaces kept for both."""
+
+    def __init__(self, a: str, b: str):
+        self.a, self.b = ByteSide(a), PieceSide(b)
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.split(" ")
-        ids = list(map(self.words.get, words)) if self.by_word else [None]
+        ids = list(map(self.known.get, words)) if self.b.by_word else [None]
         if not all(ids):
             missing = list({w for w, x in zip(words, ids) if x is None})
-            if not self.by_word or "" in missing:
-                return np.array(self.model.encode(text), dtype=np.int64)
-            new = {w: array("I", x).tobytes() for w, x in zip(missing, self.model.encode(missing, num_threads=1))}
+            if not self.b.by_word or any(not w or w[-1].isspace() for w in missing):  # white space before the next space
+                return self.a.whole(text), self.b.whole(text)
+            new = dict(zip(missing, zip(self.a.words(missing), self.b.words(missing))))
             ids = [x or new[w] for w, x in zip(words, ids)]
-            if len(self.words) + len(new) > MAX_WORDS:
-                self.words.clear()
-            self.words.update((w, x) for w, x in new.items() if len(w) <= 32)
-        return np.frombuffer(b"".join(ids), dtype=np.uintc).astype(np.int64)
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+            if len(self.known) + len(new) > MAX_WORDS:
+                self.known.clear()
+            self.known.update((w, x) for w, x in new.items() if len(w) <= 32)
+        left, right = zip(*ids)
+        return np.frombuffer(b"".join(left), dtype="<u4").astype(np.int64), np.frombuffer(b"".join(right), dtype="<u4").astype(np.int64)
 
 
 @lru_cache(maxsize=1)
-def sides(a: str, b: str) -> tuple[ByteSide, PieceSide]:
-    return ByteSide(a), PieceSide(b)
+def sides(a: str, b: str) -> Sides:
+    return Sides(a, b)
 
 
-def tokens(data: bytes | None, a: ByteSide, b: PieceSide) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: bytes | None, both: Sides) -> tuple[np.ndarray, np.ndarray]:
     """Both sides' ids; none where either side's tokens do not give back the bytes."""
     none = np.zeros(0, dtype=np.int64)
     if not data:
         return none, none
-    text, whole = data.decode("utf-8", "surrogatepass"), b" " + data
-    found = []
-    for side in (a, b):
-        try:
-            ids = side.encode(text)
-        except (UnicodeError, ValueError):
-            return none, none
-        if int(side.sizes[ids].sum()) != len(whole) or side.decode(ids.tolist()) != whole:
-            return none, none
-        found.append(ids)
-    return found[0], found[1]
+    try:
+        x, y = both.encode(data.decode("utf-8", "surrogatepass"))
+    except (UnicodeError, ValueError):
+        return none, none
+    whole = b" " + data
+    return (x, y) if both.a.gives_back(x, whole) and both.b.gives_back(y, whole) else (none, none)
 
 
 def _frame(ids: list[np.ndarray], sizes: np.ndarray, name: str) -> pd.DataFrame:
@@ -183,18 +190,18 @@ def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
     """doc_id, the counts, groups_sha256, and the document's linked pairs (a_id * size of b + b_id) with how often each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = sides(a, b)
+        both = sides(a, b)
         for batch in batches:
             held, ids, size = [], ([], []), 0
             for k, (doc, text) in enumerate(zip(batch.column("doc_id"), batch.column("text"))):
                 data = text.as_py()
-                x, y = tokens(data, one, two)
+                x, y = tokens(data, both)
                 held.append(doc.as_py())
                 ids[0].append(x)
                 ids[1].append(y)
                 size += len(data or b"")
                 if size >= FRAME_BYTES or k == batch.num_rows - 1:
-                    rows = [(d, *r[:5], hashlib.sha256(r[5].encode()).hexdigest() if r[0] else "", r[6], r[7]) for d, r in zip(held, align(*ids, one, two))]
+                    rows = [(d, *r[:5], hashlib.sha256(r[5].encode()).hexdigest() if r[0] else "", r[6], r[7]) for d, r in zip(held, align(*ids, both.a, both.b))]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _KINDS.values())], list(_KINDS))
                     held, ids, size = [], ([], []), 0
 
