@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import near_text
+from . import min_hash
 from .common import LOWER_TABLE, cut_lineage, utf8
 from .components import components
 
@@ -114,10 +114,9 @@ def drop_near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK, similarity
     if similarity is None:
         rows, more = cut_lineage(known.select("doc_id", "__key", simhash(F.col("text")).alias("fp"))), None
     else:
-        hot = docs.sparkSession.sparkContext.broadcast(near_text.hot_shingles(known))
-        rows = known.select("doc_id", "__key", simhash(F.col("text")).alias("fp"), near_text.signature(F.col("text"), hot, similarity).alias("s"))
-        rows = cut_lineage(rows.select("doc_id", "__key", "fp", "s.*"))
-        more = near_text.links(rows, known.select("doc_id", "text"), similarity)
+        rows = cut_lineage(known.select("doc_id", "__key", simhash(F.col("text")).alias("fp"), min_hash.keys(F.col("text")).alias("bands")))
+        texts = rows.groupBy(F.col("__key").alias("key")).agg(F.min(F.struct("doc_id", "fp", "bands")).alias("t")).select("key", "t.*")
+        more = min_hash.links(texts, known.select("doc_id", F.col("__key").alias("key"), "text"), similarity)
     prints = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "__key")).alias("least"))
     roots = fingerprint_components(prints.select("fp"), max_block, more)
     named = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
@@ -126,7 +125,7 @@ def drop_near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK, similarity
     names = rows.groupBy("doc_id", "__key", "fp").agg(F.count("*").alias("__n"))
     names = names.join(kept_of, "fp").withColumn("__goes", F.struct("doc_id", "__key") != F.col("kept"))
     marked = cut_lineage(names.filter(F.col("__goes") | (F.col("__n") > 1)).select("doc_id", "__key", "__goes"))
-    small = marked.count() <= near_text.MAX_BROADCAST
+    small = marked.count() <= min_hash.MAX_BROADCAST
     out = whole.join(F.broadcast(marked) if small else marked, ["doc_id", "__key"], "left").filter(~F.coalesce("__goes", F.lit(False)))
     one = out.filter(F.col("__goes").isNull())
     repeated = out.filter(F.col("__goes").isNotNull())  # rows that stay and repeat
