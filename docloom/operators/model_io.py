@@ -124,10 +124,17 @@ def history_after(history: DataFrame, changes: DataFrame) -> DataFrame:
     """ST5, J13: alert history (rule_id, fired_at, resolved_at) after changes (rule_id, at, to_state): firing appends a row, resolved closes the latest open one."""
     none = F.lit(None).cast("timestamp")
     rows = history.select("rule_id", "fired_at", "resolved_at").unionByName(changes.filter("to_state = 'firing'").select("rule_id", F.col("at").alias("fired_at"), none.alias("resolved_at")))
-    # a mark closes the row that was fired last before it, or at its time
+    # a mark closes the row that was fired last before it, or at its time: within the day, else the last one of an earlier
+    # day, so that a busy rule's history is dealt out by days
     points = rows.select("rule_id", F.col("fired_at").alias("at"), F.lit(0).alias("kind")).unionByName(changes.filter("to_state = 'resolved'").select("rule_id", "at", F.lit(1).alias("kind")))
-    order = Window.partitionBy("rule_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    fired = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order)
+    points = points.withColumn("__day", F.to_date("at"))
+    order = Window.partitionBy("rule_id", "__day").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    today = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(order)
+    days = points.groupBy("rule_id", "__day").agg(F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("__last"))
+    earlier = Window.partitionBy("rule_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("rule_id", "__day", F.max("__last").over(earlier).alias("__before"))
+    points = points.withColumn("__today", today).join(carried, ["rule_id", "__day"])
+    fired = F.coalesce("__today", "__before")
     closing = points.withColumn("fired_at", fired).filter("kind = 1 and fired_at is not null").groupBy("rule_id", "fired_at").agg(F.min("at").alias("__closed"))
     return rows.join(closing, ["rule_id", "fired_at"], "left").select("rule_id", "fired_at", F.coalesce("resolved_at", "__closed").alias("resolved_at"))
 
