@@ -6,6 +6,8 @@ aggregation; the only windows are over a rule, a tenant or a schema.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +65,12 @@ def share_of_peak(df: DataFrame, value: str = "total_tokens") -> DataFrame:
     return df.join(F.broadcast(peak)).withColumn("percent", F.round(F.coalesce(F.try_divide(F.col(value) * 100.0, F.col("peak")), F.lit(0.0)), 4)).drop("peak")
 
 
-def history_filter(df: DataFrame, rule: int | None = None, open_only: bool = False, statuses: tuple[str, ...] = ()) -> DataFrame:
-    """alert history of a rule, open rows only; or jobs of some statuses."""
+def history_filter(df: DataFrame, rule: int | None = None, open_only: bool = False, statuses: tuple[str, ...] = (), tenant: str | None = None) -> DataFrame:
+    """alert history of a rule, of a tenant, open rows only; or jobs of some statuses."""
     if rule is not None:
         df = df.filter(F.col("rule_id") == rule)
+    if tenant is not None:
+        df = df.filter(F.col("tenant_id") == tenant)
     if open_only:
         df = df.filter(F.col("resolved_at").isNull())
     return df.filter(F.col("status").isin(*statuses)) if statuses else df
@@ -79,6 +83,35 @@ def job_overview(jobs: DataFrame, usage: DataFrame, tenants: DataFrame) -> DataF
     return j.withColumns({"calls": F.coalesce("calls", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
 
 
+def job_relations(jobs: DataFrame, tenants: DataFrame, batches: DataFrame, results: DataFrame, feedback: DataFrame, usage: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """Each job (job_id, tenant_id, batch_id, ...) with tenant and batch_status, fields_extracted of its last result
+    (created_at), the number and mean rating of feedback, calls and tokens, and the last attempt's delivery_status.
+
+    Tables with many rows a job are reduced to one before they are joined, so that a busy job is not a wide join.
+    """
+    one = (
+        results.groupBy("job_id").agg(F.max_by("fields_extracted", F.struct("created_at", "fields_extracted")).alias("fields_extracted")),
+        feedback.groupBy("job_id").agg(F.count("*").alias("feedback"), F.round(F.avg("rating"), 4).alias("rating")),
+        usage.groupBy("job_id").agg(F.count("*").alias("calls"), F.sum("total_tokens").alias("tokens")),
+        deliveries.groupBy("job_id").agg(F.max_by("status", F.struct("attempt", "status")).alias("delivery_status")),
+    )
+    out = reduce(lambda d, t: d.join(t, "job_id", "left"), one, jobs)
+    out = out.join(tenants.select("tenant_id", "tenant"), "tenant_id", "left").join(batches.select("batch_id", "batch_status"), "batch_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("feedback", "calls", "tokens")})
+
+
+def users_with_roles(users: DataFrame, roles: DataFrame) -> DataFrame:
+    """Users (user_id) with their distinct roles (user_id, tenant_id, role) as a sorted array; empty without any."""
+    g = roles.groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("tenant_id", "role"))).alias("roles"))
+    return users.join(g, "user_id", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<struct<tenant_id:string,role:string>>")))
+
+
+def rules_with_history(rules: DataFrame, history: DataFrame) -> DataFrame:
+    """Rules (rule_id) with firings, open ones and the last time of firing, of history (rule_id, fired_at, resolved_at)."""
+    g = history.groupBy("rule_id").agg(F.count("*").alias("firings"), F.count_if(F.col("resolved_at").isNull()).alias("open"), F.max("fired_at").alias("last_fired_at"))
+    return rules.join(g, "rule_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("firings", "open")})
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50, largest: int = 200) -> DataFrame:
     """One page of an ordered list, ties broken by the order given; size within 1..largest."""
     size = min(max(size, 1), largest)

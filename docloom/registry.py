@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("admin", "documents", "validation", "flows", "model_io", "services", "fallbacks")
+MODULES = ("admin", "documents", "validation", "flows", "model_io", "services", "fallbacks", "relations")
 
 
 def _plans() -> list:

@@ -183,3 +183,12 @@ def test_exports_by_tenant(spark, tmp_path):
     assert [spark.read.json(f"{tmp_path}/{n}").count() for n in ("all", "one")] == [2, 1]
     p = spark.range(1).select(standalone_payload(F.lit(7), F.lit("tr"), F.lit("complete"), F.struct(F.lit(1).alias("x"))).alias("p")).first().p
     assert p == '{"type":"standalone","job_id":"7","trace_id":"tr","status":"complete","result":{"x":1}}'
+
+
+def test_pages_and_percent_confidence(spark):
+    from docloom.operators.admin import page_count
+    from docloom.sources.files import percent_confidence
+
+    assert [tuple(page_count(spark.range(n)).first()) for n in (0, 50, 51)] == [(0, 0), (50, 1), (51, 2)]
+    d = percent_confidence(spark.createDataFrame([(95.0,), (None,), (0.0,)], "confidence double"))
+    assert [r.confidence for r in d.collect()] == [0.95, None, 0.0]
