@@ -171,9 +171,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     rows = rows.filter(F.col("v").isNotNull() & sound).withColumn("d", F.size("v"))
     n, nq = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks, query_blocks = max(1, -(-n // candidates)), max(1, -(-nq // query_block))
-    deal = lambda count, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(count)).cast("int")
-    left = rows.filter("is_query").dropDuplicates(["id", "v"]).withColumn("qb", deal(query_blocks, 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("b", deal(blocks, 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    # candidates are dealt by their place in the input, so that rows that repeat spread over all blocks
+    deal = lambda count, *by: F.pmod(F.xxhash64(*by), F.lit(count)).cast("int")
+    left = rows.filter("is_query").dropDuplicates(["id", "v"]).withColumn("qb", deal(query_blocks, "id", "v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("b", deal(blocks, F.monotonically_increasing_id(), F.lit(2))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def search(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
         at, found, scores, ids = [], [], [], q["id"].to_numpy()
