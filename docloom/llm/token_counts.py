@@ -42,9 +42,14 @@ class Pieces:
             raise ValueError("every character of a piece must be a piece")
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p))}
         self.joined: dict[tuple[str, str], bool] = {}
+        # the tokens of runs of spaces repeat with the longest piece that is one; looked at over five of its lengths
+        self.period = max((len(p) for p in self.score if not p.strip(SPACE)), default=1)
+        self.settled = 4 * self.period
         self.runs = [0]
-        while len(self.runs) <= 80:
+        while len(self.runs) <= self.settled + self.period:
             self.runs.append(len(self.merge(SPACE * len(self.runs))))
+        if any(self.runs[n] != self.runs[n - self.period] + 1 for n in range(self.settled - self.period + 1, len(self.runs))):
+            raise ValueError("runs of spaces whose tokens do not repeat with their longest piece are not supported")
         self.whole: dict[str, bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -77,7 +82,8 @@ class Pieces:
 
     def run_tokens(self, n: int) -> int:
         """Tokens of a run of n spaces; runs repeat with the longest run piece."""
-        return self.runs[n] if n <= 64 else (n - 64 + 15) // 16 + self.runs[n - 16 * ((n - 64 + 15) // 16)]
+        more = max(0, -(-(n - self.settled) // self.period))
+        return more + self.runs[n - self.period * more]
 
 
 class State(dict):
@@ -130,9 +136,9 @@ class Transducer:
     def step(self, s: State, char: str) -> tuple[State, int]:
         p = self.pieces
         if char in (" ", SPACE):
-            run = s.run + 1 if s.run < 64 else 49  # a run's count repeats every 16
+            run = s.run + 1 if s.run < p.settled else p.settled - p.period + 1  # a run's count repeats
             now, before = p.run_tokens(run), p.run_tokens(run - 1)
-            return self.state(SPACE, (None, SPACE), (before - now, 0), run), now - before if s.run < 64 else p.run_tokens(65) - p.run_tokens(64)
+            return self.state(SPACE, (None, SPACE), (before - now, 0), run), now - before if s.run < p.settled else p.run_tokens(p.settled + 1) - p.run_tokens(p.settled)
         if char not in p.score:
             return self.blank, len(char.encode("utf-8", "surrogatepass"))
         tail = s.tail + char

@@ -446,6 +446,29 @@ def best_by_product(items, ids, query, own, k=5):
     return [(i, -s) for s, i in scores]
 
 
+def test_top_k_of_rows_that_repeat(spark):
+    """A third of all rows are one row: each of its copies is a candidate, none of itself, and they lie in several blocks."""
+    rows = [(7, [0.5, 0.25])] * 60 + [(k, [k / 64, -k / 128]) for k in range(100, 220)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=16).collect()
+    score = lambda a, b: sum(int(np.floor(256 * np.float64(x))) * int(np.floor(256 * np.float64(y))) for x, y in zip(a, b))
+    for q, v in rows:
+        if q % 50 == 0:
+            best = sorted((-score(v, w), i) for i, w in rows if i != q)[:5]
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == best
+
+
+def test_runs_of_spaces_of_any_length():
+    import public_tokenizers
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    model, machine = sentencepiece.SentencePieceProcessor(model_file=file), token_counts.Transducer(token_counts.Pieces(file))
+    for n in (*range(60, 70), 95, 96, 97, 200, 333):
+        text = "a" + " " * n + "b"
+        assert machine.run(machine.blank, "▁" + text.replace(" ", "▁"))[1] == len(model.encode(text)), n
+
+
 def test_nra_stops_early_and_is_exact():
     r = np.random.default_rng(1)
     items = np.vstack([r.integers(-20, 20, (3000, 16)), r.integers(90, 100, (8, 16))]).astype(float)
