@@ -54,7 +54,7 @@ def windowed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = _missing(read(spark, sf_dir, "documents"))
     done = fallback.run(pages, missing, _reads, maximum=6000, mode="skip", context=2400)
     calls = done.calls.groupBy("doc_id").agg(F.first("tier").alias("tier"), F.count("*").alias("asked"), F.count_if("allowed").alias("counted"), F.sum(F.when(F.col("allowed"), F.col("input_tokens") + F.col("output_tokens"))).alias("tokens"))
-    return calls.join(_listed(done.fields, F.concat_ws("=", "field", "value"), "found"), "doc_id", "left").join(_listed(done.open, F.concat_ws("=", "field", "reason"), "open"), "doc_id", "left")
+    return calls.join(_listed(done.fields, F.concat_ws("=", "field", "value"), "found").hint("merge"), "doc_id", "left").join(_listed(done.open, F.concat_ws("=", "field", "reason"), "open").hint("merge"), "doc_id", "left")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, F.Column]:
@@ -87,7 +87,7 @@ def discovery_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     discovery.discover(pages, tenants, discovery.remembering(_knows_notices, replies), schemas, "2024-01-01")
     mute = lambda asked: asked.withColumn("reply", F.lit(None).cast("string"))
     again = discovery.discover(pages, tenants, discovery.remembering(mute, replies), schemas, "2024-01-02")
-    out = tenants.join(again.kinds, "doc_id", "left").join(_listed(again.fields, F.concat_ws("=", "field", "value"), "found"), "doc_id", "left").join(_listed(again.open, F.concat_ws("=", "field", "reason"), "open"), "doc_id", "left")
+    out = tenants.join(again.kinds.hint("merge"), "doc_id", "left").join(_listed(again.fields, F.concat_ws("=", "field", "value"), "found").hint("merge"), "doc_id", "left").join(_listed(again.open, F.concat_ws("=", "field", "reason"), "open").hint("merge"), "doc_id", "left")
     uses = schemas.read(spark).select("tenant_id", F.concat(F.lit("discovered:"), F.element_at(F.split("fingerprint", "::"), -1)).alias("kind"), "use_count", F.date_format("last_used_at", "yyyy-MM-dd").alias("last_used"))
     return out.join(uses, ["tenant_id", "kind"], "left").select("doc_id", "kind", "found", "open", "use_count", "last_used")
 
@@ -117,7 +117,7 @@ def retry_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = discovery.schema_cache(f"{shared_dir(spark)}/retry-{uuid.uuid4().hex}")
     f, a, kd, calls = flow.retried(pages, kinds, fields, abstained, ask, tenants, cache, "2024-01-01")
     asked = calls.groupBy("doc_id").agg(F.count("*").alias("calls"))
-    out = kd.join(_listed(f, F.concat_ws("=", "field", "value"), "found"), "doc_id", "left").join(_listed(a, F.concat_ws("=", "field", "reason"), "open"), "doc_id", "left").join(asked, "doc_id", "left")
+    out = kd.join(_listed(f, F.concat_ws("=", "field", "value"), "found").hint("merge"), "doc_id", "left").join(_listed(a, F.concat_ws("=", "field", "reason"), "open").hint("merge"), "doc_id", "left").join(asked.hint("merge"), "doc_id", "left")
     return out.select("doc_id", "kind", "found", "open", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
