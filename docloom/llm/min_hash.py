@@ -1,9 +1,9 @@
 """Links between texts of alike word shingles: candidates by banded minimum hashes, verification by exact Jaccard similarity.
 
-A text has ``ROWS * BANDS`` minima of its ``WIDTH``-word shingles' hashes; the texts of one band key are candidates
-with the key's least and greatest text, so that a key of n texts makes fewer than 2 n pairs and no two members meet
-otherwise. Each pair is then compared whole. Two texts of similarity 0.8 share some key with a probability of 0.9996;
-within a key, texts that are alike but unlike both its ends must meet in another one.
+A text has ``ROWS * BANDS`` minima of its ``WIDTH``-word shingles' hashes. ``links`` compares the texts of one band key
+with the key's least and greatest text, fewer than 2 n pairs for n texts; ``rest`` compares all others of a key that are
+not in one component by then, so that within a key no link between components is lost. Each pair is compared whole. Two
+texts of similarity 0.8 share some key with a probability of 0.9996.
 
 Texts without words have no shingles, no keys and no links; repeated texts count once.
 """
@@ -28,6 +28,8 @@ ROWS, BANDS = 5, 20
 #: A key or text with more than this share of all rows is dealt with apart: there are at most as many as its inverse.
 HOT = 0.005
 SALTS = 32
+#: Texts of a key that ``rest`` compares with as many others in one group.
+BLOCK = 128
 _random = np.random.default_rng(20)
 _ADD = _random.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 _TIMES = _random.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
@@ -118,13 +120,23 @@ def candidates(texts: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
 
 
+def _sets(asked: DataFrame, whole: DataFrame) -> DataFrame:
+    """key, fp, s: the shingles of texts (key, doc_id, fp)."""
+    small = asked.count() <= MAX_BROADCAST
+    found = whole.join(F.broadcast(asked) if small else asked, ["key", "doc_id"])
+    return cut_lineage(found.select("key", "fp", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]))
+
+
+def _alike(similarity: float) -> Column:
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return shared >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - shared)
+
+
 def links(texts: DataFrame, whole: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """u, v: fingerprints of texts (key, doc_id, fp, bands; one row a text) that are alike. whole: doc_id, key, text."""
     pairs = cut_lineage(candidates(texts))
     asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id", "fp"), "key"))
-    small = asked.count() <= MAX_BROADCAST
-    found = whole.join(F.broadcast(asked) if small else asked, ["key", "doc_id"])
-    sets = cut_lineage(found.select("key", "fp", shingles(F.col("text")).alias("s")).dropDuplicates(["key"]))
+    sets = _sets(asked, whole)
     # a text that is in very many pairs is copied, so that no task has all of them
     hot = cut_lineage(_apart(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key").withColumn("hot", F.lit(True)))
     spread = lambda side, other: F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int").alias(f"salt_{side}")
@@ -133,6 +145,28 @@ def links(texts: DataFrame, whole: DataFrame, similarity: float = SIMILARITY) ->
     p = p.join(F.broadcast(hot.withColumnRenamed("key", "b")), "b", "left").select("a", "b", "salt_a", spread("b", "a"))
     side = lambda n: copies.select(F.col("key").alias(n), F.col("salt").alias(f"salt_{n}"), F.col("fp").alias(f"fp_{n}"), F.col("s").alias(f"s_{n}"))
     j = p.join(side("a"), ["a", "salt_a"]).join(side("b"), ["b", "salt_b"]).filter("fp_a <> fp_b")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    alike = shared >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - shared)
-    return j.filter(alike).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
+    return j.filter(_alike(similarity)).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
+
+
+def rest(texts: DataFrame, whole: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """u, v: roots of alike texts that share a band key and have different roots (fp, root; without a row: fp itself).
+
+    All such pairs of a key are compared, each under the first key that both share. A key's texts are dealt into blocks of
+    about BLOCK and every two blocks meet in a group of their own, so that no task has a crowded key: such keys cost the
+    product of their components' sizes, in bounded groups.
+    """
+    named = texts.join(roots.select("fp", "root").hint("merge"), "fp", "left").select("key", "doc_id", "fp", "bands", F.coalesce("root", "fp").alias("root"))
+    filed = cut_lineage(named.select("key", "root", F.posexplode("bands").alias("k", "band")))
+    mixed = filed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = cut_lineage(filed.join(mixed.hint("merge"), "band"))
+    asked = cut_lineage(met.select("key").distinct().join(texts.select("key", "doc_id", "fp", "bands"), "key"))
+    sets = _sets(asked.drop("bands"), whole).join(asked.select("key", "bands").hint("merge"), "key").drop("fp")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "root", "k", "band", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets.hint("merge"), "key")
+    side = lambda n: dealt.select("band", "k", "i", "j", *[F.col(c).alias(f"{c}_{n}") for c in ("key", "root", "own", "bands", "s")])
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True)) == F.col("k") + 1
+    near = (F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j"))
+    size = (F.size("s_a") >= F.lit(similarity) * F.size("s_b")) & (F.size("s_b") >= F.lit(similarity) * F.size("s_a"))
+    j = side("a").join(side("b").hint("merge"), ["band", "k", "i", "j"]).filter(F.col("key_a") < F.col("key_b")).filter((F.col("root_a") != F.col("root_b")) & near & size & first)
+    return j.filter(_alike(similarity)).select(F.col("root_a").alias("u"), F.col("root_b").alias("v")).distinct()

@@ -119,6 +119,13 @@ def drop_near_duplicates(docs: DataFrame, max_block: int = MAX_BLOCK, similarity
         more = min_hash.links(texts, known.select("doc_id", F.col("__key").alias("key"), "text"), similarity)
     prints = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "__key")).alias("least"))
     roots = fingerprint_components(prints.select("fp"), max_block, more)
+    if similarity is not None:
+        # texts of a key that are in different components by now are compared with each other, which joins components
+        left = cut_lineage(min_hash.rest(texts, known.select("doc_id", F.col("__key").alias("key"), "text"), roots, similarity))
+        if not left.isEmpty():
+            top = components(left).select(F.col("node").alias("__node"), F.col("root").alias("__top"))
+            every = prints.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+            roots = every.join(top, every["root"] == top["__node"], "left").select("fp", F.coalesce("__top", "root").alias("root"))
     named = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     kept = named.groupBy("root").agg(F.min("least").alias("kept"))
     kept_of = named.join(kept, "root").select("fp", "kept")
