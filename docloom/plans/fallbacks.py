@@ -126,7 +126,7 @@ def two_phase_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = items(spark, sf_dir).select("doc_id", F.col("seq").alias("page"), F.concat(F.lit("Order "), F.col("doc_id").cast("string"), F.lit(" part "), F.col("part").cast("string"), F.lit("\n")).alias("text"))
 
     def ask(asked: DataFrame) -> DataFrame:
-        k = F.regexp_extract("prompt", r"Order (\d+)", 1).cast("bigint")
+        k = F.col("__k")
         account = lambda n, flag: F.concat(F.lit(f'{{"account_number": "{n}-'), k.cast("string"), F.lit('", "opening_balance": 1.5, "has_transactions": '), flag.cast("string"), F.lit("}"))
         phase_one = F.when(k % 5 != 0, F.concat(F.lit('{"value": {"document_type": "x", "accounts": ['), account("A", F.lit(False)), F.lit(", "), account("B", k % 2 == 0), F.lit("]}}")))
         parts = F.regexp_extract_all("prompt", F.lit(r"part (\d+)"), 1)
@@ -135,7 +135,8 @@ def two_phase_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_objects = F.concat(F.lit('```json\n{"tables": [{"table_type": "other", "headers": ["Part", "No"], "rows": ['), F.array_join(F.transform(parts, lambda p: F.concat(F.lit('{"No": "n", "Part": "'), p, F.lit('"}'))), ", "), F.lit("]}]}\n```"))
         named = F.contains("prompt", F.concat(F.lit("Accounts: A-"), k.cast("string"), F.lit(", B-"), k.cast("string"), F.lit("\n")))
         phase_two = F.when(named, F.when(late & (k % 4 == 0), as_objects).when(late & (k % 4 == 1), "broken").otherwise(as_lists))
-        return asked.withColumn("reply", F.when(F.startswith("prompt", F.lit("[metadata]")), phase_one).otherwise(phase_two))
+        known = asked.withColumn("__k", F.regexp_extract("prompt", r"Order (\d+)", 1).cast("bigint"))
+        return known.withColumn("reply", F.when(F.startswith("prompt", F.lit("[metadata]")), phase_one).otherwise(phase_two)).drop("__k")
 
     a = model_io.two_phases(pages, ask)
     cells = F.flatten(F.transform("tables", lambda t: F.transform(t["rows"], lambda r: F.array_join(r, "/", "-"))))
