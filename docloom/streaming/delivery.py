@@ -23,9 +23,9 @@ class DeliverySink:
     ``send(payload_id, url, payload)`` tells whether the receiver took it; a refused payload is tried again after a pause,
     ``attempts`` times in all. Where it goes is in ``targets`` (tenant_id, enabled, callback_url): a tenant without an
     enabled target or an address has its payloads skipped. Outcomes are kept by payload id, and no payload with an outcome
-    is sent again. A batch is sent in waves of at most about ``wave`` payloads whose outcomes are written before the next
-    begins, so a batch that dies midway and is repeated sends what its finished waves have sent no more; only the wave
-    that was cut can reach a receiver twice, under the same payload id.
+    is sent again. A batch is one job whose tasks together hold at most about ``wave`` payloads at a time; each task's
+    outcomes are there as soon as it ends, whether or not the job does, so a batch that dies midway and is repeated sends
+    what its finished tasks have sent no more; only tasks that were cut can reach a receiver twice, under the same payload id.
     """
 
     def __init__(self, path: str, send: Callable[[str, str, str], bool], targets: DataFrame, attempts: int = 3, pause: Callable[[int], float] | None = None, wave: int = 10_000):
@@ -34,7 +34,7 @@ class DeliverySink:
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
         """payload_id, tenant_id, url, payload, outcome (delivered, refused, not_configured, no_callback_url), attempts; the payload of refused ones only."""
-        folders = [f"{self.path}/batch={b}/wave={w}" for b in self._batches(spark) for w in keyed.parts(spark, f"{self.path}/batch={b}", "wave")]
+        folders = [f"{self.path}/batch={b}" for b in self._batches(spark)]
         return spark.read.schema(OUTCOME).parquet(*folders) if folders else spark.createDataFrame([], OUTCOME)
 
     def dead_letters(self, spark: SparkSession) -> DataFrame:
@@ -56,7 +56,10 @@ class DeliverySink:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows = []
-                for key, tenant, url, payload in zip(b["payload_id"], b["tenant_id"], b["url"], b["payload"]):
+                for key, tenant, url, payload, skipped in zip(b["payload_id"], b["tenant_id"], b["url"], b["payload"], b["outcome"]):
+                    if skipped is not None:
+                        rows.append((key, tenant, url, None, skipped, 0))
+                        continue
                     ok, n = False, 0
                     while not ok and n < attempts:
                         if n:
@@ -69,21 +72,19 @@ class DeliverySink:
         return run
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, folder = batch.sparkSession, f"{self.path}/batch={batch_id}"
+        if keyed.finished(spark, folder):
+            return
         first = batch.groupBy("payload_id").agg(F.min(F.struct("tenant_id", "payload")).alias("p")).select("payload_id", "p.*")
         t = self.targets.select("tenant_id", F.coalesce("enabled", F.lit(False)).alias("__on"), F.nullif(F.trim("callback_url"), F.lit("")).alias("url"))
         why = F.when(~F.coalesce("__on", F.lit(False)), "not_configured").when(F.col("url").isNull(), "no_callback_url")
         all_ = checkpointed(first.join(t, "tenant_id", "left").select("payload_id", "tenant_id", "url", "payload", why.alias("outcome")))
-        waves = max(1, math.ceil(all_.count() / self.wave))
-        of = F.pmod(F.xxhash64("payload_id"), F.lit(waves))
-        for k in range(waves):
-            folder = f"{self.path}/batch={batch_id}/wave={k}"
-            if keyed.finished(spark, folder):
-                continue
-            new = all_.filter(of == k).join(self.outcomes(spark).select("payload_id"), "payload_id", "left_anti")
-            skipped = new.filter(F.col("outcome").isNotNull()).select("payload_id", "tenant_id", "url", F.lit(None).cast("string").alias("payload"), "outcome", F.lit(0).alias("attempts"))
-            done = new.filter(F.col("outcome").isNull()).select("payload_id", "tenant_id", "url", "payload").mapInPandas(self._sent(), OUTCOME)
-            done.unionByName(skipped).write.mode("overwrite").parquet(folder)
+        # so many tasks that those which run at once hold a wave together
+        tasks = max(1, math.ceil(all_.count() * spark.sparkContext.defaultParallelism / self.wave))
+        new = all_.join(self.outcomes(spark).select("payload_id").hint("merge"), "payload_id", "left_anti")
+        done = new.repartition(tasks, "payload_id").mapInPandas(self._sent(), OUTCOME)
+        # the second form of commit puts a task's file in its place when the task ends
+        done.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
 
 
 HISTORY = "rule_id bigint, fired_at timestamp, resolved_at timestamp"
