@@ -140,6 +140,27 @@ def totals_crosscheck(accounts: DataFrame, transactions: DataFrame, tolerance: f
     return _failures(rows, F.col("acct_id"), "totals_crosscheck", F.concat_ws(".", "acct_id", "__column"), "ERR_VAL_TOTALS_MISMATCH")
 
 
+def account_checks(accounts: DataFrame, transactions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """The failures of ``reconciliation``, ``completeness`` and ``totals_crosscheck`` together.
+
+    What accounts state and the sums of their transactions are grouped by account in a step of its own, instead of joined
+    three times on top of the joins that made the accounts, so that a task holds one table and not all of them.
+    """
+    stated = accounts.select("acct_id", F.struct("opening", "closing", "total_debits", "total_credits").alias("__a"))
+    g = stated.unionByName(_account_sums(transactions), allowMissingColumns=True).groupBy("acct_id")
+    known = g.agg(F.collect_list("__a").alias("__a"), *[F.max(c).alias(c) for c in ("__n", "__d", "__c")])
+    known = known.select("acct_id", F.explode("__a").alias("__a"), *[F.when(F.col("acct_id").isNotNull(), F.col(c)).alias(c) for c in ("__n", "__d", "__c")])
+    key = F.col("acct_id").cast("string")
+    fault = lambda bad, name, field, code: F.when(bad, F.struct(F.lit(name).alias("validator"), field.alias("field"), F.lit(code).alias("error_code")))
+    off = lambda stated, sum_: F.abs(F.col(f"__a.{stated}") - F.coalesce(sum_, F.lit(0))) > tolerance
+    found = [
+        fault(F.abs(F.col("__a.closing") - (F.col("__a.opening") + F.col("__c") - F.col("__d"))) > tolerance, "reconciliation", key, "ERR_VAL_BALANCE_RECON"),
+        fault(F.col("__n").isNull(), "completeness", key, "ERR_VAL_NO_TRANSACTIONS"),
+        *[fault(off(c, s), "totals_crosscheck", F.concat_ws(".", "acct_id", F.lit(c)), "ERR_VAL_TOTALS_MISMATCH") for c, s in (("total_debits", "__d"), ("total_credits", "__c"))],
+    ]
+    return known.select(F.col("acct_id").alias("doc_id"), F.explode(F.array_compact(F.array(*found))).alias("f")).select("doc_id", "f.*")
+
+
 def multi_currency(balances: DataFrame, transactions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """V13 (opt-in): for each currency of a document with any amount, closing against opening and sums.
 

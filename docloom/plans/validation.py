@@ -100,7 +100,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, t = accounts(spark, sf_dir), transactions(spark, sf_dir)
-    parts = (validators.running_balance(t), validators.reconciliation(a, t), validators.completeness(a, t), validators.totals_crosscheck(a, t), validators.identifiers(_identifier(spark, sf_dir)))
+    parts = (validators.running_balance(t), validators.account_checks(a, t), validators.identifiers(_identifier(spark, sf_dir)))
     return validators.by_validator(validators.all_failures(*parts))
 
 
